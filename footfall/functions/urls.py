@@ -42,8 +42,7 @@ def param_values(query: Column) -> Column:
 
 def pick_param(keys: Column, values: Column, key: str) -> Column:
     """Raw value of the first occurrence of ``key``; NULL when absent or empty."""
-    at = (F.array_position(keys, F.lit(key)) - 1).cast("int")
-    return blank_to_null(F.get(values, at))
+    return F.nullif(F.get(values, (F.array_position(keys, F.lit(key)) - 1).cast("int")), F.lit(""))
 
 
 def decode_param(raw: Column) -> Column:

@@ -38,6 +38,17 @@ EVENT_TYPES = {"pv": "pageview", "tr": "event"}
 DIRECT = "Direct / None"
 
 
+def computed_once(df: DataFrame, *columns: str) -> DataFrame:
+    """Make later filters and projections read these columns instead of recomputing them.
+
+    Catalyst moves filters below projections by copying their expressions, which for
+    long parsing chains means evaluating them again and again. The output of a
+    generator is never copied.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
+
+
 def split_fields(lines: DataFrame, value: str = "value") -> DataFrame:
     """Line text to the twelve named fields, plus the number of fields found."""
     parts = lines.withColumn("_parts", F.split(F.col(value), "\t"))
@@ -63,25 +74,28 @@ def event_type(code: Column) -> Column:
 
 
 def with_params(fields: DataFrame) -> DataFrame:
-    """Add the raw (``r_``) and decoded (``q_``) value of every tracker parameter."""
+    """Add the decoded tracker parameters as one array, read with ``param``.
+
+    ``is_malformed`` tells whether a parameter that matters cannot be decoded.
+    """
     query = F.when(F.col("error").isNull() & (F.col("uri_query") != "-"), F.col("uri_query"))
     split = fields.withColumn("_keys", urls.param_keys(query)).withColumn("_values", urls.param_values(query))
-    raw = split.select(
-        *[c for c in split.columns if not c.startswith("_")],
-        *[urls.pick_param(F.col("_keys"), F.col("_values"), key).alias(f"r_{name}")
-          for key, name in PARAMS.items()])
-    return raw.select("*", *[urls.decode_param(F.col(f"r_{name}")).alias(f"q_{name}")
-                             for name in PARAMS.values()])
+    raw = split.withColumn("_raw", F.array(*[
+        urls.pick_param(F.col("_keys"), F.col("_values"), key) for key in PARAMS])).drop("_keys", "_values")
+    each = [F.get("_raw", F.lit(i)) for i in range(len(PARAMS))]
+    decoded = raw.withColumn("_params", F.array(*[urls.decode_param(value) for value in each]))
+    is_event = event_type(param("type")) == "event"
+    malformed = F.lit(False)
+    for value, name in zip(each, PARAMS.values()):
+        broken = value.isNotNull() & param(name).isNull()
+        malformed = malformed | (broken & is_event if name in EVENT_ONLY else broken)
+    checked = decoded.withColumn("is_malformed", malformed)
+    return computed_once(checked.drop("_raw"), "_params", "is_malformed")
 
 
-def _malformed() -> Column:
-    """True when a parameter that is read cannot be decoded."""
-    is_event = event_type(F.col("q_type")) == "event"
-    bad = F.lit(False)
-    for name in PARAMS.values():
-        broken = F.col(f"r_{name}").isNotNull() & F.col(f"q_{name}").isNull()
-        bad = bad | (broken & is_event if name in EVENT_ONLY else broken)
-    return bad
+def param(name: str) -> Column:
+    """A decoded parameter added by ``with_params``; NULL when absent or malformed."""
+    return F.get("_params", list(PARAMS.values()).index(name))
 
 
 def read_hits(lines: DataFrame, value: str = "value", cdn_host: str | None = None,
@@ -99,18 +113,18 @@ def read_hits(lines: DataFrame, value: str = "value", cdn_host: str | None = Non
     df = df.withColumns({
         "arrival_timestamp": times.from_seconds(urls.leading_int(F.col("log_time"))),
         "agent": urls.percent_decode(F.col("user_agent")),
-        "_client_time": times.from_millis(urls.leading_int(F.col("q_time"))),
-        "_referrer_host": F.when(urls.is_absolute_url(F.col("q_referrer")),
-                                 F.coalesce(urls.url_host(F.col("q_referrer")), F.lit(""))),
+        "_client_time": times.from_millis(urls.leading_int(param("time"))),
+        "_referrer_host": F.when(urls.is_absolute_url(param("referrer")),
+                                 F.coalesce(urls.url_host(param("referrer")), F.lit(""))),
         "_header_host": urls.url_host(header),
     })
-    own = F.col("_referrer_host") == F.col("q_host")
+    own = F.col("_referrer_host") == param("host")
     if cdn_host is not None:
         own = own | (F.col("_referrer_host") == cdn_host)
     df = df.withColumns({
         "event_timestamp": F.when(rescue, F.coalesce("_client_time", "arrival_timestamp"))
                             .otherwise(F.col("_client_time")),
-        "referrer": F.when(F.coalesce(own, F.lit(False)), None).otherwise(F.col("q_referrer")),
+        "referrer": F.when(F.coalesce(own, F.lit(False)), None).otherwise(param("referrer")),
     })
     referrer_query = urls.url_query(F.col("referrer"))
     df = df.withColumns({
@@ -120,19 +134,19 @@ def read_hits(lines: DataFrame, value: str = "value", cdn_host: str | None = Non
 
     def utm(name: str) -> Column:
         from_referrer = urls.decode_param(urls.pick_param(F.col("_ref_keys"), F.col("_ref_values"), name))
-        return F.when(noscript, from_referrer).otherwise(F.coalesce(F.col(f"q_{name}"), from_referrer))
+        return F.when(noscript, from_referrer).otherwise(F.coalesce(param(name), from_referrer))
 
     def size(width: str, height: str) -> Column:
-        return F.concat(F.col(width), F.lit("x"), F.col(height))
+        return F.concat(param(width), F.lit("x"), param(height))
 
-    shown_agent = F.when(noscript, F.coalesce("q_agent", "agent")).otherwise(F.col("agent"))
-    kind = event_type(F.col("q_type"))
+    shown_agent = F.when(noscript, F.coalesce(param("agent"), F.col("agent"))).otherwise(F.col("agent"))
+    kind = event_type(param("type"))
     stem_path = F.substring_index("uri_stem", "?", 1)
     out = df.select(
         "value", "field_count", "is_noscript", "client_ip", "agent", "arrival_timestamp", "event_timestamp",
-        F.col("q_domain_key").alias("domain_key"),
+        param("domain_key").alias("domain_key"),
         F.when(rescue, F.regexp_replace(F.col("_header_host"), r"^www\.", ""))
-         .otherwise(F.col("q_host")).alias("domain_name"),
+         .otherwise(param("host")).alias("domain_name"),
         F.to_date("event_timestamp").alias("event_date"),
         F.year("event_timestamp").alias("event_year"),
         F.month("event_timestamp").alias("event_month"),
@@ -147,19 +161,19 @@ def read_hits(lines: DataFrame, value: str = "value", cdn_host: str | None = Non
         agents.rule_version(shown_agent, agents.BROWSERS).alias("browser_version"),
         agents.rule_name(shown_agent, agents.SYSTEMS).alias("browser_os_name"),
         agents.system_version(shown_agent).alias("browser_os_version"),
-        F.col("q_timezone").alias("browser_timezone"),
-        F.col("q_language").alias("browser_language"),
+        param("timezone").alias("browser_timezone"),
+        param("language").alias("browser_language"),
         agents.device_type(agents.rule_name(shown_agent, agents.DEVICE_KINDS)).alias("device_type"),
         agents.rule_name(shown_agent, agents.VENDORS).alias("device_vendor"),
-        size("q_outer_width", "q_outer_height").alias("device_outer_resolution"),
-        size("q_inner_width", "q_inner_height").alias("device_inner_resolution"),
-        urls.leading_int(F.col("q_color_depth"), "int").alias("device_color_depth"),
-        F.col("q_platform").alias("device_platform"),
-        urls.leading_int(F.col("q_memory")).cast("float").alias("device_memory"),
-        urls.leading_int(F.col("q_cores"), "int").alias("device_cores"),
+        size("outer_width", "outer_height").alias("device_outer_resolution"),
+        size("inner_width", "inner_height").alias("device_inner_resolution"),
+        urls.leading_int(param("color_depth"), "int").alias("device_color_depth"),
+        param("platform").alias("device_platform"),
+        urls.leading_int(param("memory")).cast("float").alias("device_memory"),
+        urls.leading_int(param("cores"), "int").alias("device_cores"),
         *[utm(name).alias(name) for name in UTM],
-        F.when(noscript, header).otherwise(F.col("q_url")).alias("request_url"),
-        F.when(noscript, stem_path).otherwise(F.col("q_path")).alias("request_path"),
+        F.when(noscript, header).otherwise(param("url")).alias("request_url"),
+        F.when(noscript, stem_path).otherwise(param("path")).alias("request_path"),
         F.when(F.col("uri_query") != "-", F.col("uri_query")).alias("request_query_string"),
         urls.leading_int(F.col("bytes")).alias("request_bytes"),
         urls.leading_int(F.col("status"), "int").alias("request_status_code"),
@@ -169,15 +183,15 @@ def read_hits(lines: DataFrame, value: str = "value", cdn_host: str | None = Non
         urls.leading_int(F.col("asn")).alias("request_asn"),
         agents.is_bot(F.col("agent")).alias("request_is_bot"),
         kind.alias("event_type"),
-        F.when(kind == "event", F.col("q_event_name")).alias("event_name"),
-        F.when(kind == "event", F.col("q_event_data")).alias("event_data"),
+        F.when(kind == "event", param("event_name")).alias("event_name"),
+        F.when(kind == "event", param("event_data")).alias("event_data"),
         F.coalesce(
             F.col("error"),
             F.when(F.coalesce(F.col("uri_query"), F.lit("-")) == "-", "no_query"),
-            F.when(_malformed() | F.col("agent").isNull(), "encoding"),
+            F.when(F.col("is_malformed") | F.col("agent").isNull(), "encoding"),
             F.when(F.col("arrival_timestamp").isNull() | F.col("event_timestamp").isNull(), "timestamp"),
-            F.when(F.col("q_referrer").isNotNull() & F.col("_referrer_host").isNull(), "referrer"),
-            F.when(noscript & ~rescue & F.col("r_url").isNull(), "noscript"),
+            F.when(param("referrer").isNotNull() & F.col("_referrer_host").isNull(), "referrer"),
+            F.when(noscript & ~rescue, "noscript"),
         ).alias("error"),
     )
     return out

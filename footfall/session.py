@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 # Defaults that suit this workload. Partition counts and memory are left to the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    # Methods beyond this size are never compiled by the JVM; smaller generated code runs faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
