@@ -18,6 +18,7 @@ from footfall.operators import stats as stat_ops
 from footfall.operators.dates import Period
 from footfall.session import configure, scratch
 from footfall.sinks import tables as out
+from footfall.sources.access_log import spread
 
 DOMAIN = "site0.example"
 DAY = dt.date(2024, 1, 15)
@@ -179,7 +180,7 @@ class Inputs:
 
     @cached_property
     def raw_log(self) -> DataFrame:
-        return self._lines(self.run(RAW_LOG))
+        return spread(self._lines(self.run(RAW_LOG)))
 
     @staticmethod
     def _lines(made: DataFrame) -> DataFrame:

@@ -73,9 +73,10 @@ def boundary_rows(views: DataFrame, gap: int = GAP_SECONDS, slice_seconds: float
     """Page views that start or end a visit, with both flags.
 
     Equal timestamps end and start a visit, and so do a visitor's first and last rows.
+    Copies of one page view count once; they are combined before the shuffle.
     """
-    rows = with_neighbours(
-        views.select(*VISITOR, "event_timestamp", "page_view_id"), VISITOR, slice_seconds=slice_seconds)
+    points = views.select(*VISITOR, "event_timestamp", "page_view_id").distinct()
+    rows = with_neighbours(points, VISITOR, slice_seconds=slice_seconds)
     ts = F.col("event_timestamp")
     before, after = F.col("prev.event_timestamp"), F.col("next.event_timestamp")
     starts = before.isNull() | (times.seconds_between(before, ts) > gap) | (before == ts)

@@ -11,6 +11,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """Share lines over all cores when the scan gives fewer tasks than there are cores.
+
+    That happens with few compressed files; scans with enough tasks are left alone.
+    """
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    return lines if lines.rdd.getNumPartitions() >= cores else lines.repartition(cores)
+
+
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Log lines arriving as new text files of a folder."""
     reader = spark.readStream.format("text")

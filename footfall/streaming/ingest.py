@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from footfall import schemas
-from footfall.operators import parsing
+from footfall.operators import dimensions, parsing
 from footfall.sinks import raw
 from footfall.sinks import tables as out
 
@@ -46,7 +46,8 @@ def batch_writer(load: Callable[[], Dimensions], targets: Targets, **options):
 
     ``load`` is called once per batch, so changes of the registry take effect with the
     next one. All outputs carry the batch number in their partitions and are
-    overwritten by it: a batch repeated after a failure leaves no duplicates.
+    overwritten by it: a batch repeated after a failure with the same registry leaves
+    no duplicates.
     """
 
     def write(lines: DataFrame, batch: int) -> None:
@@ -75,8 +76,6 @@ def start_ingest(lines: DataFrame, load: Callable[[], Dimensions], targets: Targ
 def verified_stream(hits: DataFrame, load: Callable[[], DataFrame], write: Callable[[DataFrame, int], None],
                     checkpoint: str, every: str | None = EVERY) -> StreamingQuery:
     """Pass on the events of registered domains, reading the registry anew per batch."""
-    from footfall.operators import dimensions
-
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return (hits.writeStream
             .foreachBatch(lambda df, batch: write(dimensions.verified(df, load()), batch))
