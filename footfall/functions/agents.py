@@ -79,28 +79,33 @@ DEVICE_TYPES = {
     "embedded": "Embedded",
 }
 
-BOT_PATTERN = "(?i)bot|spider|crawl"
+BOT_WORDS = ("bot", "spider", "crawl")
 
 
-def rule_name(agent: Column, rules: Sequence[Rule]) -> Column:
-    """Name of the first rule whose token occurs in the agent text."""
-    return F.coalesce(*(F.when(agent.contains(r.token), F.lit(r.name)) for r in rules))
+def match(agent: Column, rules: Sequence[Rule]) -> Column:
+    """Position of the first rule whose token occurs in the agent text, or NULL."""
+    return F.coalesce(*(F.when(agent.contains(r.token), F.lit(n)) for n, r in enumerate(rules)))
 
 
-def rule_version(agent: Column, rules: Sequence[Rule]) -> Column:
-    """Version captured by the first rule whose token occurs; NULL without one."""
+def name(matched: Column, rules: Sequence[Rule]) -> Column:
+    """Name of a matched rule."""
+    return F.get(F.array(*(F.lit(r.name) for r in rules)), matched)
+
+
+def version(agent: Column, matched: Column, rules: Sequence[Rule]) -> Column:
+    """Version captured by a matched rule; NULL without one."""
     chain = F.when(F.lit(False), F.lit(None).cast("string"))
-    for r in rules:
-        found = F.regexp_extract(agent, r.pattern, 1) if r.pattern else F.lit("")
-        chain = chain.when(agent.contains(r.token), found)
+    for n, r in enumerate(rules):
+        if r.pattern:
+            chain = chain.when(matched == n, F.regexp_extract(agent, r.pattern, 1))
     return F.nullif(chain, F.lit(""))
 
 
-def system_version(agent: Column, rules: Sequence[Rule] = SYSTEMS) -> Column:
+def system_version(agent: Column, matched: Column, rules: Sequence[Rule] = SYSTEMS) -> Column:
     """Operating system version, dotted, with Windows kernel versions translated."""
-    version = F.translate(rule_version(agent, rules), "_", ".")
+    found = F.translate(version(agent, matched, rules), "_", ".")
     windows = F.create_map(*(F.lit(x) for pair in WINDOWS_VERSIONS.items() for x in pair))
-    return F.when(rule_name(agent, rules) == "Windows", F.coalesce(windows[version], version)).otherwise(version)
+    return F.when(name(matched, rules) == "Windows", F.coalesce(windows[found], found)).otherwise(found)
 
 
 def device_type(kind: Column) -> Column:
@@ -109,5 +114,10 @@ def device_type(kind: Column) -> Column:
     return F.coalesce(known[kind], F.lit("Desktop"))
 
 
-def is_bot(agent: Column, pattern: str = BOT_PATTERN) -> Column:
-    return F.coalesce(agent.rlike(pattern), F.lit(False)).cast("int")
+def is_bot(agent: Column, words: Sequence[str] = BOT_WORDS) -> Column:
+    """1 when one of the words occurs in the agent text, in any case."""
+    text = F.lower(agent)
+    found = F.lit(False)
+    for word in words:
+        found = found | text.contains(word.lower())
+    return F.coalesce(found, F.lit(False)).cast("int")

@@ -72,8 +72,12 @@ def is_absolute_url(url: Column) -> Column:
 
 
 def leading_int(c: Column, kind: str = "bigint") -> Column:
-    """The whole number a text starts with; NULL when there is none."""
-    return F.regexp_extract(c, r"^\s*([+-]?\d+)", 1).try_cast(kind)
+    """The whole number a text starts with; NULL when there is none.
+
+    Plain numbers are cast directly; the pattern is only tried on the rest.
+    """
+    plain = F.substring_index(c, ".", 1).try_cast(kind)
+    return F.coalesce(plain, F.regexp_extract(c, r"^\s*([+-]?\d+)", 1).try_cast(kind))
 
 
 def leading_number(c: Column) -> Column:

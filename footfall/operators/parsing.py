@@ -130,6 +130,12 @@ def read_hits(lines: DataFrame, value: str = "value", cdn_host: str | None = Non
     df = df.withColumns({
         "_ref_keys": urls.param_keys(referrer_query),
         "_ref_values": urls.param_values(referrer_query),
+        "_shown_agent": F.when(noscript, F.coalesce(param("agent"), F.col("agent"))).otherwise(F.col("agent")),
+    })
+
+    df = df.withColumns({
+        "_browser": agents.match(F.col("_shown_agent"), agents.BROWSERS),
+        "_system": agents.match(F.col("_shown_agent"), agents.SYSTEMS),
     })
 
     def utm(name: str) -> Column:
@@ -139,7 +145,7 @@ def read_hits(lines: DataFrame, value: str = "value", cdn_host: str | None = Non
     def size(width: str, height: str) -> Column:
         return F.concat(param(width), F.lit("x"), param(height))
 
-    shown_agent = F.when(noscript, F.coalesce(param("agent"), F.col("agent"))).otherwise(F.col("agent"))
+    shown_agent, browser, system = F.col("_shown_agent"), F.col("_browser"), F.col("_system")
     kind = event_type(param("type"))
     stem_path = F.substring_index("uri_stem", "?", 1)
     out = df.select(
@@ -157,14 +163,14 @@ def read_hits(lines: DataFrame, value: str = "value", cdn_host: str | None = Non
         F.when(F.col("referrer").isNull(), DIRECT)
          .otherwise(F.coalesce(urls.blank_to_null(F.col("_referrer_host")), F.lit(DIRECT)))
          .alias("referrer_domain_name"),
-        agents.rule_name(shown_agent, agents.BROWSERS).alias("browser_name"),
-        agents.rule_version(shown_agent, agents.BROWSERS).alias("browser_version"),
-        agents.rule_name(shown_agent, agents.SYSTEMS).alias("browser_os_name"),
-        agents.system_version(shown_agent).alias("browser_os_version"),
+        agents.name(browser, agents.BROWSERS).alias("browser_name"),
+        agents.version(shown_agent, browser, agents.BROWSERS).alias("browser_version"),
+        agents.name(system, agents.SYSTEMS).alias("browser_os_name"),
+        agents.system_version(shown_agent, system).alias("browser_os_version"),
         param("timezone").alias("browser_timezone"),
         param("language").alias("browser_language"),
-        agents.device_type(agents.rule_name(shown_agent, agents.DEVICE_KINDS)).alias("device_type"),
-        agents.rule_name(shown_agent, agents.VENDORS).alias("device_vendor"),
+        agents.device_type(agents.name(agents.match(shown_agent, agents.DEVICE_KINDS), agents.DEVICE_KINDS)).alias("device_type"),
+        agents.name(agents.match(shown_agent, agents.VENDORS), agents.VENDORS).alias("device_vendor"),
         size("outer_width", "outer_height").alias("device_outer_resolution"),
         size("inner_width", "inner_height").alias("device_inner_resolution"),
         urls.leading_int(param("color_depth"), "int").alias("device_color_depth"),
@@ -178,7 +184,7 @@ def read_hits(lines: DataFrame, value: str = "value", cdn_host: str | None = Non
         urls.leading_int(F.col("bytes")).alias("request_bytes"),
         urls.leading_int(F.col("status"), "int").alias("request_status_code"),
         F.col("cache_status").alias("request_cache_status"),
-        F.round(urls.leading_number(F.col("time_taken")) * 1000).cast("bigint")
+        F.round(urls.leading_number(F.col("time_taken")) * 1000).try_cast("bigint")
          .alias("request_delivery_time_ms"),
         urls.leading_int(F.col("asn")).alias("request_asn"),
         agents.is_bot(F.col("agent")).alias("request_is_bot"),

@@ -143,6 +143,12 @@ def test_unread_broken_escapes_do_no_harm(parse):
     assert len(parse(line(VIEW_QUERY + "&ti=100%25"), line(VIEW_QUERY + "&pr=%25zz"))) == 2
 
 
+def test_odd_numbers_never_fail(parse):
+    odd = [line(taken=t, asn=a) for t, a in [("1e300", "9" * 30), ("NaN", "12ab"), ("Infinity", ""), ("-", " 7 ")]]
+    rows = sorted((r["request_asn"] or 0, r["request_delivery_time_ms"]) for r in parse(*odd))
+    assert rows == [(0, None), (0, None), (7, None), (12, None)]
+
+
 def test_script_less_hits(parse):
     hit = line("dk=k2&t=pv", stem="/noscript.gif?n=1", referer="https://www.site.example/p?q=1")
     (row,) = parse(hit, noscript_fallback=True)
@@ -179,7 +185,9 @@ def test_device_types(spark):
 def test_own_rules_extend_the_agents(spark):
     rules = [agents.Rule("MyApp/", r"MyApp/(\d+)", "My App"), *agents.BROWSERS]
     df = spark.createDataFrame([("MyApp/3 Chrome/1.0",), ("Edg/9.1 Chrome/9",), ("curl/8",)], "a string")
-    got = [tuple(r) for r in df.select(agents.rule_name(F.col("a"), rules), agents.rule_version(F.col("a"), rules)).collect()]
+    df = df.withColumn("n", agents.match(F.col("a"), rules))
+    got = [tuple(r) for r in df.select(agents.name(F.col("n"), rules),
+                                       agents.version(F.col("a"), F.col("n"), rules)).collect()]
     assert got == [("My App", "3"), ("Edge", "9.1"), (None, None)]
 
 
