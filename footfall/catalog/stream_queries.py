@@ -47,8 +47,8 @@ def stream_hourly(i: Inputs) -> DataFrame:
 @query("stream_hourly_visitors", """
 SELECT domain_name, date_trunc('hour', event_timestamp) AS hour_start, count(DISTINCT daily_visitor_id) AS visitor_cnt
 FROM views GROUP BY 1, 2
-HAVING date_trunc('hour', max(event_timestamp)) + INTERVAL 1 HOUR
-  <= (SELECT max(event_timestamp) - INTERVAL 10 MINUTE FROM views)""")
+HAVING date_trunc('hour', max(event_timestamp))
+  <= (SELECT date_trunc('hour', max(event_timestamp)) - INTERVAL 70 MINUTE FROM views)""")
 def stream_hourly_visitors(i: Inputs) -> DataFrame:
     path = i.scratch("visitors")
     _drain(live.append_to, live.hourly_visitors(stats.pageviews(i.pv_stream())), path, i.scratch("checkpoint"))

@@ -13,6 +13,11 @@ def pageviews(incoming: DataFrame) -> DataFrame:
     return incoming.where(F.col("event_type") == "pageview")
 
 
+def without_repeats(incoming: DataFrame) -> DataFrame:
+    """Each delivered event once; the log may deliver a line more than once."""
+    return incoming.dropDuplicates(["domain_name", "event_date", "event_type", "page_view_id"])
+
+
 def _measures(page_views, visitors, bounces, duration) -> list:
     return [page_views.cast("int").alias("page_views_cnt"),
             visitors.cast("int").alias("visitor_cnt"),

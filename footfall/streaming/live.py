@@ -27,14 +27,16 @@ def hourly_pageviews(views: DataFrame, lateness: str = LATENESS) -> DataFrame:
 def hourly_visitors(views: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Exact visitors per domain and hour: drop repeats first, then count.
 
-    Emits an hour once the watermark has passed it.
+    Both steps are keyed by the end of the hour and keep their state until the watermark
+    has passed it, so a visitor who returns late in the hour is not counted again. The
+    watermark trails the newest hour by one hour more than the lateness, because the end
+    of an hour is known as soon as the hour begins.
     """
-    hour = F.window("event_timestamp", "1 hour")
-    watched = views.withWatermark("event_timestamp", lateness)
-    once = watched.withColumn("hour_start", F.date_trunc("hour", "event_timestamp")) \
-        .dropDuplicatesWithinWatermark(["domain_name", "hour_start", "daily_visitor_id"])
-    return once.groupBy("domain_name", hour).agg(F.count("daily_visitor_id").alias("visitor_cnt")) \
-        .select("domain_name", F.col("window.start").alias("hour_start"), "visitor_cnt")
+    hour_end = F.date_trunc("hour", "event_timestamp") + F.expr("interval 1 hour")
+    once = (views.withColumn("hour_end", hour_end).withWatermark("hour_end", f"1 hour {lateness}")
+            .dropDuplicates(["domain_name", "hour_end", "daily_visitor_id"]))
+    return once.groupBy("domain_name", "hour_end").agg(F.count("daily_visitor_id").alias("visitor_cnt")).select(
+        "domain_name", (F.col("hour_end") - F.expr("interval 1 hour")).alias("hour_start"), "visitor_cnt")
 
 
 def stream_sessions(views: DataFrame, gap: int = GAP_SECONDS, lateness: str = LATENESS) -> DataFrame:

@@ -134,6 +134,8 @@ def test_copies_count_as_page_views_but_not_as_visits(views):
     v = views([("u", at(0), "a"), ("u", at(0), "a"), ("u", at(5), "b")])
     row = stats.hourly_stats(v).first()
     assert (row.page_views_cnt, row.visitor_cnt, row.bounce_cnt, row.visit_duration_sec_avg) == (3, 1, 0, 5)
+    assert stats.hourly_stats(stats.without_repeats(v)).first().page_views_cnt == 2
+    assert found(sessions.sessionize(v, mode="boundary")) == [("u", "a", 5, False)]
 
 
 def test_empty_day(views):
