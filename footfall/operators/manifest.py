@@ -49,8 +49,10 @@ def current_files(events: DataFrame) -> DataFrame:
     """
     action = F.substring_index("event_name", ":", 1)
     order = F.col("sequencer") if "sequencer" in events.columns else F.lit(None).cast("string")
-    known = parse_keys(events).where(
-        action.isin("ObjectCreated", "ObjectRemoved") & F.col("file_type").isNotNull())
+    decoded = F.coalesce(percent_decode(percent_decode(F.col("s3_key"))), F.col("s3_key"))
+    area = F.substring_index("s3_key", "/", 1)
+    known = events.withColumn("s3_key", decoded).where(
+        action.isin("ObjectCreated", "ObjectRemoved") & area.isin(*FILE_TYPES))
     newest = known.groupBy("s3_bucket", "s3_key").agg(F.max(F.struct(
         F.col("event_time"), order.alias("sequencer"), (action == "ObjectCreated").alias("exists"),
         "file_size")).alias("last"))

@@ -11,10 +11,14 @@ MESSAGE = ("Records array<struct<eventName: string, eventTime: string, s3: struc
 
 
 def read_notifications(df: DataFrame, value: str = "value") -> DataFrame:
-    """One row per object event; all records of an envelope count, broken JSON gives none."""
-    envelopes = df.select(F.explode(F.from_json(F.col(value), ENVELOPE)["Records"]).alias("envelope"))
+    """One row per object event; all records of an envelope count, broken JSON gives none.
+
+    The outer generators keep Catalyst from deriving filters that would parse the JSON
+    again; rows without a record are dropped at the end.
+    """
+    envelopes = df.select(F.explode_outer(F.from_json(F.col(value), ENVELOPE)["Records"]).alias("envelope"))
     messages = envelopes.select(F.from_json(F.col("envelope.Sns.Message"), MESSAGE)["Records"].alias("records"))
-    rows = messages.select(F.inline("records"))
+    rows = messages.select(F.inline_outer("records")).where(F.col("eventName").isNotNull())
     return rows.select(
         F.col("eventName").alias("event_name"),
         F.col("eventTime").try_cast("timestamp").alias("event_time"),
