@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from footfall.llm import mixing, simhash, url_rules
+from footfall.llm import maxscore, mixing, neighbours, passages, simhash, suffix_tree, token_counts, toxicity, url_rules
 from footfall.llm.book import query, table
+from footfall.llm.labelled import held_out
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -39,3 +42,50 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, weights=(3, 1, 2), budget=1.5, most=2.0, quality=mixing.variety("text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache's folder is the session's ``footfall.token.cache``, else a new one."""
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                       spark.conf.get("footfall.token.cache", None))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op9_maxscore", """
+WITH usable AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+  parts AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS k FROM usable),
+  whole AS (SELECT vec_id, k, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM parts
+    WHERE vec_id NOT IN (SELECT vec_id FROM parts WHERE x IS NULL OR NOT isfinite(x))),
+  scores AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(sum(q.x * d.x) AS BIGINT) AS score
+    FROM whole q JOIN whole d ON q.k = d.k AND q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, d.vec_id),
+  ranked AS (SELECT query_id, vec_id, score,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10""")
+def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = maxscore.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    return maxscore.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    space = neighbours.fit(docs, table(spark, sf_dir, "labels"))
+    return neighbours.score(docs, space, threshold=0.3).withColumn("held_out", held_out())
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net, threshold=0.5).withColumn("held_out", held_out())
+
+
+@query("op8_suffix_tree")
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
+@query("op10_passages")
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeated(table(spark, sf_dir, "documents")).drop("kept")
