@@ -38,19 +38,42 @@ KIND[[0x20, 0x09]] = 58
 KIND[[0x0A, 0x0B, 0x0C, 0x0D]] = 59
 KIND[0x80:0xC0] = 60
 KIND[0xC0:] = 62
-FEATURES = KINDS * KINDS
+PAIRS = KINDS * KINDS
+FEATURES = PAIRS + 2
+
+
+def repetition(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Shares of words that equal the one before, and of word triples that occur again, of each text."""
+    plain = spans.LOWER[data]
+    starts, ends, counts = spans.words(plain, offsets)
+    words, owner = spans.xxh64(plain, starts, ends), spans.owners(counts)
+    out = np.zeros((len(counts), 2), np.float32)
+    same = np.zeros(len(words), np.int64)
+    same[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
+    out[:, 0] = spans.sums(same, counts) / np.maximum(counts - 1, 1)
+    if len(words) > 2:
+        with np.errstate(over="ignore"):
+            triple = (words[:-2] * np.uint64(3) + words[1:-1]) * np.uint64(5) + words[2:]
+            triple = triple * np.uint64(0x9E3779B97F4A7C15) ^ owner[2:].astype(np.uint64)
+        whole = owner[2:] == owner[:-2]
+        _, back, times = np.unique(triple[whole], return_inverse=True, return_counts=True)
+        again = np.bincount(owner[2:][whole], times[back] > 1, len(counts))
+        out[:, 1] = again / np.maximum(counts - 2, 1)
+    return out
 
 
 def pair_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log(1 + count) of each pair of kinds, one row per text."""
+    """log(1 + count) of each pair of kinds and the two shares, one row per text."""
     rows = len(offsets) - 1
     out = np.zeros((rows, FEATURES), np.float32)
     kinds = KIND[data]
     codes = kinds[:-1] * KINDS + kinds[1:]
     for r in range(rows):
         if offsets[r + 1] - offsets[r] > 1:
-            out[r] = np.bincount(codes[offsets[r]:offsets[r + 1] - 1], minlength=FEATURES)
-    return np.log1p(out, out=out)
+            out[r, :PAIRS] = np.bincount(codes[offsets[r]:offsets[r + 1] - 1], minlength=PAIRS)
+    np.log1p(out, out=out)
+    out[:, PAIRS:] = repetition(data, offsets)
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -63,9 +86,9 @@ class Space:
     def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int = RANK):
         self.labels = labels.astype(np.float32)
         self.share = float(labels.mean()) if len(labels) else 0.5
-        seen = (counts > 0).sum(axis=0)
+        seen = (counts[:, :PAIRS] > 0).sum(axis=0)
         self.idf = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + 1
-        weighted = _unit(counts * self.idf)
+        weighted = self._weighted(counts)
         rank = min(rank, *weighted.shape) if len(counts) else 0
         probe = np.random.default_rng(1).standard_normal((FEATURES, rank + 16)).astype(np.float32)
         for _ in range(4):  # subspace iteration
@@ -77,12 +100,16 @@ class Space:
         self.basis = np.ascontiguousarray(basis, np.float32)
         self.vectors = _unit(weighted @ self.basis)
 
+    def _weighted(self, counts: np.ndarray) -> np.ndarray:
+        """The pairs' direction and the two shares, as one direction."""
+        return _unit(np.concatenate([_unit(counts[:, :PAIRS] * self.idf), counts[:, PAIRS:]], axis=1))
+
     def scores(self, counts: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
         out = np.full(len(counts), self.share)
         some = np.flatnonzero(counts.any(axis=1)) if len(self.labels) else []
         if not len(some):
             return out
-        alike = _unit(_unit(counts[some] * self.idf) @ self.basis) @ self.vectors.T
+        alike = _unit(self._weighted(counts[some]) @ self.basis) @ self.vectors.T
         k = min(nearest, len(self.labels) - 1)
         if not k:
             out[some] = self.share

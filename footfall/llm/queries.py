@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import maxscore, mixing, neighbours, passages, simhash, suffix_tree, token_counts, toxicity, url_rules
+from footfall.llm import (
+    decontamination, maxscore, mixing, neighbours, passages, simhash, suffix_tree, token_counts, toxicity, url_rules)
 from footfall.llm.book import query, table
 from footfall.llm.labelled import held_out
 
@@ -89,3 +90,8 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_passages")
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeated(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

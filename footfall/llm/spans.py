@@ -13,6 +13,10 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
+PART = np.zeros(256, bool)  # bytes of letters and digits
+PART[0x80:] = True
+PART[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+
 CHUNK = 4 << 20  # bytes of text handled at once; a longer text is a chunk of its own
 
 # Fixed values of the XXH64 specification.
@@ -46,6 +50,11 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         low = high
 
 
+def plain(data: np.ndarray) -> np.ndarray:
+    """A-Z in small letters and a space for every byte that is no letter, digit or part of another script."""
+    return np.where(PART[data], LOWER[data], 0x20).astype(np.uint8)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word ``[^\\x20\\x09-\\x0D]+``, and the number of words of each row."""
     if not len(data):

@@ -3,9 +3,11 @@
 The tree reads small-letter words joined by single spaces, byte by byte, and one end symbol. Bytes are cut into 64 symbols:
 the commonest bytes alone, the others together (with their own probabilities inside that symbol), start and end.
 Contexts have up to ``DEPTH`` symbols. A context stays if its probability is at least ``least`` and its next-symbol
-distribution diverges enough from its parent's (probability times relative entropy at least ``gain``); so at most
+distribution diverges enough from its parent's: probability times relative entropy of at least ``gain``, and more bits saved
+than its symbols cost to describe (half a log2 of the count each), which keeps chance contexts out. So at most
 DEPTH / ``least`` contexts stay, however large the corpus is, and the tree can be broadcast. Distributions
-are smoothed towards the longest remaining suffix's. For scoring the contexts become an automaton whose state is the longest
+are smoothed towards the longest remaining suffix's; a word's probability is the tree's for its bytes and what follows, mixed
+evenly with the word's frequency (half a count for unknown ones), which the tree alone would have to learn letter by letter. For scoring the contexts become an automaton whose state is the longest
 suffix of what was read that begins a context; many stretches of text run through it side by side, each warmed up by the
 ``DEPTH`` symbols before it.
 
@@ -31,8 +33,9 @@ from footfall.llm.labelled import held_out
 
 DEPTH = 6
 SYMBOLS, OTHER, START, END = 64, 61, 62, 63
-LEAST = 1e-5
-GAIN = 1e-6
+LEAST = 5e-6
+GAIN = 3e-7
+SHARE = 0.5  # of the words' own frequencies in a word's probability
 WEIGHT = 4.0  # of the shorter context's distribution in a longer one's
 COMMON = 200_000
 STRETCH = 512
@@ -103,24 +106,31 @@ class Alphabet:
         self.inside = np.zeros(256, np.float32)
         self.inside[rare] = np.log10((counts[rare] + 0.5) / (counts[rare].sum() + 0.5 * len(rare)))
 
-    def stream(self, text: np.ndarray, ends: np.ndarray, counts: np.ndarray):
-        """Symbols of all rows, ``DEPTH`` starts before each row and an end after it; where each row's symbols begin and
-        end; and each row's sum of probabilities inside symbols."""
-        last = np.cumsum(counts)
-        size = np.where(counts > 0, np.append(ends, [0])[last - 1] + 1, 0)
-        high = np.maximum.accumulate(size) if len(size) else size  # the end of each row's text, spaces included
-        low = np.concatenate([[0], high[:-1]]) if len(high) else high
-        length = np.maximum(high - low, 1)
-        until = np.cumsum(length + DEPTH)
+    def stream(self, text: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all rows, ``DEPTH`` starts before each row and an end as its last; and for each byte of the text
+        (words with one space after each) its log10 probability inside its symbol, 0 where the end takes its place."""
+        size = _bytes(ends, counts)
+        until = np.cumsum(np.maximum(size, 1) + DEPTH)
         out = np.full(int(until[-1]) if len(until) else 0, START, np.uint8)
-        body = high > low
-        owner = spans.owners((high - low)[body])
-        at = (until - length)[body][owner] + np.arange(len(owner)) - (np.cumsum((high - low)[body]) - (high - low)[body])[owner]
-        out[at] = self.symbol[text]
+        body = size > 0
+        owner = spans.owners(size[body])
+        inner = np.arange(len(text)) - (np.cumsum(size[body]) - size[body])[owner]
+        out[(until - size)[body][owner] + inner] = self.symbol[text]
         out[until - 1] = END
-        own = self.inside[text].astype(np.float64)
-        own[high[body] - 1] = 0
-        return out, until - length, until, spans.sums(own, high - low)
+        inside = self.inside[text].astype(np.float64)
+        inside[np.cumsum(size[body]) - 1] = 0
+        return out, inside
+
+
+def _bytes(ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bytes of each row's words, with a space after each."""
+    upto = np.concatenate([[0], ends + 1])[np.cumsum(counts)]
+    return np.diff(upto, prepend=0)
+
+
+def _blend(by_count: np.ndarray, by_tree: np.ndarray) -> np.ndarray:
+    """log10 of the mixed probability."""
+    return np.log10(SHARE * 10.0**by_count + (1 - SHARE) * 10.0**by_tree)
 
 
 def grams(symbols: np.ndarray) -> np.ndarray:
@@ -231,8 +241,9 @@ def contexts(counted: DataFrame, total: int, least: float, gain: float) -> list[
         "suffix", F.col("context").bitwiseAND(F.expr("shiftleft(1L, 6 * (d - 1)) - 1")))
     share = F.col("n") / F.col("all")
     apart = child.join(parent, ["d", "suffix", "symbol"]).groupBy("d", "context").agg(
-        F.sum(share * F.log2(share / F.col("q"))).alias("bits"), F.first("all").alias("all"))
-    passed = apart.where(F.col("all") / float(max(total, 1)) * F.col("bits") >= gain).select("d", "context")
+        F.sum(F.col("n") * F.log2(share / F.col("q"))).alias("bits"), F.first("all").alias("all"), F.count("*").alias("symbols"))
+    passed = apart.where((F.col("bits") >= gain * total) & (F.col("bits") >= F.col("symbols") * F.log2(F.col("all")) / 2)).select(
+        "d", "context")
     rows = kept.where("d > 0").join(passed, ["d", "context"]).unionByName(kept.where("d = 0"), allowMissingColumns=True)
     got = rows.select("d", "context", "symbol", "n").toArrow()
     return list(zip(*(got[c].to_pylist() for c in ("d", "context", "symbol", "n"))))
@@ -272,6 +283,7 @@ def score(docs: DataFrame, fold: int = 1, least: float = LEAST, gain: float = GA
     complete = types - (rows > 0) <= common  # all words are known to the tasks
     below = np.log10(tokens + 0.5 * (types + 1)) if tokens else np.log10(0.5)
     end_log = np.log10(rows + 0.5) - below
+    go_on = np.log10(max(1 - 10**end_log, 1e-9))  # that a word is not the last
 
     def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet, tree, known, known_counts = sent.value
@@ -281,44 +293,60 @@ def score(docs: DataFrame, fold: int = 1, least: float = LEAST, gain: float = GA
             for low, high in spans.chunks(offsets):
                 some = spans.LOWER[data[offsets[low]:offsets[high]]]
                 text, starts, ends, counts = spans.spaced(some, offsets[low:high + 1] - offsets[low])
-                symbols, begin, until, inside = alphabet.stream(text, ends, counts)
-                logp = tree.read(symbols).astype(np.float64)
-                total = np.concatenate([[0.0], np.cumsum(logp)])
-                scores = total[until] - total[begin] + inside
+                # The tree's probability of each word with the space or end after it.
+                symbols, inside = alphabet.stream(text, ends, counts)
+                logp = tree.read(symbols)[symbols != START].astype(np.float64)
+                after = np.zeros(len(counts), np.int64)
+                after[counts == 0] = 1
+                places = np.cumsum(after + _bytes(ends, counts)) - 1  # of each row's end
+                alone = np.zeros(len(logp), bool)
+                alone[places[counts == 0]] = True
+                empty = logp[alone]
+                total = np.concatenate([[0.0], np.cumsum(logp[~alone] + inside)])
+                by_tree = total[ends + 1] - total[starts]
+                last = np.zeros(len(starts), bool)
+                last[(np.cumsum(counts) - 1)[counts > 0]] = True
 
                 types_here, back = np.unique(spans.xxh64(text, starts, ends), return_inverse=True)
                 at = np.minimum(np.searchsorted(known, types_here), max(len(known) - 1, 0))
                 hit = known[at] == types_here if len(known) else np.zeros(len(types_here), bool)
-                values = np.where(hit, logs[np.where(hit, at, -1)], np.log10(0.5) - below if complete else 0.0)
+                values = np.where(hit, logs[np.where(hit, at, -1)], np.log10(0.5) - below)[back]
                 found = hit[back]
-                rare = np.flatnonzero(~found) if not complete else np.zeros(0, np.int64)
-                pairs = np.stack([spans.owners(counts)[rare], back[rare]])
-                pairs, times = np.unique(pairs, axis=1, return_counts=True) if len(rare) else (pairs, rare)
-                sizes = np.bincount(pairs[0], minlength=high - low)
+                ready = found | complete
+                score = np.where(ready, _blend(values + np.where(last, end_log, go_on), by_tree), 0.0)
+                scores = spans.sums(score, counts)
+                scores[counts == 0] = _blend(np.full(len(empty), end_log), empty)
+
+                rare = np.flatnonzero(~ready)
+                sizes = np.bincount(spans.owners(counts)[rare], minlength=high - low)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
-                    pa.StructArray.from_arrays([pa.array(types_here[pairs[1]].view(np.int64)), pa.array(times.astype(np.int64))],
-                                               names=["key", "times"]))
+                    pa.StructArray.from_arrays([pa.array(types_here[back[rare]].view(np.int64)), pa.array(by_tree[rare].astype(np.float32)),
+                                                pa.array(last[rare])], names=["key", "by_tree", "last"]))
                 n = high - low
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).slice(low, n), part.column(1).slice(low, n), pa.array(counts.astype(np.int64) + 1),
                      pa.array(spans.sums(found.astype(np.int64), counts) + int(rows > 0)),
-                     pa.array(spans.sums(values[back], counts) + end_log), pa.array(scores), lists],
+                     pa.array(spans.sums(np.where(ready, values, 0.0), counts) + end_log), pa.array(scores), lists],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.mapInArrow(batches, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, "
-                                      "score double, rare array<struct<key:long,times:long>>")
+                                      "score double, rare array<struct<key:long,by_tree:float,last:boolean>>")
     if complete:
         result = scored.drop("rare")
     else:
         scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
         rare = scored.select("row", F.inline("rare")).join(words.where("kind = 0").select("key", "n"), "key", "left")
         c = F.coalesce("n", F.lit(0))
-        more = rare.groupBy("row").agg(F.sum(F.col("times") * (F.log10(c + 0.5) - F.lit(float(below)))).alias("more_base"),
-                                       F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
+        base = F.log10(c + 0.5) - F.lit(float(below))
+        alike = F.lit(SHARE) * F.pow(F.lit(10.0), base + F.when(F.col("last"), float(end_log)).otherwise(float(go_on)))
+        blend = F.log10(alike + (1 - SHARE) * F.pow(F.lit(10.0), F.col("by_tree").cast("double")))
+        more = rare.groupBy("row").agg(F.sum(base).alias("more_base"), F.sum(blend).alias("more_score"),
+                                       F.sum(F.when(c > 0, 1).otherwise(0)).alias("more_known"))
         result = scored.drop("rare").join(more, "row", "left").withColumns({
             "base_score": F.col("base_score") + F.coalesce("more_base", F.lit(0.0)),
+            "score": F.col("score") + F.coalesce("more_score", F.lit(0.0)),
             "n_known": F.col("n_known") + F.coalesce("more_known", F.lit(0))})
     return result.select(F.col("doc_id").alias(id_column), "held_out", "n_tokens", "n_known",
                          F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")

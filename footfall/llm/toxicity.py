@@ -33,15 +33,10 @@ EPOCHS = 6
 BLOCK = 4096  # windows run through the network at once
 CHUNK = 1 << 20
 
-_PART = np.zeros(256, bool)
-_PART[0x80:] = True
-for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
-    _PART[_c] = True
-
 
 def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Small-letter bytes with everything between words made spaces; starts, ends and counts of words."""
-    plain = np.where(_PART[data], spans.LOWER[data], 0x20).astype(np.uint8)
+    plain = spans.plain(data)
     return plain, *spans.words(plain, offsets)
 
 
