@@ -69,8 +69,9 @@ def _key(seed: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: Sequence[float], budget: float = 1.5, most: float = 2.0, quality: Column | None = None,
-        seed: int = 0, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, source, target, taken) of each document.
+        seed: int = 0, id_column: str = "doc_id", text: str = "text", source: str = "source",
+        keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, size, source_size, source, target, taken) of each document, and the columns to ``keep``.
 
     ``budget`` is the share of all words that the mix takes, ``most`` the number of times a document may be taken.
     """
@@ -79,8 +80,9 @@ def mix(docs: DataFrame, weights: Sequence[float], budget: float = 1.5, most: fl
     slim = docs.select(
         F.col(id_column).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"),
-        F.when(usable, F.greatest(weight, F.lit(MIN_QUALITY))).otherwise(MIN_QUALITY).alias("quality"))
-    slim = slim.withColumn("key", _key(seed)).select("doc_id", "source", "size", "key", "mark")
+        F.when(usable, F.greatest(weight, F.lit(MIN_QUALITY))).otherwise(MIN_QUALITY).alias("quality"),
+        *([F.struct(*keep).alias("kept")] if keep else []))
+    slim = slim.withColumn("key", _key(seed)).drop("quality")
     slim = stored(slim.withColumn("row", F.monotonically_increasing_id()), "sizes")
 
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -120,4 +122,4 @@ def mix(docs: DataFrame, weights: Sequence[float], budget: float = 1.5, most: fl
     planned = planned.join(cut, "row", "left")
     chosen_part = F.coalesce("part", F.when(F.col("key") < F.col("low"), F.col("size")), F.lit(0))
     return planned.select(F.col("doc_id").alias(id_column), "size", "source_size", "source", "target",
-                          (F.col("epochs") * F.col("size") + chosen_part).alias("taken"))
+                          (F.col("epochs") * F.col("size") + chosen_part).alias("taken"), *(["kept.*"] if keep else []))

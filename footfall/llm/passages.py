@@ -136,7 +136,7 @@ def multikey_quicksort(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+def keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """The documents with two hashes that identify a row, up to rows that are equal anyway."""
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumn("body", body).withColumns({
@@ -347,39 +347,41 @@ def _covered(length: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def cut_rows(bodies: pa.Array, lists: pa.Array) -> Iterator[tuple[bytes, int, int, int]]:
+    """What is left of each text, its bytes, removed bytes and removed runs; ``lists``: covered stretches (begin, end)."""
+    data, offsets = spans.text_bytes(bodies)
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    begin, end = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    at = np.concatenate([[0], np.cumsum(counts)])
+    for r in range(len(bodies)):
+        body = data[offsets[r]:offsets[r + 1]]
+        if not counts[r]:
+            yield body.tobytes(), len(body), 0, 0
+            continue
+        gone = _covered(len(body), begin[at[r]:at[r + 1]], end[at[r]:at[r + 1]])
+        runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+        yield body[~gone].tobytes(), len(body), int(gone.sum()), runs
+
+
 def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", group: int = GROUP,
                     piece: int = PIECE) -> DataFrame:
     """The documents with n_bytes, n_removed, n_spans, kept_sha256 and ``kept``, the remaining text."""
     small_batches(docs.sparkSession)
-    keyed = _keyed(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text").drop("text")
-    spans_of = repeated_stretches(keyed, group, piece).groupBy("id1", "id2").agg(
+    marked = keyed(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text").drop("text")
+    spans_of = repeated_stretches(marked, group, piece).groupBy("id1", "id2").agg(
         F.collect_list(F.struct("begin", "end")).alias("spans"))
 
     def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            data, offsets = spans.text_bytes(part.column(1))
-            lists = part.column(2)
-            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten()
-            begin, end = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            at = np.concatenate([[0], np.cumsum(counts)])
-            rows = []
-            for r in range(part.num_rows):
-                body = data[offsets[r]:offsets[r + 1]]
-                if not counts[r]:
-                    raw = body.tobytes()
-                    rows.append((len(body), 0, 0, hashlib.sha256(raw).hexdigest(), raw.decode("utf-8", "ignore")))
-                    continue
-                gone = _covered(len(body), begin[at[r]:at[r + 1]], end[at[r]:at[r + 1]])
-                raw = body[~gone].tobytes()
-                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(body), int(gone.sum()), runs, hashlib.sha256(raw).hexdigest(), raw.decode("utf-8", "ignore")))
+            rows = [(size, gone, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"))
+                    for left, size, gone, runs in cut_rows(part.column(1), part.column(2))]
             made = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(
                 (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", "n_bytes", "n_removed", "n_spans",
                                                                             "kept_sha256", "kept"])
 
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    joined = keyed.join(spans_of.hint("shuffle_hash"), ["id1", "id2"], "left").select("doc_id", "body", "spans")
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    joined = marked.join(spans_of.hint("shuffle_hash"), ["id1", "id2"], "left").select("doc_id", "body", "spans")
     result = joined.mapInArrow(batches, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return result.withColumnRenamed("doc_id", id_column)

@@ -24,43 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm import spans
+from footfall.llm import long_simhash, spans
 from footfall.llm.book import small_batches, stored
 from footfall.llm.components import components
+from footfall.llm.long_simhash import bit_majorities, shingles
 
 RADIUS = 2
 BUCKET = 256
 PIVOTS = 32
-_LANES = np.uint64(0x0101010101010101)
-
-
-def shingles(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last word of each shingle, and the number of shingles of each row."""
-    number = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
-    owner = spans.owners(number)
-    before = np.cumsum(number) - number
-    first = (np.cumsum(counts) - counts)[owner] + np.arange(number.sum()) - before[owner]
-    return first, first + np.minimum(counts, size)[owner] - 1, number
-
-
-def _fingerprints(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Bit j is set if more than half of a row's hashes have it."""
-    out = np.zeros(len(number), np.uint64)
-    rows = np.flatnonzero(number)
-    if not len(rows):
-        return out
-    # Eight bits are counted at once in byte lanes, over at most 255 hashes.
-    parts = (number[rows] + 254) // 255
-    owner = spans.owners(parts)
-    inner = np.arange(parts.sum()) - (np.cumsum(parts) - parts)[owner]
-    starts = (np.cumsum(number[rows]) - number[rows])[owner] + 255 * inner
-    for bit in range(8):
-        lanes = np.add.reduceat((hashes >> np.uint64(bit)) & _LANES, starts)
-        ones = lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64)
-        for byte in range(8):
-            set_bits = 2 * spans.sums(ones[:, byte], parts) > number[rows]
-            out[rows] |= set_bits.astype(np.uint64) << np.uint64(8 * byte + bit)
-    return out
 
 
 def text_fingerprints(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
@@ -70,7 +41,7 @@ def text_fingerprints(data: np.ndarray, offsets: np.ndarray, size: int) -> np.nd
         part = spans.LOWER[data[offsets[low]:offsets[high]]]
         text, starts, ends, counts = spans.spaced(part, offsets[low:high + 1] - offsets[low])
         first, last, number = shingles(counts, size)
-        out[low:high] = _fingerprints(spans.xxh64(text, starts[first], ends[last]), number)
+        out[low:high] = bit_majorities(spans.xxh64(text, starts[first], ends[last]), number)
     return out
 
 
@@ -149,8 +120,14 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, id_column: str = "doc_id", text: str = "text",
-                    bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each row; ``size`` is the number of words in a shingle."""
+                    bucket: int = BUCKET, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each row; ``size`` is the number of words in a shingle.
+
+    Links are fingerprints at most two bits apart. With a ``similarity``, links are long fingerprints within the radius of
+    that Jaccard similarity instead (see ``long_simhash``), and the result is (doc_id, component_id).
+    """
+    if similarity is not None:
+        return long_simhash.near_copies(docs, size, similarity, id_column, text)
     marked = stored(fingerprints(docs, size, id_column, text), "fingerprints")
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(links(fps, bucket)).select(F.col("node").alias("fp"), "root")
