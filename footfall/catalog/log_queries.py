@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from footfall.catalog.book import query
 from footfall.catalog.inputs import Inputs
-from footfall.functions import urls
+from footfall.functions import agents, urls
 from footfall.operators import dimensions, parsing, stats
 
 _FIELD = ",\n  ".join(f"string_split(value, chr(9))[{i + 1}] AS {name}" for i, name in enumerate(parsing.FIELDS))
@@ -131,6 +131,19 @@ def enrich_user_agent(i: Inputs) -> DataFrame:
                            "browser_os_version", "device_vendor")
 
 
+@query("enrich_own_rules", f"""
+SELECT event_timestamp, CASE WHEN {_HUMAN} THEN CASE v % 4 WHEN 1 THEN 'Fox' ELSE 'Webkit' END END AS browser_name,
+  CASE WHEN {_HUMAN} THEN CASE v % 4 WHEN 0 THEN '537.36' WHEN 2 THEN '604.1' WHEN 3 THEN '537.36' END END AS browser_version,
+  CASE WHEN {_HUMAN} AND v % 4 = 3 THEN 'Droid' END AS browser_os_name,
+  CAST(CASE WHEN {_HUMAN} AND v % 4 = 1 THEN 1 ELSE 0 END AS INT) AS request_is_bot FROM hits""")
+def enrich_own_rules(i: Inputs) -> DataFrame:
+    rules = agents.Rules(
+        browsers=[agents.Rule("Firefox/", "", "Fox"), agents.Rule("Safari/", r"Safari/([\d.]+)", "Webkit")],
+        systems=[agents.Rule("Android", "", "Droid")], bot_words=["windows"])
+    return parsing.read_hits(i.raw_log, rules=rules).where(F.col("error").isNull()).select(
+        "event_timestamp", "browser_name", "browser_version", "browser_os_name", "request_is_bot")
+
+
 @query("map_device_type", f"""
 SELECT event_timestamp, CASE WHEN {_HUMAN} AND v % 4 >= 2 THEN 'Mobile' ELSE 'Desktop' END AS device_type
 FROM hits""")
@@ -186,6 +199,15 @@ def lookup_salt(i: Inputs) -> DataFrame:
     return dimensions.with_salt(_hits(i), i.salts).select("event_timestamp", "event_date", "salt")
 
 
+@query("lookup_salt_conflict", """
+SELECT event_timestamp, event_date, CASE WHEN event_date <> DATE '2024-01-10' THEN salt END AS salt FROM hits""")
+def lookup_salt_conflict(i: Inputs) -> DataFrame:
+    """A date with two salts has none."""
+    other = i.salts.where("event_date = DATE '2024-01-10'").withColumn("salt", F.lit("another"))
+    twice = i.salts.unionByName(i.salts.limit(3)).unionByName(other)
+    return dimensions.with_salt(_hits(i), twice).select("event_timestamp", "event_date", "salt")
+
+
 @query("verify_domains", """
 SELECT event_timestamp, domain_name, concat('key', v % 3) AS domain_key FROM hits WHERE event_id % 17 <> 0""")
 def verify_domains(i: Inputs) -> DataFrame:

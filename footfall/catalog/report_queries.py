@@ -12,6 +12,8 @@ from footfall.catalog.inputs import DAY, DOMAIN, FORTNIGHT, Inputs
 from footfall.functions import times
 from footfall.operators import dates, reports
 from footfall.operators.dates import Period
+from footfall.plans.report import full_report
+from footfall.sources import tables as src
 
 _DOMAIN = f"domain_name = '{DOMAIN}'"
 _NOW = f"event_date BETWEEN DATE '{FORTNIGHT.start}' AND DATE '{FORTNIGHT.end}'"
@@ -201,3 +203,26 @@ def date_range_custom(i: Inputs) -> DataFrame:
     spans = i.events.groupBy("user_id").agg(
         F.to_date(F.min("ts")).alias("start_date"), F.to_date(F.max("ts")).alias("end_date"))
     return dates.custom_ranges(spans)
+
+
+def _measures(extra: str) -> str:
+    return f"""CAST(sum(page_views_cnt) AS BIGINT) AS pageviews_cnt, CAST(sum(visitor_cnt) AS BIGINT) AS visitors_cnt,
+  CAST(sum(visit_duration_sec_avg) AS BIGINT) AS visit_seconds, {extra} AS percentage"""
+
+
+def _percent(measure: str) -> str:
+    return (f"CAST(floor(CAST(sum({measure}) AS BIGINT) / (SELECT CAST(sum({measure}) AS BIGINT) {_ROWS}) * 100 + 0.5) AS BIGINT)")
+
+
+@query("report_full", f"""
+SELECT 'Figures' AS section, CASE WHEN {_NOW} THEN 'current' ELSE 'comparison' END AS name, CAST(NULL AS VARCHAR) AS code,
+  {_measures('CAST(NULL AS BIGINT)')} FROM stats WHERE {_DOMAIN} AND ({_NOW} OR {_THEN}) GROUP BY 2
+UNION ALL SELECT 'Series', CAST(event_date AS VARCHAR), NULL, {_measures('NULL')} {_ROWS} GROUP BY 2
+UNION ALL SELECT 'Map', edge_country, country_code, {_measures(_percent('visitor_cnt'))}
+  FROM stats LEFT JOIN countries ON country = edge_country WHERE {_DOMAIN} AND {_NOW} GROUP BY 2, 3
+""" + "".join(f"""UNION ALL SELECT '{title}', coalesce({column}, 'Unknown'), NULL, {_measures(_percent(reports.METRICS[metric]))}
+  {_ROWS} GROUP BY 2
+""" for title, (column, metric) in reports.BREAKDOWNS.items()))
+def report_full(i: Inputs) -> DataFrame:
+    """Over the stored table, so its filters choose partitions."""
+    return full_report(src.stats(i.spark, i.stored_stats()), DOMAIN, FORTNIGHT, i.countries)

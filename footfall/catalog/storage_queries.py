@@ -128,6 +128,25 @@ def export_csv_roundtrip(i: Inputs) -> DataFrame:
     return exports.read_csv(i.spark, path, schemas.STATS)
 
 
+_SPECIAL = """
+SELECT 'a.example' AS domain_name, DATE '2024-01-01' AS event_date, CAST(event_id % 24 AS INT) AS event_hour,
+  concat(CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN '"' WHEN 2 THEN 'a;b' WHEN 3 THEN 'c\\d' WHEN 4 THEN concat('e', chr(10), 'f')
+    WHEN 5 THEN '""' WHEN 6 THEN concat(' g ', chr(13), chr(10), '"h";') WHEN 7 THEN '\\"' ELSE '/i' END,
+    CASE WHEN event_id % 9 = 0 THEN '' ELSE CAST(event_id AS STRING) END) AS request_path,
+  CASE WHEN event_id % 2 = 0 THEN '' END AS utm_source, CAST(1 AS INT) AS page_views_cnt FROM events"""
+
+
+@query("export_csv_special", _SPECIAL.replace("AS STRING", "AS VARCHAR"))
+def export_csv_special(i: Inputs) -> DataFrame:
+    """Quotes, delimiters, backslashes, line breaks, empty texts and NULL come back as they were."""
+    columns = ["domain_name", "event_date", "event_hour", "request_path", "utm_source", "page_views_cnt"]
+    special = i.run(_SPECIAL.replace("\\", "\\\\").replace("chr(", "char(").replace("FROM events", "FROM {events} e"))
+    path = f"{i.scratch('export')}/special.csv"
+    exports.export_csv(special.select(*columns), path)
+    ddl = "domain_name string, event_date date, event_hour int, request_path string, utm_source string, page_views_cnt int"
+    return exports.read_csv(i.spark, path, ddl)
+
+
 @query("export_arrow", f"SELECT {_STATS} FROM stats")
 def export_arrow(i: Inputs) -> DataFrame:
     chunks = exports.to_arrow_chunks(schemas.conform(i.stats, schemas.STATS))
@@ -148,15 +167,15 @@ def serve_history_only(i: Inputs) -> DataFrame:
 def refresh_full(i: Inputs) -> DataFrame:
     path = i.scratch("history")
     serving.refresh_full(i.spark, i.stored_stats(), path)
-    return src.stats(i.spark, path)
+    return serving.read_history(i.spark, path)
 
 
 @query("refresh_incremental", f"SELECT {_STATS} FROM stats WHERE event_date <= DATE '{DAY}'")
 def refresh_incremental(i: Inputs) -> DataFrame:
     path = i.scratch("history")
-    out.write_stats(_until(src.stats(i.spark, i.stored_stats()), BEFORE), path)
+    serving.refresh_full(i.spark, i.stored_stats(), path, DAY)
     serving.refresh_history(i.spark, i.stored_stats(), path, RUN_DATE)
-    return src.stats(i.spark, path)
+    return serving.read_history(i.spark, path)
 
 
 @query("nightly_job", f"SELECT {_STATS} FROM stats WHERE event_date <= DATE '{DAY}'")
@@ -165,7 +184,7 @@ def nightly_job(i: Inputs) -> DataFrame:
     out.write_stats(_until(src.stats(i.spark, i.stored_stats()), BEFORE), layout.stats)
     serving.refresh_full(i.spark, layout.stats, layout.history)
     jobs.nightly(i.spark, i.pv, layout, RUN_DATE)
-    return serving.serve(src.stats(i.spark, layout.history))
+    return serving.serve(serving.read_history(i.spark, layout.history))
 
 
 @query("hourly_job", f"SELECT {_STATS} FROM stats WHERE event_date = DATE '{RUN_DATE}'")
@@ -178,12 +197,44 @@ def hourly_job(i: Inputs) -> DataFrame:
 @query("late_reprocess", f"SELECT {_STATS} FROM stats")
 def late_reprocess(i: Inputs) -> DataFrame:
     path = i.scratch("late")
-    on_time = i.pv.where(F.col("arrival_timestamp") <= F.lit(CUTOFF).cast("timestamp"))
-    out.write_stats(stats.daily_stats(on_time), path)
+    out.write_stats(stats.daily_stats(_arrived(i, CUTOFF)), path)
     serving.reprocess(i.pv, CUTOFF, path)
     return src.stats(i.spark, path)
 
 
+def _arrived(i: Inputs, moment: str) -> DataFrame:
+    return i.pv.where(F.col("arrival_timestamp") < F.lit(moment).cast("timestamp"))
+
+
+def _with_late_night(i: Inputs, label: str) -> jobs.Layout:
+    """A table of what had arrived before the day, then one night that also takes the arrivals since."""
+    layout = jobs.Layout(i.scratch(label))
+    on_time, days = _arrived(i, str(DAY)), [r.event_date for r in i.pv.select("event_date").distinct().collect()]
+    serving.recompute(on_time, [d for d in days if d < DAY], layout.stats, layout.events)
+    serving.refresh_history(i.spark, layout.stats, layout.history, DAY)
+    jobs.nightly(i.spark, i.pv, layout, RUN_DATE, since=str(DAY))
+    return layout
+
+
+@query("late_served", f"SELECT {_STATS} FROM stats WHERE event_date <= DATE '{DAY}'")
+def late_served(i: Inputs) -> DataFrame:
+    return serving.read_history(i.spark, _with_late_night(i, "late-served").history)
+
+
+@query("late_events", f"SELECT {_EVENTS} FROM pv WHERE event_type = 'event' AND event_date <= DATE '{DAY}'")
+def late_events(i: Inputs) -> DataFrame:
+    return src.curated_events(i.spark, _with_late_night(i, "late-events").events)
+
+
+@query("refresh_gap", f"SELECT {_STATS} FROM stats WHERE event_date <= DATE '{DAY}'")
+def refresh_gap(i: Inputs) -> DataFrame:
+    """Two nights were missed; the third refresh brings their days too."""
+    path = i.scratch("gap")
+    serving.refresh_full(i.spark, i.stored_stats(), path, DAY - dt.timedelta(days=2))
+    serving.refresh_history(i.spark, i.stored_stats(), path, RUN_DATE, [DAY])
+    return serving.read_history(i.spark, path)
+
+
 @query("registry_list", "SELECT domain_name, domain_key, created_timestamp FROM domains ORDER BY domain_name DESC")
 def registry_list(i: Inputs) -> DataFrame:
     return registry.list_domains(i.domains)
@@ -209,6 +260,23 @@ def registry_upsert(i: Inputs) -> DataFrame:
     return registry.upsert(customers.unionByName(named("supplier", "s_name", "old")), fresh)
 
 
+@query("registry_upsert_repeated", """
+SELECT c_name AS domain_name, concat('key', max(o_orderkey)) AS domain_key,
+  TIMESTAMP '2024-02-01 00:00:00' AS created_timestamp
+FROM (SELECT c_name, o_orderkey, o_orderdate, max(o_orderdate) OVER (PARTITION BY c_name) AS newest
+  FROM customer JOIN orders ON c_custkey = o_custkey) o WHERE o_orderdate = newest GROUP BY c_name""")
+def registry_upsert_repeated(i: Inputs) -> DataFrame:
+    """Many changes of one domain: the newest counts, of equally new ones the largest key."""
+    changes = i.table("customer").join(i.table("orders"), F.col("c_custkey") == F.col("o_custkey")).select(
+        F.col("c_name").alias("domain_name"), F.format_string("%012d", "o_orderkey").alias("domain_key"),
+        F.col("o_orderdate").cast("timestamp").alias("created_timestamp"))
+    old = changes.select("domain_name", F.lit("old").alias("domain_key"), F.lit("1990-01-01").cast("timestamp").alias(
+        "created_timestamp")).distinct()
+    return registry.upsert(old, changes).select(
+        "domain_name", F.concat(F.lit("key"), F.col("domain_key").try_cast("bigint")).alias("domain_key"),
+        F.lit("2024-02-01").cast("timestamp").alias("created_timestamp"))
+
+
 @query("registry_delete", f"SELECT domain_name, domain_key, created_timestamp FROM domains WHERE domain_name <> '{DOMAIN}'")
 def registry_delete(i: Inputs) -> DataFrame:
     gone = registry.get_domain(i.domains, DOMAIN).select("domain_name")
@@ -266,6 +334,24 @@ FROM {_CURRENT} WHERE s3_key LIKE 'aggregated/daily-stats/event_date={DAY}%'""")
 def today_changed(i: Inputs) -> DataFrame:
     noon = F.lit(f"{DAY} 12:00:00").cast("timestamp")
     earlier = manifest.current_files(i.object_events.where(F.col("event_time") < noon))
-    last = manifest.files_today(earlier, DAY).scalar()
-    return manifest.files_today(manifest.current_files(i.object_events), DAY).withColumn(
-        "changed", F.col("file_count") != last)
+    last = manifest.files_today(earlier, DAY).select("file_count").scalar()
+    return manifest.files_today(manifest.current_files(i.object_events), DAY).select(
+        "file_count", (F.col("file_count") != last).alias("changed"))
+
+
+@query("today_replaced", f"""
+SELECT n.file_count, n.file_count <> b.file_count OR n.newest <> b.newest AS changed
+FROM (SELECT count(*) AS file_count, max(event_time) AS newest FROM {_CURRENT}
+    WHERE s3_key LIKE 'aggregated/daily-stats/event_date={DAY}%') n,
+  (SELECT count(*) AS file_count, max(event_time) AS newest FROM
+    (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s3_key ORDER BY event_time DESC) AS rn
+      FROM object_events WHERE event_time < TIMESTAMP '{DAY} 12:00:00') o
+     WHERE rn = 1 AND event_name LIKE 'ObjectCreated%') e
+    WHERE s3_key LIKE 'aggregated/daily-stats/event_date={DAY}%') b""")
+def today_replaced(i: Inputs) -> DataFrame:
+    """Files that were replaced one for one are noticed by the time of the newest."""
+    noon = F.lit(f"{DAY} 12:00:00").cast("timestamp")
+    earlier = manifest.files_today(manifest.current_files(i.object_events.where(F.col("event_time") < noon)), DAY)
+    changed = (F.col("file_count") != earlier.select("file_count").scalar()) | (
+        F.col("newest_file") != earlier.select("newest_file").scalar())
+    return manifest.files_today(manifest.current_files(i.object_events), DAY).select("file_count", changed.alias("changed"))

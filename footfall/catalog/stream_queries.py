@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from footfall.catalog.book import query
 from footfall.catalog.inputs import Inputs
 from footfall.operators import parsing, stats
+from footfall.operators.sessions import VISITOR
 from footfall.streaming import ingest, live
 
 
@@ -40,30 +41,28 @@ SELECT domain_name, date_trunc('hour', event_timestamp) AS hour_start, count(pag
 FROM views GROUP BY 1, 2""")
 def stream_hourly(i: Inputs) -> DataFrame:
     path = i.scratch("hourly")
-    _drain(live.replace_in, live.hourly_pageviews(stats.pageviews(i.pv_stream())), path, i.scratch("checkpoint"))
-    return i.spark.read.parquet(path).select("domain_name", "hour_start", "page_views_cnt")
+    _drain(live.keep_newest, live.hourly_pageviews(stats.pageviews(i.pv_stream())), path, i.scratch("checkpoint"))
+    return live.newest(i.spark.read.parquet(path), ["domain_name", "hour_start"]).select(
+        "domain_name", "hour_start", "page_views_cnt")
 
 
 @query("stream_hourly_visitors", """
 SELECT domain_name, date_trunc('hour', event_timestamp) AS hour_start, count(DISTINCT daily_visitor_id) AS visitor_cnt
-FROM views GROUP BY 1, 2
-HAVING date_trunc('hour', max(event_timestamp))
-  <= (SELECT date_trunc('hour', max(event_timestamp)) - INTERVAL 70 MINUTE FROM views)""")
+FROM views GROUP BY 1, 2""")
 def stream_hourly_visitors(i: Inputs) -> DataFrame:
     path = i.scratch("visitors")
     _drain(live.append_to, live.hourly_visitors(stats.pageviews(i.pv_stream())), path, i.scratch("checkpoint"))
-    return i.spark.read.parquet(path).select("domain_name", "hour_start", "visitor_cnt")
+    return live.finish(live.hourly_visitors(stats.pageviews(i.pv)), path, ["domain_name", "hour_start"])
 
 
 @query("stream_sessions", """
 SELECT domain_name, event_date, daily_visitor_id, session_start AS session_start_timestamp,
   session_end AS session_end_timestamp, n_views AS page_views_cnt, visit_duration_sec
-FROM sessions WHERE date_trunc('second', session_end) + INTERVAL 1800 SECOND
-  <= (SELECT date_trunc('second', max(event_timestamp)) - INTERVAL 10 MINUTE FROM views)""")
+FROM sessions""")
 def stream_sessions(i: Inputs) -> DataFrame:
     path = i.scratch("visits")
     _drain(live.append_to, live.stream_sessions(stats.pageviews(i.pv_stream())), path, i.scratch("checkpoint"))
-    return i.spark.read.parquet(path)
+    return live.finish(live.stream_sessions(stats.pageviews(i.pv)), path, [*VISITOR, "session_start_timestamp"])
 
 
 @query("stream_dedup", "SELECT page_view_id, domain_name, event_timestamp FROM pv")

@@ -88,6 +88,17 @@ def stats_daily(i: Inputs) -> DataFrame:
     return stats.daily_stats(i.pv)
 
 
+@query("stats_own_dims", """
+SELECT p.domain_name, p.event_date, CAST(hour(p.event_timestamp) AS INT) AS event_hour, p.browser_name, p.event_name,
+  CAST(count(page_view_id) AS INT) AS page_views_cnt, CAST(count(session_start) AS INT) AS visitor_cnt,
+  CAST(sum(CASE WHEN is_bounce = 1 THEN 1 ELSE 0 END) AS INT) AS bounce_cnt,
+  CAST(coalesce(round(avg(visit_duration_sec), 0), 0) AS INT) AS visit_duration_sec_avg
+FROM views p LEFT JOIN sessions s ON p.daily_visitor_id = s.daily_visitor_id AND p.page_view_id = s.first_page_view_id
+GROUP BY 1, 2, 3, 4, 5""")
+def stats_own_dims(i: Inputs) -> DataFrame:
+    return stats.daily_stats(i.pv, dims=["domain_name", "event_date", "event_hour", "browser_name", "event_name"])
+
+
 @query("stats_daily_joined", f"SELECT {_STATS} FROM stats")
 def stats_daily_joined(i: Inputs) -> DataFrame:
     return stats.joined_stats(i.views, sessions.sessionize(i.views))

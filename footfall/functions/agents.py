@@ -82,14 +82,24 @@ DEVICE_TYPES = {
 BOT_WORDS = ("bot", "spider", "crawl")
 
 
+class Rules(NamedTuple):
+    """All rule tables of the parser; callers replace those they have better ones for."""
+
+    browsers: Sequence[Rule] = BROWSERS
+    systems: Sequence[Rule] = SYSTEMS
+    device_kinds: Sequence[Rule] = DEVICE_KINDS
+    vendors: Sequence[Rule] = VENDORS
+    bot_words: Sequence[str] = BOT_WORDS
+
+
 def match(agent: Column, rules: Sequence[Rule]) -> Column:
     """Position of the first rule whose token occurs in the agent text, or NULL."""
-    return F.coalesce(*(F.when(agent.contains(r.token), F.lit(n)) for n, r in enumerate(rules)))
+    return F.coalesce(F.lit(None).cast("int"), *(F.when(agent.contains(r.token), F.lit(n)) for n, r in enumerate(rules)))
 
 
 def name(matched: Column, rules: Sequence[Rule]) -> Column:
     """Name of a matched rule."""
-    return F.get(F.array(*(F.lit(r.name) for r in rules)), matched)
+    return F.get(F.array(*(F.lit(r.name) for r in rules)).cast("array<string>"), matched)
 
 
 def version(agent: Column, matched: Column, rules: Sequence[Rule]) -> Column:

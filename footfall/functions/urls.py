@@ -23,13 +23,22 @@ def form_decode(c: Column) -> Column:
 
 
 def percent_decode(c: Column) -> Column:
-    """Decode percent escapes only (``+`` stays); NULL when malformed."""
-    return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    """Decode percent escapes only (``+`` stays); NULL when malformed or when the bytes are no UTF-8.
+
+    Such bytes decode to the replacement character, so a text that holds that character itself counts as malformed.
+    """
+    decoded = F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return F.when(~decoded.contains("\ufffd"), decoded)
 
 
 def param_keys(query: Column) -> Column:
-    """Keys of a query string, in order of appearance."""
-    return F.transform(F.split(query, "&"), lambda p: F.substring_index(p, "=", 1))
+    """Decoded keys of a query string, in order of appearance; a key that cannot be decoded is left as it is."""
+
+    def key(pair: Column) -> Column:
+        raw = F.substring_index(pair, "=", 1)
+        return F.when(raw.contains("%") | raw.contains("+"), F.coalesce(form_decode(raw), raw)).otherwise(raw)
+
+    return F.transform(F.split(query, "&"), key)
 
 
 def param_values(query: Column) -> Column:

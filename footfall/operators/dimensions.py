@@ -1,7 +1,8 @@
 """Joins against small user-supplied tables.
 
-A table is broadcast only after its row count has been checked. Beyond the
+A table is broadcast only if the planner's size of it is within a bound; no job runs for that. Beyond the
 bound the same join runs shuffled, and adaptive execution splits hot keys.
+Repeated keys are folded by rules that do not depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 # Country name as the edge table spells it -> ISO code.
 COUNTRY_CODES = {
@@ -26,10 +27,16 @@ COUNTRY_CODES = {
 }
 
 
-def broadcast_if_small(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the table has at most ``max_rows`` rows."""
-    rows = dim.select(F.lit(1)).limit(max_rows + 1).count()
-    return F.broadcast(dim) if rows <= max_rows else dim
+def broadcast_if_small(dim: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the planner's estimate of the table's size is at most ``max_bytes``."""
+    size = int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(dim) if size <= max_bytes else dim
+
+
+def one_per_key(dim: DataFrame, *keys: str) -> DataFrame:
+    """One row per key: of several, the least by its other columns in their order (NULL first)."""
+    rest = [c for c in dim.columns if c not in keys]
+    return dim.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
 
 
 def verified(events: DataFrame, domains: DataFrame) -> DataFrame:
@@ -61,7 +68,8 @@ def _registered(domains: DataFrame) -> DataFrame:
 
 def with_location(events: DataFrame, edges: DataFrame) -> DataFrame:
     """Add city, state, country, code and coordinates of the edge; NULL if unknown."""
-    places = edges.dropDuplicates(["edge_id"]).select(
+    columns = ["city", "state", "country", "country_code", "latitude", "longitude"]
+    places = one_per_key(edges.select("edge_id", *columns), "edge_id").select(
         "edge_id",
         F.col("city").alias("edge_city"), F.col("state").alias("edge_state"),
         F.col("country").alias("edge_country"), F.col("country_code").alias("edge_country_code"),
@@ -71,8 +79,12 @@ def with_location(events: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def with_salt(events: DataFrame, salts: DataFrame) -> DataFrame:
-    """Add the salt of the event's date; NULL when no salt is kept for it."""
-    daily = salts.dropDuplicates(["event_date"]).select("event_date", "salt")
+    """Add the salt of the event's date; NULL when no salt is kept for it, or several.
+
+    Two salts of one date would give a visitor two ids, so such a date has none and its lines are rejected.
+    """
+    daily = salts.groupBy("event_date").agg(F.min("salt").alias("salt"), F.max("salt").alias("_other"))
+    daily = daily.select("event_date", F.when(F.col("salt") == F.col("_other"), F.col("salt")).alias("salt"))
     return events.join(broadcast_if_small(daily), "event_date", "left")
 
 
@@ -83,11 +95,11 @@ def countries(spark: SparkSession) -> DataFrame:
 
 def with_country_code(df: DataFrame, dim: DataFrame, country: str = "edge_country") -> DataFrame:
     """Add the ISO code of a country name."""
-    names = dim.select(F.col("country").alias(country), "country_code").dropDuplicates([country])
+    names = dim.groupBy(F.col("country").alias(country)).agg(F.min("country_code").alias("country_code"))
     return df.join(broadcast_if_small(names), country, "left")
 
 
 def with_country_name(df: DataFrame, dim: DataFrame, code: str = "country_code") -> DataFrame:
     """Add the country name of an ISO code."""
-    codes = dim.select(F.col("country_code").alias(code), "country").dropDuplicates([code])
+    codes = dim.groupBy(F.col("country_code").alias(code)).agg(F.min("country").alias("country"))
     return df.join(broadcast_if_small(codes), code, "left")

@@ -68,15 +68,23 @@ def list_files(manifest: DataFrame, day, prefix: str) -> DataFrame:
                           & F.col("s3_key").startswith(prefix))
 
 
+def touched_days(manifest: DataFrame, since) -> DataFrame:
+    """Dates of the cleaned events' files that were created at or after a moment, as ``event_date``."""
+    return manifest.where((F.col("file_type") == "cleaned") & (F.col("file_created_timestamp") >= F.lit(since).cast("timestamp"))) \
+        .select(F.col("file_event_date").alias("event_date")).distinct()
+
+
 def today_prefix(day) -> str:
     return f"aggregated/daily-stats/event_date={day}"
 
 
 def files_today(manifest: DataFrame, day) -> DataFrame:
-    """Number of today's statistics files."""
-    return list_files(manifest, day, today_prefix(day)).agg(F.count("s3_key").alias("file_count"))
+    """Number of today's statistics files, and when the newest one was made."""
+    return list_files(manifest, day, today_prefix(day)).agg(
+        F.count("s3_key").alias("file_count"), F.max("file_created_timestamp").alias("newest_file"))
 
 
-def today_changed(manifest: DataFrame, day, last_count: int | None) -> bool:
-    """Whether today's statistics have to be read again."""
-    return files_today(manifest, day).first()["file_count"] != last_count
+def today_changed(manifest: DataFrame, day, last_count: int | None, last_newest=None) -> bool:
+    """Whether today's statistics have to be read again: files came, went or, given their time, were replaced."""
+    now = files_today(manifest, day).first()
+    return now["file_count"] != last_count or (last_newest is not None and now["newest_file"] != last_newest)

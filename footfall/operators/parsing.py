@@ -99,9 +99,11 @@ def param(name: str) -> Column:
 
 
 def read_hits(lines: DataFrame, value: str = "value", cdn_host: str | None = None,
-              noscript_fallback: bool = False) -> DataFrame:
+              noscript_fallback: bool = False, rules: agents.Rules = agents.Rules()) -> DataFrame:
     """Everything that can be read from a line without looking anything up.
 
+    ``rules`` are the agent and bot tables.
+
     ``noscript_fallback`` keeps pixel hits of browsers without scripts: time and
     page then come from the arrival time and the Referer header.
     """
@@ -134,8 +136,8 @@ def read_hits(lines: DataFrame, value: str = "value", cdn_host: str | None = Non
     })
 
     df = df.withColumns({
-        "_browser": agents.match(F.col("_shown_agent"), agents.BROWSERS),
-        "_system": agents.match(F.col("_shown_agent"), agents.SYSTEMS),
+        "_browser": agents.match(F.col("_shown_agent"), rules.browsers),
+        "_system": agents.match(F.col("_shown_agent"), rules.systems),
     })
 
     def utm(name: str) -> Column:
@@ -163,14 +165,14 @@ def read_hits(lines: DataFrame, value: str = "value", cdn_host: str | None = Non
         F.when(F.col("referrer").isNull(), DIRECT)
          .otherwise(F.coalesce(urls.blank_to_null(F.col("_referrer_host")), F.lit(DIRECT)))
          .alias("referrer_domain_name"),
-        agents.name(browser, agents.BROWSERS).alias("browser_name"),
-        agents.version(shown_agent, browser, agents.BROWSERS).alias("browser_version"),
-        agents.name(system, agents.SYSTEMS).alias("browser_os_name"),
-        agents.system_version(shown_agent, system).alias("browser_os_version"),
+        agents.name(browser, rules.browsers).alias("browser_name"),
+        agents.version(shown_agent, browser, rules.browsers).alias("browser_version"),
+        agents.name(system, rules.systems).alias("browser_os_name"),
+        agents.system_version(shown_agent, system, rules.systems).alias("browser_os_version"),
         param("timezone").alias("browser_timezone"),
         param("language").alias("browser_language"),
-        agents.device_type(agents.name(agents.match(shown_agent, agents.DEVICE_KINDS), agents.DEVICE_KINDS)).alias("device_type"),
-        agents.name(agents.match(shown_agent, agents.VENDORS), agents.VENDORS).alias("device_vendor"),
+        agents.device_type(agents.name(agents.match(shown_agent, rules.device_kinds), rules.device_kinds)).alias("device_type"),
+        agents.name(agents.match(shown_agent, rules.vendors), rules.vendors).alias("device_vendor"),
         size("outer_width", "outer_height").alias("device_outer_resolution"),
         size("inner_width", "inner_height").alias("device_inner_resolution"),
         urls.leading_int(param("color_depth"), "int").alias("device_color_depth"),
@@ -187,7 +189,7 @@ def read_hits(lines: DataFrame, value: str = "value", cdn_host: str | None = Non
         F.round(urls.leading_number(F.col("time_taken")) * 1000).try_cast("bigint")
          .alias("request_delivery_time_ms"),
         urls.leading_int(F.col("asn")).alias("request_asn"),
-        agents.is_bot(F.col("agent")).alias("request_is_bot"),
+        agents.is_bot(F.col("agent"), rules.bot_words).alias("request_is_bot"),
         kind.alias("event_type"),
         F.when(kind == "event", param("event_name")).alias("event_name"),
         F.when(kind == "event", param("event_data")).alias("event_data"),
@@ -216,12 +218,13 @@ def pseudonymise(hits: DataFrame, zone: str = ids.TIME_TEXT_ZONE) -> DataFrame:
 
 def parse_outcomes(lines: DataFrame, domains: DataFrame, edges: DataFrame, salts: DataFrame,
                    value: str = "value", cdn_host: str | None = None,
-                   noscript_fallback: bool = False, zone: str = ids.TIME_TEXT_ZONE) -> DataFrame:
+                   noscript_fallback: bool = False, zone: str = ids.TIME_TEXT_ZONE,
+                   rules: agents.Rules = agents.Rules()) -> DataFrame:
     """Every line with its ``result`` (Ok or Dropped), ``error`` kind and parsed columns.
 
     The original line is kept for rejected rows and dropped for accepted ones.
     """
-    hits = read_hits(lines, value, cdn_host, noscript_fallback)
+    hits = read_hits(lines, value, cdn_host, noscript_fallback, rules)
     known = dimensions.mark_verified(hits, domains)
     placed = dimensions.with_salt(dimensions.with_location(known, edges), salts)
     checked = placed.withColumn("error", F.coalesce(

@@ -33,9 +33,14 @@ def new_keys(names: DataFrame, created, seed: str | None = None) -> DataFrame:
 
 
 def upsert(domains: DataFrame, changes: DataFrame) -> DataFrame:
-    """Put rows: a domain present in both takes the new row."""
-    kept = domains.select(*COLUMNS).join(changes.select("domain_name"), "domain_name", "left_anti")
-    return kept.unionByName(changes.select(*COLUMNS))
+    """Put rows: a domain present in both takes the new row.
+
+    Of several changes of a domain the newest counts, of equally new ones the one with the largest key.
+    """
+    newest = changes.groupBy("domain_name").agg(F.max(F.struct("created_timestamp", "domain_key")).alias("_row")).select(
+        "domain_name", "_row.domain_key", "_row.created_timestamp")
+    kept = domains.select(*COLUMNS).join(newest.select("domain_name"), "domain_name", "left_anti")
+    return kept.unionByName(newest)
 
 
 def delete(domains: DataFrame, names: DataFrame) -> DataFrame:

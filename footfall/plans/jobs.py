@@ -6,6 +6,7 @@ import datetime as dt
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from footfall.operators import stats
 from footfall.plans import serving
@@ -34,15 +35,23 @@ class Layout(NamedTuple):
         return f"{self.root}/history"
 
 
-def nightly(spark: SparkSession, incoming: DataFrame, layout: Layout, run_date: dt.date,
-            mode: str = "gap") -> str:
-    """Close yesterday: statistics, custom events, then the served history."""
+def nightly(spark: SparkSession, incoming: DataFrame, layout: Layout, run_date: dt.date, mode: str = "gap",
+            since=None, distinct: bool = False) -> list[dt.date]:
+    """Close yesterday and the dates with arrivals ``since`` a moment: statistics, custom events, then the served history.
+
+    ``distinct`` drops repeated deliveries first. Returns the days that history got anew.
+    """
     yesterday = run_date - dt.timedelta(days=1)
-    out.write_stats(stats.daily_stats(incoming, yesterday, mode), layout.stats)
-    out.write_events(stats.curated_events(incoming, yesterday), layout.events)
-    return serving.refresh_history(spark, layout.stats, layout.history, run_date)
+    incoming = stats.without_repeats(incoming) if distinct else incoming
+    days = {yesterday}
+    if since is not None:
+        touched = serving.touched_days(incoming, since).where(F.col("event_date") < F.lit(run_date))
+        days |= {r.event_date for r in touched.collect()}
+    serving.recompute(incoming, days, layout.stats, layout.events, mode)
+    return serving.refresh_history(spark, layout.stats, layout.history, run_date, days)
 
 
-def hourly(incoming: DataFrame, layout: Layout, run_date: dt.date, mode: str = "gap") -> None:
+def hourly(incoming: DataFrame, layout: Layout, run_date: dt.date, mode: str = "gap", distinct: bool = False) -> None:
     """Recompute today's statistics."""
-    out.write_today(stats.daily_stats(incoming, run_date, mode), layout.today)
+    incoming = stats.without_repeats(incoming) if distinct else incoming
+    out.replace_days(stats.daily_stats(incoming, run_date, mode), layout.today, out.write_today, [run_date])

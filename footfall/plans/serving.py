@@ -1,15 +1,21 @@
-"""Keeping history up to date and serving it together with today."""
+"""Keeping history up to date and serving it together with today.
+
+The served history is a folder of versions. A rebuild writes a new version, which counts once Spark has marked it as
+complete; readers keep the version they opened, and the one before the newest stays. In between only days change:
+those that a run recomputed and those that history lacks.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import re
+from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall import schemas
-from footfall.operators import dimensions, reports, stats
+from footfall.operators import stats
 from footfall.sinks import tables as out
 from footfall.sources import tables as src
 
@@ -22,46 +28,83 @@ def serve(history: DataFrame, today: DataFrame | None = None) -> DataFrame:
     return today.select(*columns).unionByName(history.select(*columns))
 
 
-def high_water_mark(spark: SparkSession, path: str) -> dt.date | None:
-    """Newest date in a stored table; None when there is no table yet."""
-    try:
-        return reports.latest_date(src.stats(spark, path)).first()["max_event_date"]
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def versions(spark: SparkSession, history_path: str) -> list[str]:
+    """Complete versions of the served history, oldest first."""
+    names = [n for n in src.folders(spark, history_path) if re.fullmatch(r"v\d{6}", n)]
+    return [f"{history_path}/{n}" for n in sorted(names) if src.exists(spark, f"{history_path}/{n}/_SUCCESS")]
+
+
+def read_history(spark: SparkSession, history_path: str) -> DataFrame:
+    """The newest complete version; no rows before the first refresh."""
+    found = versions(spark, history_path)
+    return src.stats(spark, found[-1]) if found else schemas.empty(spark, schemas.STATS)
+
 
+def high_water_mark(spark: SparkSession, history_path: str) -> dt.date | None:
+    """Newest date in the served history, read from the names of its partitions."""
+    found = versions(spark, history_path)
+    return max(src.stored_dates(spark, found[-1]), default=None) if found else None
 
-def refresh_full(spark: SparkSession, stats_path: str, history_path: str) -> None:
-    """Rebuild the served history from all statistics."""
-    out.write_stats(src.stats(spark, stats_path), history_path, whole=True)
 
+def refresh_full(spark: SparkSession, stats_path: str, history_path: str, before: dt.date | None = None) -> list[dt.date]:
+    """Rebuild the served history from all statistics (dated before a day) as a new version."""
+    rows = src.stats(spark, stats_path)
+    if before is not None:
+        rows = rows.where(F.col("event_date") < F.lit(before))
+    used = [int(n[1:]) for n in src.folders(spark, history_path) if re.fullmatch(r"v\d{6}", n)]
+    path = f"{history_path}/v{max(used, default=0) + 1:06d}"
+    out.write_stats(rows, path, whole=True)
+    for old in versions(spark, history_path)[:-2]:
+        src.remove(spark, old)
+    return sorted(src.stored_dates(spark, path))
 
-def refresh_history(spark: SparkSession, stats_path: str, history_path: str, run_date: dt.date) -> str:
-    """Add yesterday when history ends the day before; otherwise rebuild it.
 
-    Adding replaces yesterday's partitions, so a repeated run changes nothing.
+def refresh_history(spark: SparkSession, stats_path: str, history_path: str, run_date: dt.date,
+                    changed: Iterable[dt.date] = ()) -> list[dt.date]:
+    """Bring the served history up to the day before ``run_date``; returns the days written.
+
+    Written are the ``changed`` days and those that the statistics have and history lacks, each replaced as a
+    whole. Only a history that does not exist yet is built from everything.
     """
-    yesterday = run_date - dt.timedelta(days=1)
-    mark = high_water_mark(spark, history_path)
-    if mark is None or mark != yesterday - dt.timedelta(days=1):
-        refresh_full(spark, stats_path, history_path)
-        return "full"
-    out.write_stats(src.stats_between(spark, stats_path, yesterday, yesterday), history_path)
-    return "incremental"
+    found = versions(spark, history_path)
+    if not found:
+        return refresh_full(spark, stats_path, history_path, run_date)
+    missing = src.stored_dates(spark, stats_path) - src.stored_dates(spark, found[-1])
+    due = sorted(d for d in missing | set(changed) if d < run_date)
+    if due:
+        out.replace_days(src.stats(spark, stats_path).where(F.col("event_date").isin(due)), found[-1], out.write_stats, due)
+    return due
 
 
 def touched_days(incoming: DataFrame, since) -> DataFrame:
-    """Dates that received events after a moment."""
-    return incoming.where(F.col("arrival_timestamp") > F.lit(since).cast("timestamp")) \
+    """Dates that received events at or after a moment, from the events' arrival times.
+
+    Arrivals are whole seconds, so the moment itself is included. This reads all dates; where files are listed in a manifest,
+    ``manifest.touched_days`` reads that instead.
+    """
+    return incoming.where(F.col("arrival_timestamp") >= F.lit(since).cast("timestamp")) \
         .select("event_date").distinct()
 
 
-def reprocess(incoming: DataFrame, since, stats_path: str) -> None:
-    """Recompute the statistics of every date with late arrivals, and only those.
+def recompute(incoming: DataFrame, days: Iterable[dt.date], stats_path: str, events_path: str | None = None,
+              mode: str = "gap") -> None:
+    """Statistics and custom events of whole days, in the table's visit mode.
 
-    The dates filter the scan through a join, which prunes date partitions.
+    The days are constants in the filter, so only their partitions are read. Partitions that have no rows any more go.
     """
-    days = dimensions.broadcast_if_small(touched_days(incoming, since))
-    late = incoming.join(days, "event_date", "left_semi")
-    out.write_stats(stats.daily_stats(late), stats_path)
+    days = sorted(days)
+    if not days:
+        return
+    rows = incoming.where(F.col("event_date").isin(days))
+    out.replace_days(stats.daily_stats(rows, mode=mode), stats_path, out.write_stats, days)
+    if events_path is not None:
+        out.replace_days(stats.curated_events(rows), events_path, out.write_events, days)
+
+
+def reprocess(incoming: DataFrame, since, stats_path: str, events_path: str | None = None, mode: str = "gap",
+              touched: DataFrame | None = None) -> list[dt.date]:
+    """Recompute every date with arrivals since a moment, and only those; returns the dates."""
+    touched = touched_days(incoming, since) if touched is None else touched
+    days = sorted(r.event_date for r in touched.where("event_date is not null").collect())  # one row per date
+    recompute(incoming, days, stats_path, events_path, mode)
+    return days

@@ -14,14 +14,21 @@ def export_name(domain: str, start, end, prefix: str = "stats") -> str:
     return f"{prefix}_{domain.replace('.', '_')}_{start}_{end}.csv"
 
 
+# Quotes are doubled; NULL is an empty field, an empty text is two quotes; nothing is trimmed.
+_CSV = {"header": True, "sep": ";", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False}
+_ABSENT = "\x01absent\x01"  # what the reader takes an empty field for; never written
+
+
 def export_csv(stats: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header, ``;`` as delimiter, ordered over all part files of the folder."""
     (stats.orderBy(*EXPORT_ORDER).write.mode(mode)
-     .option("header", True).option("sep", ";").csv(path))
+     .options(**_CSV, nullValue="", emptyValue='""').csv(path))
 
 
 def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    return spark.read.schema(ddl).option("header", True).option("sep", ";").csv(path)
+    """Values may hold line breaks, so a part file is read by one task."""
+    return spark.read.schema(ddl).options(**_CSV, nullValue=_ABSENT, emptyValue="", multiLine=True).csv(path)
 
 
 def to_arrow_chunks(df: DataFrame, chunk: str = "chunk") -> DataFrame:

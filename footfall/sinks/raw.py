@@ -35,9 +35,9 @@ def write_rejects(outcomes: DataFrame, path: str, mode: str = "append", batch: i
 
 
 def _write(rows: DataFrame, path: str, by: list[str], kind: str, mode: str, batch: int | None) -> None:
-    if batch is not None:
-        rows, by, mode = rows.withColumn("batch_id", F.lit(batch)), [*by, "batch_id"], "overwrite"
+    if batch is not None:  # a folder of its own, replaced as a whole
+        path, mode = f"{path}/batch_id={batch}", "overwrite"
     writer = (rows.hint("rebalance", *[F.col(c) for c in by]).write.mode(mode)
-              .option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+              .option("partitionOverwriteMode", "static" if batch is not None else "dynamic").partitionBy(*by)
               .option("maxRecordsPerFile", RECORDS_PER_FILE))
     writer.option("compression", "gzip" if kind == "text" else "snappy").format(kind).save(path)

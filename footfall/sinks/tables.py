@@ -7,12 +7,14 @@ over several tasks and files.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall import schemas
+from footfall.sources import tables as src
 
 INCOMING_PARTITIONS = ["domain_name", "event_type", "event_date"]
 STATS_PARTITIONS = ["domain_name", "event_date"]
@@ -49,3 +51,14 @@ def write_today(stats: DataFrame, path: str) -> None:
 
 def write_events(events: DataFrame, path: str) -> None:
     write_partitions(schemas.conform(events, schemas.EVENTS), path, EVENTS_PARTITIONS, ["event_timestamp"])
+
+
+def replace_days(df: DataFrame, path: str, write: Callable[[DataFrame, str], None], days: Sequence[dt.date]) -> None:
+    """Write the rows of whole dates; partitions of these dates that got no new files are removed."""
+    spark = df.sparkSession
+    before = src.files_of_days(spark, path, days)
+    write(df, path)
+    after = src.files_of_days(spark, path, days)
+    for folder, files in before.items():
+        if files & after.get(folder, set()):
+            src.remove(spark, folder)

@@ -2,12 +2,59 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall import schemas
 
 
+def _at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _at(spark, path)
+    return fs.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, place = _at(spark, path)
+    fs.delete(place, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, place = _at(spark, path)
+    if not fs.rename(place, _at(spark, to)[1]):
+        raise OSError(f"{path} could not become {to}")
+
+
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the folders below a path (a pattern may name several); none if it doesn't exist."""
+    fs, place = _at(spark, f"{pattern}/*")
+    return [s.getPath().getName() for s in fs.globStatus(place) or [] if s.isDirectory()]
+
+
+def files_of_days(spark: SparkSession, path: str, days) -> dict[str, set[str]]:
+    """Names of the files in each partition folder of some dates."""
+    found: dict[str, set[str]] = {}
+    fs, place = _at(spark, f"{path}/{{*/,}}event_date={{{','.join(map(str, days))},}}")
+    for folder in fs.globStatus(place) or []:
+        inside = fs.listFiles(folder.getPath(), True)
+        while inside.hasNext():
+            file = inside.next().getPath()
+            found.setdefault(file.getParent().toString(), set()).add(file.getName())
+    return found
+
+
+def stored_dates(spark: SparkSession, path: str) -> set[dt.date]:
+    """Dates of a table partitioned by domain and date, from the names of its folders."""
+    names = {n for n in folders(spark, f"{path}/domain_name=*") if n.startswith("event_date=")}
+    return {dt.date.fromisoformat(n.split("=", 1)[1]) for n in names if "__HIVE" not in n}
+
+
 def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.schema(ddl).parquet(path).select(*schemas.names(ddl))
 

@@ -6,13 +6,13 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from footfall import schemas
-from footfall.operators import dimensions, parsing
+from footfall.operators import dimensions, parsing, stats
 from footfall.sinks import raw
 from footfall.sinks import tables as out
+from footfall.sources import tables as src
 
 EVERY = "15 minutes"
 
@@ -45,18 +45,20 @@ def batch_writer(load: Callable[[], Dimensions], targets: Targets, **options):
     """The function applied to every micro-batch.
 
     ``load`` is called once per batch, so changes of the registry take effect with the
-    next one. All outputs carry the batch number in their partitions and are
-    overwritten by it: a batch repeated after a failure with the same registry leaves
-    no duplicates.
+    next one. Every output of a batch is a folder of its own that is replaced as a whole: a
+    batch repeated after a failure leaves neither duplicates nor, when the registry has
+    changed meanwhile, rows of its first run. ``compact`` merges the folders of old batches.
     """
 
     def write(lines: DataFrame, batch: int) -> None:
         dims = load()
-        outcomes = parsing.parse_outcomes(lines, *dims, **options).persist()
+        outcomes = parsing.parse_outcomes(lines, *dims, **{k: v for k, v in options.items() if k != "distinct"}).persist()
         try:
-            events = parsing.accepted(outcomes).withColumn("batch_id", F.lit(batch))
-            out.write_partitions(events, targets.incoming, [*out.INCOMING_PARTITIONS, "batch_id"],
-                                 ["daily_visitor_id", "event_timestamp"])
+            events = parsing.accepted(outcomes)
+            if options.get("distinct"):
+                events = stats.without_repeats(events)
+            out.write_partitions(events, f"{targets.incoming}/batch_id={batch}", out.INCOMING_PARTITIONS,
+                                 ["daily_visitor_id", "event_timestamp"], whole=True)
             raw.write_rejects(outcomes, targets.rejects, batch=batch)
         finally:
             outcomes.unpersist()
@@ -82,6 +84,26 @@ def verified_stream(hits: DataFrame, load: Callable[[], DataFrame], write: Calla
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
+def compact(spark, targets: Targets, before: int) -> None:
+    """Merge the cleaned events of the batches before a number into one folder.
+
+    Only batches that can no longer be repeated may be given. The merged copy is complete before the old folders go; until it
+    takes their place it is hidden from readers.
+    """
+    names = [n for n in src.folders(spark, targets.incoming) if n.startswith("batch_id=")]
+    old = sorted((n for n in names if int(n.split("=")[1]) < before), key=lambda n: int(n.split("=")[1]))
+    if len(old) < 2:
+        return
+    rows = spark.read.schema(schemas.INCOMING).option("basePath", targets.incoming).parquet(
+        *[f"{targets.incoming}/{n}" for n in old])
+    merged = f"{targets.incoming}/_merged"
+    out.write_partitions(schemas.conform(rows, schemas.INCOMING), merged, out.INCOMING_PARTITIONS,
+                         ["daily_visitor_id", "event_timestamp"], whole=True)
+    for name in old:
+        src.remove(spark, f"{targets.incoming}/{name}")
+    src.rename(spark, merged, f"{targets.incoming}/{old[-1]}")
+
+
 def stored(spark, targets: Targets) -> DataFrame:
     """Cleaned events written by the ingest."""
     return spark.read.schema(schemas.INCOMING).parquet(targets.incoming).select(

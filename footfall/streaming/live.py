@@ -6,11 +6,14 @@ and Spark combines both before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from footfall.operators.sessions import GAP_SECONDS, VISITOR
+from footfall.sources import tables as src
 
 LATENESS = "10 minutes"
 
@@ -65,12 +68,49 @@ def append_to(df: DataFrame, path: str, checkpoint: str, every: str | None = "1
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-def replace_in(df: DataFrame, path: str, checkpoint: str, every: str | None = "1 minute") -> StreamingQuery:
-    """Keep the full result of an aggregation in a Parquet folder."""
+def keep_newest(df: DataFrame, path: str, checkpoint: str, every: str | None = "1 minute") -> StreamingQuery:
+    """Write the groups that changed, batch by batch; ``newest`` reads the last state of each.
+
+    The watermark bounds the state, and a batch holds only groups that got rows, so neither grows with the age of the stream.
+    A repeated batch replaces its folder. ``merge_batches`` keeps the number of folders small.
+    """
     trigger = {"processingTime": every} if every else {"availableNow": True}
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
 
-    return (df.writeStream.outputMode("complete").foreachBatch(write)
+    return (df.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+
+
+def newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last written row of each group of what ``keep_newest`` wrote."""
+    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    last = rows.groupBy(*keys).agg(F.max(F.struct("batch_id", *rest)).alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
+def merge_batches(spark: SparkSession, path: str, keys: Sequence[str], before: int) -> None:
+    """One folder with the newest rows in place of the batches before a number."""
+    names = sorted(int(n.split("=")[1]) for n in src.folders(spark, path) if n.startswith("batch_id="))
+    old = [n for n in names if n < before]
+    if len(old) < 2:
+        return
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/batch_id={n}" for n in old])
+    newest(rows, keys).write.mode("overwrite").parquet(f"{path}/_merged")
+    for n in old:
+        src.remove(spark, f"{path}/batch_id={n}")
+    src.rename(spark, f"{path}/_merged", f"{path}/batch_id={old[-1]}")
+
+
+def finish(complete: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """Close a stream whose input has ended: add the rows that the watermark never released; returns all rows.
+
+    ``complete`` is the batch result of the same operator over the input, or over its part since the last
+    released row; rows that ``append_to`` has written already are recognised by their keys. The added rows have a folder of
+    their own beside the stream's, which lists its files itself; closing again replaces it.
+    """
+    written = complete.sparkSession.read.schema(complete.schema).parquet(path)
+    rest = f"{path}-closing"
+    complete.join(written.select(*keys), list(keys), "left_anti").select(*complete.columns).write.mode("overwrite").parquet(rest)
+    return written.unionByName(complete.sparkSession.read.schema(complete.schema).parquet(rest))

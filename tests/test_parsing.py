@@ -93,20 +93,35 @@ def test_referrer_and_campaign(parse):
         return line(VIEW_QUERY + "&ute=own&r=" + url)
 
     rows = {r["request_query_string"].rsplit("&r=")[1]: r for r in parse(
-        linked("https%253A%252F%252Fcloudsecdocs.com%252F"),
+        linked("https%253A%252F%252Fnews.example%252F"),
         linked("http%253A%252F%252Flocalhost%253A3000%252Fx"),
         linked("https%253A%252F%252Fcdn.example%252Fx"),
         linked("https%253A%252F%252Fx.example%252F%253Futm_source%253Dnews%2526utm_term%253Dlast"),
         cdn_host="cdn.example")}
     got = {k: (r["referrer"], r["referrer_domain_name"], r["utm_source"], r["utm_term"]) for k, r in rows.items()}
     assert list(sorted(got.values(), key=str)) == [
-        ("https://cloudsecdocs.com/", "cloudsecdocs.com", None, "own"),
+        ("https://news.example/", "news.example", None, "own"),
         ("https://x.example/?utm_source=news&utm_term=last", "x.example", "news", "own"),
         (None, "Direct / None", None, "own"),
         (None, "Direct / None", None, "own"),
     ]
 
 
+def test_keys_are_decoded(parse):
+    (row,) = parse(line(VIEW_QUERY.replace("&ts=", "&%74s=").replace("&pa=", "&%70a=") + "&us%6F=src&%zz=1&u+o=2"))
+    assert (str(row["event_timestamp"]), row["request_path"], row["utm_source"]) == (
+        "2022-11-20 18:22:06.289000", "/azure", "src")
+
+
+def test_own_rules(parse):
+    rules = agents.Rules(browsers=[agents.Rule("Safari/", r"Safari/([\d.]+)", "Webkit")], systems=[], device_kinds=[
+        agents.Rule("Macintosh", "", "console")], vendors=[], bot_words=["macintosh"])
+    (row,) = parse(line(), rules=rules)
+    assert (row["browser_name"], row["browser_version"], row["browser_os_name"], row["browser_os_version"]) == (
+        "Webkit", "537.36", None, None)
+    assert (row["device_type"], row["device_vendor"], row["request_is_bot"]) == ("Console", None, 1)
+
+
 DROPPED = [
     ("a\tb", "arity"),
     ("", "arity"),
@@ -121,6 +136,10 @@ DROPPED = [
     (line(VIEW_QUERY + "&uso=%zz"), "encoding"),
     (line(VIEW_QUERY + "&uso=%25zz"), "encoding"),
     (line(agent="%zz"), "encoding"),
+    (line(VIEW_QUERY + "&uso=%FF"), "encoding"),
+    (line(VIEW_QUERY + "&uso=a%25C3%2528"), "encoding"),
+    (line(agent="Chrome/1%80"), "encoding"),
+    (line(VIEW_QUERY.replace("&ts=1668968526289", "&x=1&%74%73=soon")), "timestamp"),
     (line(VIEW_QUERY + "&r=nowhere"), "referrer"),
     (line(VIEW_QUERY.replace("dk=k1", "dk=k2")), "unverified"),
     (line(VIEW_QUERY.replace("dk=k1&", "")), "unverified"),

@@ -137,5 +137,5 @@ def test_join_beyond_the_broadcast_bound(spark):
     events = spark.range(100).select(F.concat(F.lit("e"), (F.col("id") % 3).cast("string")).alias("k"))
     dim = spark.createDataFrame([("e0", 1), ("e1", 2)], "k string, v int")
     small = events.join(dimensions.broadcast_if_small(dim), "k", "left")
-    large = events.join(dimensions.broadcast_if_small(dim, max_rows=1), "k", "left")
+    large = events.join(dimensions.broadcast_if_small(dim, max_bytes=1), "k", "left")
     assert sorted(small.collect(), key=str) == sorted(large.collect(), key=str)

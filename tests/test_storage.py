@@ -37,30 +37,84 @@ def three_days(views):
 
 def test_nightly_and_hourly_runs_can_be_repeated(spark, three_days):
     layout = jobs.Layout(scratch(spark, "jobs"))
-    second, third = dt.date(2024, 1, 2), dt.date(2024, 1, 3)
+    first, second, third = (dt.date(2024, 1, d) for d in (1, 2, 3))
     assert serving.high_water_mark(spark, layout.history) is None
-    assert jobs.nightly(spark, three_days, layout, second) == "full"
-    assert jobs.nightly(spark, three_days, layout, third) == "incremental"
-    once = sorted(map(str, src.stats(spark, layout.history).collect()))
-    assert jobs.nightly(spark, three_days, layout, third) == "full"
-    assert sorted(map(str, src.stats(spark, layout.history).collect())) == once
-    assert same(src.stats(spark, layout.history), stats.daily_stats(three_days).where("event_date < '2024-01-03'"))
+    assert jobs.nightly(spark, three_days, layout, second) == [first]
+    assert jobs.nightly(spark, three_days, layout, third) == [second]
+    assert serving.high_water_mark(spark, layout.history) == second
+    once = sorted(map(str, serving.read_history(spark, layout.history).collect()))
+    # A repeated night writes its own day, and nothing else.
+    kept = src.files_of_days(spark, serving.versions(spark, layout.history)[-1], [first])
+    assert jobs.nightly(spark, three_days, layout, third) == [second]
+    assert src.files_of_days(spark, serving.versions(spark, layout.history)[-1], [first]) == kept
+    assert sorted(map(str, serving.read_history(spark, layout.history).collect())) == once
+    assert same(serving.read_history(spark, layout.history), stats.daily_stats(three_days).where("event_date < '2024-01-03'"))
     assert src.curated_events(spark, layout.events).count() == three_days.where(
         "event_type = 'event' and event_date < '2024-01-03'").count()
     for _ in range(2):
         jobs.hourly(three_days, layout, third)
     today = src.stats_today(spark, layout.today, third)
-    assert same(serving.serve(src.stats(spark, layout.history), today), stats.daily_stats(three_days))
+    assert same(serving.serve(serving.read_history(spark, layout.history), today), stats.daily_stats(three_days))
 
 
 def test_late_days_only(spark, three_days):
-    path = scratch(spark, "late")
+    path, events = scratch(spark, "late"), scratch(spark, "late-events")
     cutoff = "2024-01-03 00:00:00"
-    out.write_stats(stats.daily_stats(three_days.where(F.col("arrival_timestamp") <= cutoff)), path)
+    on_time = three_days.where(F.col("arrival_timestamp") < cutoff)
+    serving.recompute(on_time, [dt.date(2024, 1, d) for d in (1, 2, 3)], path, events, "boundary")
     late = serving.touched_days(three_days, cutoff)
     assert {str(r[0]) for r in late.collect()} == {"2024-01-02", "2024-01-03"}
-    serving.reprocess(three_days, cutoff, path)
-    assert same(src.stats(spark, path), stats.daily_stats(three_days))
+    assert serving.reprocess(three_days, cutoff, path, events, "boundary") == [dt.date(2024, 1, 2), dt.date(2024, 1, 3)]
+    assert same(src.stats(spark, path), stats.daily_stats(three_days, mode="boundary"))
+    assert same(src.curated_events(spark, events), stats.curated_events(three_days))
+
+
+def test_late_data_is_served(spark, three_days):
+    layout = jobs.Layout(scratch(spark, "late-served"))
+    cutoff, fourth = "2024-01-03 00:00:00", dt.date(2024, 1, 4)
+    on_time = three_days.where(F.col("arrival_timestamp") < cutoff)
+    for day in (2, 3):
+        jobs.nightly(spark, on_time, layout, dt.date(2024, 1, day))
+    assert jobs.nightly(spark, three_days, layout, fourth, since=cutoff) == [dt.date(2024, 1, 2), dt.date(2024, 1, 3)]
+    assert same(serving.read_history(spark, layout.history), stats.daily_stats(three_days))
+    assert same(src.curated_events(spark, layout.events), stats.curated_events(three_days))
+
+
+def test_partitions_without_rows_go(spark, three_days):
+    path = scratch(spark, "stale")
+    day = dt.date(2024, 1, 1)
+    two = three_days.withColumn("domain_name", F.when(F.crc32("page_view_id") % 3 == 0, "b.example").otherwise("a.example"))
+    serving.recompute(two, [day], path)
+    serving.recompute(two.where("domain_name = 'a.example'"), [day], path)
+    assert same(src.stats(spark, path), stats.daily_stats(two.where("domain_name = 'a.example'"), day))
+    serving.recompute(two.limit(0), [day], path)
+    assert src.stats(spark, path).count() == 0
+
+
+def test_readers_keep_their_version(spark, three_days):
+    source, history = scratch(spark, "source"), scratch(spark, "history")
+    assert serving.read_history(spark, history).count() == 0
+    out.write_stats(stats.daily_stats(three_days), source)
+    serving.refresh_full(spark, source, history)
+    reader = serving.read_history(spark, history)
+    rows = reader.count()
+    serving.refresh_full(spark, source, history, dt.date(2024, 1, 2))
+    assert reader.count() == rows  # still the version it opened
+    assert serving.read_history(spark, history).count() < rows
+    out.write_stats(stats.daily_stats(three_days), f"{history}/v000009")
+    src.remove(spark, f"{history}/v000009/_SUCCESS")  # a rebuild that did not finish
+    assert serving.read_history(spark, history).count() < rows
+    serving.refresh_full(spark, source, history)
+    assert serving.read_history(spark, history).count() == rows and len(serving.versions(spark, history)) == 2
+
+
+def test_repeated_deliveries(spark, three_days):
+    layout, third = jobs.Layout(scratch(spark, "repeats")), dt.date(2024, 1, 3)
+    twice = three_days.union(three_days)
+    jobs.nightly(spark, twice, layout, third, distinct=True)
+    jobs.hourly(twice, layout, third, distinct=True)
+    assert same(serving.read_history(spark, layout.history), stats.daily_stats(three_days, dt.date(2024, 1, 2)))
+    assert same(src.stats(spark, layout.today), stats.daily_stats(three_days, third))
 
 
 def test_day_filters_prune_partitions(spark, three_days):
@@ -79,6 +133,34 @@ def test_has_data_and_empty_table(spark, three_days):
     assert serving.serve(stats.daily_stats(three_days)).count() == stats.daily_stats(three_days).count()
 
 
+def test_csv_keeps_every_value(spark):
+    values = ["", None, '"', '""', "a;b", "c\\d", '\\"', "e\nf", "g\r\nh", " i ", "\t", "#j", "\\N", "null", "'"]
+    rows = [("a.example", k, v) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "domain_name string, event_hour int, request_path string").withColumn(
+        "event_date", F.lit("2024-01-01").cast("date"))
+    path = scratch(spark, "special")
+    exports.export_csv(df, path)
+    got = exports.read_csv(spark, path, "domain_name string, event_hour int, request_path string, event_date date")
+    assert {r.event_hour: r.request_path for r in got.collect()} == dict(enumerate(values))
+
+
+def test_dimensions_fold_repeated_keys(spark):
+    from footfall.operators import dimensions
+    events = spark.createDataFrame([("HAM", "2024-01-01"), ("SFO", "2024-01-02")], "edge_id string, event_date string").withColumn(
+        "event_date", F.col("event_date").cast("date"))
+    edge = ("HAM", "B", "s", "c", "cc", 1.0, 2.0)
+    edges = spark.createDataFrame([edge, ("HAM", "A", *edge[2:]), edge], schemas.EDGES)
+    salts = spark.createDataFrame([("2024-01-01", "x"), ("2024-01-01", "x"), ("2024-01-02", "x"), ("2024-01-02", "y")],
+                                  "event_date string, salt string").withColumn("event_date", F.col("event_date").cast("date"))
+    for parts in (edges, edges.orderBy("city")):
+        assert {r.edge_id: r.edge_city for r in dimensions.with_location(events, parts).collect()} == {"HAM": "A", "SFO": None}
+    assert {r.edge_id: r.salt for r in dimensions.with_salt(events, salts).collect()} == {"HAM": "x", "SFO": None}
+    changes = spark.createDataFrame([("d", "k1", "2024-01-01"), ("d", "k2", "2024-01-03"), ("d", "k3", "2024-01-02")],
+                                    "domain_name string, domain_key string, t string").selectExpr(
+        "domain_name", "domain_key", "cast(t as timestamp) as created_timestamp")
+    assert [r.domain_key for r in registry.upsert(changes.limit(0), changes).collect()] == ["k2"]
+
+
 def test_csv_export(spark, three_days):
     table = stats.daily_stats(three_days)
     name = exports.export_name("a.example", "2024-01-01", "2024-01-03")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from footfall import schemas
 from footfall.operators import parsing, sessions
 from footfall.session import scratch
+from footfall.sources import tables as src
 from footfall.sources.access_log import stream_lines
 from footfall.streaming import ingest, live
 from tests.test_parsing import SALT, VIEW_QUERY, line
@@ -54,8 +55,17 @@ def test_hours_and_late_repeats(spark, stream):
     batch, live_rows = stream(rows + rows)
     clean = live.deduplicated(live_rows, ["page_view_id"])
     assert drain(spark, live.append_to, clean, "dedup").count() == len(rows)
-    hours = drain(spark, live.replace_in, live.hourly_pageviews(live_rows), "hours")
-    assert hours.agg(F.sum("page_views_cnt")).first()[0] == 2 * len(rows)
+    path = scratch(spark, "hours")
+    live.keep_newest(live.hourly_pageviews(live_rows), path, scratch(spark, "checkpoint"), every=None).awaitTermination()
+    keys = ["domain_name", "hour_start"]
+
+    def hours():
+        return sorted(map(str, live.newest(spark.read.parquet(path), keys).collect()))
+
+    written = hours()
+    assert live.newest(spark.read.parquet(path), keys).agg(F.sum("page_views_cnt")).first()[0] == 2 * len(rows)
+    live.merge_batches(spark, path, keys, before=2)
+    assert hours() == written and len(src.folders(spark, path)) == 3
 
 
 def test_returning_visitors_count_once_per_hour(spark, stream):
@@ -66,6 +76,18 @@ def test_returning_visitors_count_once_per_hour(spark, stream):
     assert sorted((r.hour_start.hour, r.visitor_cnt) for r in visitors.collect()) == [(0, 3), (1, 3)]
 
 
+def test_closing_step_emits_the_last_hours(spark, stream):
+    rows = [(f"{who}", f"2024-01-05 0{h}:{m:02d}:00", f"p{who}-{h}-{m}")
+            for h in range(4) for who, m in [("u", 1), ("v", 20), ("u", 25), ("u", 55), ("w", 58)]]
+    batch, live_rows = stream(rows, files=10)
+    path = scratch(spark, "visitors")
+    live.append_to(live.hourly_visitors(live_rows), path, scratch(spark, "checkpoint"), every=None).awaitTermination()
+    for _ in range(2):
+        closed = live.finish(live.hourly_visitors(batch), path, ["domain_name", "hour_start"])
+    assert sorted((r.hour_start.hour, r.visitor_cnt) for r in closed.collect()) == [
+        (h, 3) for h in range(4)]
+
+
 def test_ingest_reads_the_registry_per_batch_and_survives_a_replay(spark):
     source = scratch(spark, "lines")
     good, bad = line(), line(VIEW_QUERY.replace("dk=k1", "dk=k9"))
@@ -94,5 +116,17 @@ def test_ingest_reads_the_registry_per_batch_and_survives_a_replay(spark):
     writer(again, 7)
     writer(again, 7)
     assert ingest.stored(spark, targets).count() == 4
+    # Repeated under a changed registry, a batch leaves no rows of its first run.
+    closed = ingest.Dimensions(schemas.empty(spark, schemas.DOMAINS), edges, salts)
+    ingest.batch_writer(lambda: closed, targets)(again, 7)
+    assert ingest.stored(spark, targets).count() == 3
+    writer(again, 7)
+    rows = sorted(map(str, ingest.stored(spark, targets).collect()))
+    ingest.compact(spark, targets, before=7)
+    assert sorted(map(str, ingest.stored(spark, targets).collect())) == rows and len(rows) == 4
+    assert len(src.folders(spark, targets.incoming)) == 2
+    twice = ingest.Targets(scratch(spark, "distinct"))
+    ingest.batch_writer(load, twice, distinct=True)(again.union(again), 1)
+    assert ingest.stored(spark, twice).count() == 1
     batch = parsing.parse_events(again, *load())
     assert batch.first().page_view_id == ingest.stored(spark, targets).first().page_view_id
