@@ -249,6 +249,17 @@ def contexts(counted: DataFrame, total: int, least: float, gain: float) -> list[
     return list(zip(*(got[c].to_pylist() for c in ("d", "context", "symbol", "n"))))
 
 
+def _frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words above the least count, in steps of a 16th of a doubling, that at most ``most`` words reach."""
+    step = F.floor(F.log2("n") * 16)
+    number = 0
+    for row in sorted(words.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):  # at most 1000 steps
+        number += row["count"]
+        if number > most:
+            return words.where(step > row.step)
+    return words
+
+
 def score(docs: DataFrame, fold: int = 1, least: float = LEAST, gain: float = GAIN, common: int = COMMON,
           id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
@@ -276,7 +287,7 @@ def score(docs: DataFrame, fold: int = 1, least: float = LEAST, gain: float = GA
     length = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     tree = Tree(contexts(counted, length, least, gain))
 
-    often = words.where("kind = 0").orderBy(F.desc("n"), "key").limit(common).select("key", "n").toArrow()
+    often = _frequent(words.where("kind = 0"), common).select("key", "n").toArrow()
     keys = often["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     sent = spark.sparkContext.broadcast((alphabet, tree, keys[order], often["n"].to_numpy()[order]))
