@@ -31,8 +31,8 @@ from footfall.llm.components import components
 
 BITS = 512
 WORDS = BITS // 64
-TABLES = 96
-TAKEN = 21
+TABLES = 144
+TAKEN = 25  # random pairs meet in one of 2^25 buckets: for more documents than that, take more bits and tables
 MARGIN = 10
 BUCKET = 1000
 LEADERS = 8
