@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from footfall import session
 from footfall.llm import spans
-from footfall.llm.book import small_batches
+from footfall.llm.book import small_batches, stored
 
 CACHE = "content string, tokenizer string, n_tokens long"
 MEMO = 1_000_000  # pieces a task remembers; then it starts anew
@@ -142,6 +142,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, id_column
                 names=["content", "tokenizer", "n_tokens"])
 
     misses.select("content", "body").mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("tokenizer") == now).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written out, so that the join below has plain shuffles on both sides and adaptive execution can split a hot text's.
+    counts = stored(read_cache(spark, cache).where(F.col("tokenizer") == now).groupBy("content").agg(
+        F.max("n_tokens").alias("n_tokens")), "counts")
     return docs.select("doc_id", "n_bytes", "content").join(counts, "content").select(
         F.col("doc_id").alias(id_column), "n_bytes", "n_tokens")
