@@ -34,6 +34,7 @@ PARAMS = {
 }
 EVENT_ONLY = {"event_name", "event_data"}
 UTM = ["utm_source", "utm_campaign", "utm_medium", "utm_content", "utm_term"]
+# The tracker's type codes, and the name of visits without referrer.
 EVENT_TYPES = {"pv": "pageview", "tr": "event"}
 DIRECT = "Direct / None"
 

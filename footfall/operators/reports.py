@@ -14,8 +14,9 @@ from footfall.functions import times
 from footfall.operators import dimensions
 from footfall.operators.dates import Period
 
+# Metric -> measure.
 METRICS = {"Pageviews": "page_views_cnt", "Visitors": "visitor_cnt"}
-# Breakdown -> (stored column, metric).
+# Title of a breakdown -> (stored column, metric).
 BREAKDOWNS = {
     "Pages": ("request_path", "Pageviews"),
     "Referrers": ("referrer_domain_name", "Pageviews"),

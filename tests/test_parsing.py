@@ -7,6 +7,7 @@ from footfall import schemas
 from footfall.functions import agents, urls
 from footfall.operators import manifest, parsing
 
+# Agent, address, host, path and time go into the ids below.
 AGENT = ("Mozilla/5.0%20(Macintosh;%20Intel%20Mac%20OS%20X%2010_15_7)%20AppleWebKit/537.36"
          "%20(KHTML,%20like%20Gecko)%20Chrome/107.0.0.0%20Safari/537.36")
 # One date's salt and the ids it must give.
