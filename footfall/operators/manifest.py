@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from footfall import schemas
 from footfall.functions.urls import blank_to_null, percent_decode
+from footfall.operators.parsing import computed_once
 
 # First folder of a key -> file type.
 FILE_TYPES = {"incoming": "cleaned", "aggregated": "curated"}
@@ -51,7 +52,7 @@ def current_files(events: DataFrame) -> DataFrame:
     order = F.col("sequencer") if "sequencer" in events.columns else F.lit(None).cast("string")
     decoded = F.coalesce(percent_decode(percent_decode(F.col("s3_key"))), F.col("s3_key"))
     area = F.substring_index("s3_key", "/", 1)
-    known = events.withColumn("s3_key", decoded).where(
+    known = computed_once(events.withColumn("s3_key", decoded), "s3_key").where(
         action.isin("ObjectCreated", "ObjectRemoved") & area.isin(*FILE_TYPES))
     newest = known.groupBy("s3_bucket", "s3_key").agg(F.max(F.struct(
         F.col("event_time"), order.alias("sequencer"), (action == "ObjectCreated").alias("exists"),
