@@ -14,6 +14,8 @@ lowest training logit; without training rows of both classes every text scores 0
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -225,9 +227,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     heads = np.flatnonzero(np.diff(owner, prepend=-1))
     docs = owner[heads]
 
-    seen = np.unique(np.stack([spans.owners(counts), rows[back]]), axis=1)
-    toxic = np.bincount(seen[1], labels[seen[0]], WORD_ROWS)
-    clean = np.bincount(seen[1], 1 - labels[seen[0]], WORD_ROWS)
+    seen = np.unique(spans.owners(counts) * WORD_ROWS + rows[back])
+    toxic = np.bincount(seen % WORD_ROWS, labels[seen // WORD_ROWS], WORD_ROWS)
+    clean = np.bincount(seen % WORD_ROWS, 1 - labels[seen // WORD_ROWS], WORD_ROWS)
     odds = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((clean + 0.5) / (len(labels) - labels.sum() + 1))
     net.p["word"][:, 0] = np.where(toxic + clean > 2, odds, 0) * 0.5
 
@@ -290,7 +292,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LA
     """Train on a bounded sample of labelled rows outside the held-out fold."""
     got = labelled.sample(docs, labels, label, rows, id_column, text, max_bytes).toArrow().sort_by(
         [("id", "ascending"), ("text", "ascending")])
-    return train(got["text"].to_pylist(), got["label"].to_numpy())
+    net = train(got["text"].to_pylist(), got["label"].to_numpy())
+    del got
+    _release()
+    return net
+
+
+def _release() -> None:
+    """Give the memory of the training back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
 
 
 def score(docs: DataFrame, net: Network, threshold: float = 0.5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
