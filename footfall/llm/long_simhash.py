@@ -1,22 +1,27 @@
-"""The SimHash operator's wide radii: near copies by long fingerprints, for texts whose word shingles have a Jaccard similarity of
-about 0.8 or more.
+"""The SimHash operator's similarity mode: near copies whose sets of word shingles have a Jaccard similarity of at least a bound.
 
-The radius-2 links of ``simhash`` find copies that differ in a few shingles of many. Here fingerprints have ``BITS`` bits, and their
-Hamming distance estimates the angle between two sets of shingles, so a similarity s becomes a radius: cos(angle) = 2s / (1 + s).
-``MARGIN`` more bits, about a standard deviation of that estimate, keep what lies at the bound.
+Texts with equal sets are one text. Of each other text the distinct shingles (a repeated line counts once) make a fingerprint of
+``BITS`` bits; the Hamming distance of two estimates the angle between the sets, so a similarity s becomes a radius: cos(angle) =
+2s / (1 + s) for sets of one size, more for others. ``MARGIN`` more bits keep candidates that the estimate puts too far. Every link
+is verified: the exact Jaccard similarity of the two sets of shingle hashes decides.
 
-Candidates share ``TAKEN`` sampled bits in one of ``TABLES`` tables. In a bucket, members in turn become pivots: the
-distances of all members to the pivot are computed once; those inside the radius are linked to it, and a member
-outside is compared with a linked one only if their distances to the pivot differ by no more than the radius (the triangle
-inequality excludes the rest). Members linked to one pivot need no links among themselves. In buckets of more than
-``BUCKET`` members, which hold large groups of copies, each member is compared with ``LEADERS`` of them, others in each
-table; no group is gathered in one task.
+Candidates share ``TAKEN`` sampled bits in one of ``TABLES`` tables and lie inside the radius. They are verified in two rounds:
+
+1. In a bucket, members in turn become pivots: the distances of all members to the pivot are computed once; those inside the
+   radius are linked to it, and a member outside is compared with a linked one only if their distances to the pivot differ by no
+   more than the radius (the triangle inequality excludes the rest). The ``NEAREST`` links of each text are verified. This
+   joins most of a large group with a number of links that grows with its size, not with its square.
+2. All candidates of a bucket that the first round has not joined are verified. So no candidate pair is left out.
+
+Buckets of more than ``BUCKET`` members are cut into blocks; the first round stays inside a block, the second compares each block
+with each, so no group is gathered in one task.
 
 Defined cases: as in ``simhash``; texts without words are copies of each other.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable, Iterator
 
@@ -35,7 +40,7 @@ TABLES = 144
 TAKEN = 25  # random pairs meet in one of 2^25 buckets: for more documents than that, take more bits and tables
 MARGIN = 10
 BUCKET = 1000
-LEADERS = 8
+NEAREST = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LANES = np.uint64(0x0101010101010101)
 
@@ -74,23 +79,39 @@ def radius(similarity: float, margin: int = MARGIN) -> int:
     return round(BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi) + (margin if similarity < 1 else 0)
 
 
-def text_fingerprints(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
-    """(rows, WORDS) unsigned longs."""
-    out = np.zeros((len(offsets) - 1, WORDS), np.uint64)
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each row in order, and their number."""
+    found, counted = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for low, high in spans.chunks(offsets):
         part = spans.LOWER[data[offsets[low]:offsets[high]]]
         text, starts, ends, counts = spans.spaced(part, offsets[low:high + 1] - offsets[low])
         first, last, number = shingles(counts, size)
-        hashes = spans.xxh64(text, starts[first], ends[last])
-        with np.errstate(over="ignore"):
-            for k in range(WORDS):
-                mixed = hashes + np.uint64(k + 1) * _STEP
-                mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                out[low:high, k] = bit_majorities(mixed ^ (mixed >> np.uint64(31)), number)
+        hashes, owner = spans.xxh64(text, starts[first], ends[last]), spans.owners(number)
+        hashes = hashes[np.lexsort((hashes, owner))]
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+        found.append(hashes[fresh])
+        counted.append(np.bincount(owner[fresh], minlength=high - low))
+    return np.concatenate(found), np.concatenate(counted)
+
+
+def set_fingerprints(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """(rows, WORDS) unsigned longs."""
+    out = np.zeros((len(number), WORDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(WORDS):
+            mixed = hashes + np.uint64(k + 1) * _STEP
+            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out[:, k] = bit_majorities(mixed ^ (mixed >> np.uint64(31)), number)
     return out
 
 
+def text_fingerprints(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
+    """(rows, WORDS) unsigned longs."""
+    return set_fingerprints(*shingle_sets(data, offsets, size))
+
+
 def _longs(column: pa.Array) -> np.ndarray:
     data, _ = spans.text_bytes(column)
     return data.view("<u8").reshape(-1, WORDS)
@@ -129,8 +150,24 @@ def bucket_links(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(fps: DataFrame, most: int, bucket: int = BUCKET, tables: int = TABLES) -> DataFrame:
-    """(a, b): links between the ids of (fid, fp)."""
+def open_pairs(fps: np.ndarray, labels: np.ndarray, blocks: np.ndarray, most: int) -> np.ndarray:
+    """(pairs, 2): members of one bucket inside the radius with different labels and, if there are two blocks, of different blocks."""
+    values, counts = np.unique(labels, return_counts=True)
+    rows = np.flatnonzero(labels != values[counts.argmax()])  # one of a pair is always here
+    across = blocks.min() != blocks.max()
+    found = [np.zeros((0, 2), np.int64)]
+    for k in range(0, len(rows), 64):
+        some = rows[k:k + 64]
+        near = (labels[some, None] != labels) & (_apart(fps[some, None], fps[None]) <= most)
+        if across:
+            near &= blocks[some, None] != blocks
+        i, j = np.nonzero(near)
+        found.append(np.stack([some[i], j], axis=1))
+    return np.concatenate(found)
+
+
+def bucket_members(fps: DataFrame, bucket: int, tables: int) -> DataFrame:
+    """(key, fid, blocks, block): the members of buckets with more than one."""
 
     def keys(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -141,47 +178,91 @@ def links(fps: DataFrame, most: int, bucket: int = BUCKET, tables: int = TABLES)
                     [pa.array(found.ravel()), some.column(0).take(pa.array(np.repeat(np.arange(some.num_rows), tables)))],
                     names=["key", "fid"])
 
+    listed = fps.select("fid", "fp").mapInArrow(keys, "key long, fid long")
+    sizes = stored(listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    blocks = F.ceil(F.col("n") / bucket).cast("int")
+    return stored(listed.join(sizes, "key").select("key", "fid", blocks.alias("blocks"), F.pmod(
+        F.xxhash64("fid"), blocks).cast("int").alias("block")), "members")
+
+
+def _grouped(members: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    return members.groupBy(*by).agg(F.collect_list(F.struct(*columns)).alias("members")).select("members")
+
+
+def _lists(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Begin and size of each list, and the flat members."""
+    sizes = part.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.cumsum(sizes) - sizes, sizes, part.column(0).flatten()
+
+
+def star_links(fps: DataFrame, members: DataFrame, most: int) -> DataFrame:
+    """(pivot, fid, bits): links inside the blocks of buckets that connect what lies inside the radius there."""
+
     def inside(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            lists = part.column(0)
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            members = lists.flatten()
-            ids, longs = members.field(0).to_numpy(), _longs(members.field(1))
-            begin = np.cumsum(sizes) - sizes
+            begin, sizes, flat = _lists(part)
+            ids, longs = flat.field(0).to_numpy(), _longs(flat.field(1))
+            with np.errstate(over="ignore"):  # the same texts become pivots in all tables
+                rank = (ids.astype(np.uint64) + np.uint64(1)) * _STEP
+                rank = (rank ^ (rank >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
             two = begin[sizes == 2]
             two = two[_apart(longs[two], longs[two + 1]) <= most]
-            found = [(ids[two], ids[two + 1])]
+            swap = rank[two] > rank[two + 1]
+            found = [np.stack([two + swap, two + ~swap], axis=1)]
             for b, n in zip(begin[sizes > 2], sizes[sizes > 2]):
-                pairs = np.array(bucket_links(longs[b:b + n], most), np.int64).reshape(-1, 2) + b
-                found.append((ids[pairs[:, 0]], ids[pairs[:, 1]]))
-            a, b = (np.concatenate(c) for c in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                order = b + np.argsort(rank[b:b + n])
+                found.append(order[np.array(bucket_links(longs[order], most), np.int64).reshape(-1, 2)])
+            a, b = np.concatenate(found).T
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[a]), pa.array(ids[b]), pa.array(_apart(longs[a], longs[b]))], names=["pivot", "fid", "bits"])
+
+    listed = members.join(fps.select("fid", "fp"), "fid")
+    return _grouped(listed, ["key", "block"], ["fid", "fp"]).mapInArrow(inside, "pivot long, fid long, bits long").distinct()
 
-    def with_leaders(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def pairs_between(fps: DataFrame, members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(a, b): all pairs of a bucket inside the radius whose labels (fid, label) differ."""
+
+    def inside(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ids, longs = part.column(0).to_numpy(), _longs(part.column(1))
-            found = []
-            for k in range(LEADERS):
-                leader = part.column(2 + k)
-                other = leader.field(1).to_numpy()
-                near = (_apart(longs, _longs(leader.field(2))) <= most) & (ids != other)
-                found.append((ids[near], other[near]))
-            a, b = (np.concatenate(c) for c in zip(*found))
+            begin, sizes, flat = _lists(part)
+            ids, longs = flat.field(0).to_numpy(), _longs(flat.field(1))
+            label, block = flat.field(2).to_numpy(), flat.field(3).to_numpy()
+            two = begin[sizes == 2]
+            two = two[(label[two] != label[two + 1]) & (_apart(longs[two], longs[two + 1]) <= most)]
+            found = [np.stack([two, two + 1], axis=1)]
+            for b, n in zip(begin[sizes > 2], sizes[sizes > 2]):
+                some = slice(b, b + n)
+                found.append(b + open_pairs(longs[some], label[some], block[some], most))
+            a, b = ids[np.concatenate(found).T]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    listed = fps.select("fid", "fp").mapInArrow(keys, "key long, fid long")
-    sizes = stored(listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    small = listed.join(sizes.where(F.col("n") <= bucket).select("key"), "key").join(fps.select("fid", "fp"), "fid")
-    found = small.groupBy("key").agg(F.collect_list(F.struct("fid", "fp")).alias("members")).select("members").mapInArrow(
-        inside, "a long, b long")
+    labelled = stored(members.join(labels, "fid"), "labelled")
+    several = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    # A bucket's blocks meet two by two: block i goes to the pairs (i, j) of all j.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = labelled.join(several.select("key"), "key").select("key", "fid", "label", "block", other).select(
+        "key", "fid", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    listed = spread.join(fps.select("fid", "fp"), "fid")
+    return _grouped(listed, ["key", "i", "j"], ["fid", "fp", "label", "block"]).mapInArrow(inside, "a long, b long").distinct()
+
 
-    crowded = listed.join(sizes.where(F.col("n") > bucket).select("key"), "key").join(fps.select("fid", "fp"), "fid")
-    crowded = stored(crowded.select("key", "fid", "fp"), "crowded")
-    leaders = crowded.groupBy("key").agg(*[
-        F.min(F.struct(F.xxhash64("fid", "key", F.lit(k)).alias("rank"), "fid", "fp")).alias(f"leader{k}") for k in range(LEADERS)])
-    starred = crowded.join(leaders, "key").select("fid", "fp", *[f"leader{k}" for k in range(LEADERS)]).mapInArrow(
-        with_leaders, "a long, b long")
-    return found.union(starred).distinct()
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (fid, hashes) have the similarity or more."""
+
+    def check(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            (left, begin), (right, start) = (spans.text_bytes(part.column(k)) for k in (2, 3))
+            keep = np.zeros(part.num_rows, bool)
+            for r in range(part.num_rows):
+                x, y = left[begin[r]:begin[r + 1]].view("<u8"), right[start[r]:start[r + 1]].view("<u8")
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) * 0.999:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[r] = both >= 1 and both / (len(x) + len(y) - both) >= similarity
+            yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    one, two = (sets.select(F.col("fid").alias(c), F.col("hashes").alias(f"set_{c}")) for c in "ab")
+    return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"), "verified")
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text",
@@ -191,16 +272,46 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_colu
 
     def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            raw = text_fingerprints(*spans.text_bytes(part.column(1)), size).astype("<u8").tobytes()
+            hashes, number = shingle_sets(*spans.text_bytes(part.column(3)), size)
+            raw = set_fingerprints(hashes, number).astype("<u8").tobytes()
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WORDS), part.num_rows, [None, pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([part.column(0), packed.cast(pa.binary())], names=["id", "fp"])
+            ends = np.cumsum(number)
+            digests = [hashlib.blake2b(hashes[e - n:e].tobytes(), digest_size=16).digest() for e, n in zip(ends, number)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(digests, pa.binary()), packed.cast(pa.binary())],
+                                             names=["id", "t1", "t2", "digest", "fp"])
+
+    def as_sets(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            hashes, number = shingle_sets(*spans.text_bytes(part.column(1)), size)
+            ends = np.cumsum(number)
+            made = [hashes[e - n:e].astype("<u8").tobytes() for e, n in zip(ends, number)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["fid", "hashes"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    marked = stored(docs.select(F.col(id_column).alias("id"), F.col(text)).mapInArrow(batches, f"id {kind}, fp binary"), "long-fingerprints")
-    fps = marked.groupBy("fp").agg(F.min("id").alias("first_id"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("t1"), F.xxhash64(body, F.lit(1)).alias("t2"), body.alias("body"))
+    marked = stored(texts.mapInArrow(batches, f"id {kind}, t1 long, t2 long, digest binary, fp binary"), "long-fingerprints")
+    fps = marked.groupBy("digest").agg(F.min("id").alias("first_id"), F.min(F.struct("t1", "t2")).alias("t"), F.min("fp").alias("fp"))
     fps = stored(fps.withColumn("fid", F.monotonically_increasing_id()), "distinct-long-fingerprints")
-    roots = components(links(fps, radius(similarity), bucket, tables)).select(F.col("node").alias("fid"), "root")
+
+    most = radius(similarity)
+    members = bucket_members(fps, bucket, tables)
+    stars = stored(star_links(fps, members, most), "stars")
+    # Whatever can be in a pair: texts with a link, and those whose bucket was linked block by block.
+    needed = stars.select("fid").union(stars.select("pivot")).union(members.where("blocks > 1").select("fid")).distinct()
+    needed = stored(fps.join(needed, "fid").select("fid", "t.t1", "t.t2"), "needed")
+    one_of = texts.select("t1", "t2", "body").join(needed, ["t1", "t2"]).groupBy("fid").agg(F.first("body").alias("body"))
+    sets = stored(one_of.mapInArrow(as_sets, "fid long, hashes binary"), "sets")
+
+    nearest = stars.groupBy("fid").agg(F.slice(F.sort_array(F.collect_list(F.struct("bits", "pivot"))), 1, NEAREST).alias("links"))
+    nearest = nearest.select(F.explode("links").alias("link"), "fid").select(
+        F.least("fid", "link.pivot").alias("a"), F.greatest("fid", "link.pivot").alias("b")).distinct()
+    edges = verified(nearest, sets, similarity)
+    joined = components(edges).select(F.col("node").alias("fid"), "root")
+    labels = stored(fps.select("fid").join(joined, "fid", "left").select("fid", F.coalesce("root", "fid").alias("label")), "first-labels")
+    more = verified(pairs_between(fps, members, labels, most), sets, similarity)
+    roots = components(edges.union(more)).select(F.col("node").alias("fid"), "root")
     placed = fps.join(roots, "fid", "left").withColumn("root", F.coalesce("root", "fid"))
     heads = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = stored(placed.join(heads, "root").select("fp", "component_id"), "labels")
-    return marked.join(labels, "fp").select(F.col("id").alias(id_column), "component_id")
+    labels = stored(placed.join(heads, "root").select("digest", "component_id"), "labels")
+    return marked.join(labels, "digest").select(F.col("id").alias(id_column), "component_id")

@@ -77,6 +77,27 @@ def test_near_copies(spark):
     assert long_simhash.radius(1.0) == 0 and long_simhash.radius(0.8) < long_simhash.radius(0.5)
 
 
+def test_repeated_lines_make_no_copies(spark):
+    """Menus and signatures repeated inside documents do not outvote the rest; links are similar in truth."""
+    rnd = random.Random(12)
+    line = " ".join(words(rnd, 12))
+    texts = []
+    for _ in range(40):
+        own = words(rnd, 200)
+        texts.append(" ".join(x for k in range(0, 200, 16) for x in (*own[k:k + 16], line)))
+    base = words(rnd, 300)
+    for k in range(40):  # 0.70 to 0.90: single words changed, far from each other
+        body, changed = list(base), 6 + k % 12
+        for j in range(changed):
+            body[7 + j * (290 // changed)] = f"w{k}x{j}"
+        texts.append(" ".join(body))
+    texts += [texts[0] + " " + line, texts[1]]
+    got = {r.doc_id: r.component_id for r in long_simhash.near_copies(table(spark, list(enumerate(texts))), 5, 0.8).collect()}
+    truth = joined([(a, b) for b in range(len(texts)) for a in range(b) if similar(texts[a], texts[b]) >= 0.8], range(len(texts)))
+    assert all(got[k] == k for k in range(40)) and got[80] == 0 and got[81] == 1
+    assert all(truth[got[k]] == truth[k] for k in range(len(texts)))  # no group joins what exact similarities do not
+
+
 def test_pivots_lose_no_link():
     rnd = random.Random(1)
     import numpy as np
