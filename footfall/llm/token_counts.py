@@ -2,8 +2,8 @@
 
 A count is stored under the digest of the (normalised) text and the digest of the tokenizer's file. Texts whose digest
 is in the cache are not encoded; of the others each different text is encoded once, and its count is appended. Inside
-a task, a text is cut before each space that follows a byte other than white space. A byte-level BPE tokenizer splits
-there before it merges, so the counts of the pieces add up to the count of the text, and each different piece is given
+a task, a text is cut before each space that follows an ASCII byte other than white space (after other bytes the character may be
+Unicode white space, which the tokenizer takes together with the space). A byte-level BPE tokenizer splits there before it merges, so the counts of the pieces add up to the count of the text, and each different piece is given
 to the library once per batch of pieces.
 
 Defined cases: null text is empty and has 0 tokens; repeated rows each get a row. A cache that two jobs appended to at
@@ -75,7 +75,7 @@ class Counter:
         if not len(data):
             return np.zeros(len(offsets) - 1, np.int64)
         cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = (data[1:] == 0x20) & ~spans.SPACE[data[:-1]]
+        cut[1:-1] = (data[1:] == 0x20) & ~spans.SPACE[data[:-1]] & (data[:-1] < 0x80)
         cut[offsets] = True
         bounds = np.flatnonzero(cut)
         starts, ends = bounds[:-1], bounds[1:]

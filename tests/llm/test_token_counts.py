@@ -48,6 +48,17 @@ def test_texts(spark, name):
     assert got == dict(enumerate([*library(made, path), 0, library([made[9]], path)[0]]))
 
 
+def test_unicode_spaces():
+    """Runs of spaces of other kinds are one piece to the tokenizer."""
+    rnd = random.Random(7)
+    parts = [" ", " ", "\u00a0", "\u00a0 ", "\u2003", "\u3000", "\u1680", "\u2028", "\x85", "\n", "a", "é", "10", "EUR", "."]
+    made = ["price: \u00a0 \u00a0 10 \u00a0 \u00a0 \u00a0 \u00a0 EUR", " \u00a0 \u00a0"]
+    made += ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 40))) for _ in range(2000)]
+    counter = token_counts.Counter(PATH)
+    assert not counter._whole
+    assert counter(*token_counts.spans.text_bytes(token_counts.pa.array(made))).tolist() == library(made)
+
+
 def test_cache(spark, tmp_path):
     cache = str(tmp_path / "cache")
     df = spark.createDataFrame([(1, "one two"), (2, "one two"), (3, None)], "doc_id long, text string")
