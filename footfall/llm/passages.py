@@ -44,6 +44,7 @@ SMALL = 2048
 
 # Odd multipliers, fixed so that all tasks agree.
 _A, _B, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_SIGN = np.uint64(1 << 63)
 _RI = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
 
 
@@ -189,7 +190,8 @@ def _compared(suffixes: DataFrame) -> DataFrame:
         data, _ = spans.text_bytes(whole["lead"].chunk(0))
         tokens = data.reshape(-1, LEAD).view(">u8")
         f, h = (whole[c].to_numpy().view(np.uint64) for c in ("f", "h"))
-        order = multikey_quicksort([np.ascontiguousarray(tokens[:, k]).astype(np.uint64) for k in range(LEAD // 8)] + [f, h])
+        # Spark deals out f and h as signed numbers: in another order, the parts of a group split over buckets would not be at the edges.
+        order = multikey_quicksort([np.ascontiguousarray(tokens[:, k]).astype(np.uint64) for k in range(LEAD // 8)] + [f ^ _SIGN, h ^ _SIGN])
         lead, f, h = tokens[order], f[order], h[order]
         fresh_group = np.append(True, (lead[1:] != lead[:-1]).any(axis=1) | (f[1:] != f[:-1]))
         fresh_run = fresh_group | np.append(True, h[1:] != h[:-1])

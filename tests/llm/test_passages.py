@@ -73,6 +73,24 @@ def test_made_texts(spark, group, piece, parts):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_groups_split_over_buckets(spark):
+    """One opening before many continuations: groups with one lead and hashes of both signs, each split over two buckets."""
+    def suffix(f, h, row):
+        return (b"o" * passages.LEAD, f, h, row, row, 0, 1)
+
+    rows = [suffix(f, 5, k) for k, f in enumerate([-9, -7, -7, -5, 3, 3, 8])]
+    kind = "lead binary, f long, h long, id1 long, id2 long, first long, size int"
+    # Bucket 1 ends inside the group -7, bucket 2 inside the group 3.
+    buckets = [rows[:2], rows[2:5], rows[5:]]
+
+    class Dealt:
+        def repartitionByRange(self, *_):
+            return spark.createDataFrame(spark.sparkContext.parallelize(range(3), 3).flatMap(lambda k: buckets[k]), kind)
+
+    found = passages._settled(passages._compared(Dealt())).where(f"kind = {passages.REPEATED}").collect()
+    assert sorted(r.id1 for r in found) == [1, 2, 4, 5]
+
+
 def test_same_ids_and_empty(spark):
     text = "".join(random.Random(1).choice("abc ") for _ in range(600))
     df = spark.createDataFrame([(None, text), (None, text), (1, "x"), (1, text + "y")], "doc_id long, text string")
