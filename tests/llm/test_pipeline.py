@@ -98,6 +98,20 @@ def test_repeated_lines_make_no_copies(spark):
     assert all(truth[got[k]] == truth[k] for k in range(len(texts)))  # no group joins what exact similarities do not
 
 
+def test_crowded_buckets_lose_no_pair(spark):
+    """All pairs of a bucket of 60 that is cut into blocks of about 4, and none of one label."""
+    import numpy as np
+    rng = np.random.default_rng(7)
+    fps = rng.integers(0, 1 << 63, (60, 8), dtype=np.uint64)
+    fps[30:] = fps[:30] ^ np.uint64(5)
+    frame = spark.createDataFrame([(k, bytearray(fps[k].astype("<u8").tobytes())) for k in range(60)], "fid long, fp binary")
+    members = frame.select(F.lit(1).cast("long").alias("key"), "fid", F.lit(15).alias("blocks"),
+                           F.pmod(F.xxhash64("fid"), F.lit(15)).cast("int").alias("block"))
+    labels = frame.select("fid", F.when(F.col("fid").isin(0, 30), 0).otherwise(F.col("fid")).cast("long").alias("label"))
+    got = {(r.a, r.b) for r in long_simhash.pairs_between(frame, members, labels, 100).collect()}
+    assert got == {(k, k + 30) for k in range(1, 30)}
+
+
 def test_pivots_lose_no_link():
     rnd = random.Random(1)
     import numpy as np
