@@ -98,6 +98,24 @@ def test_repeated_lines_make_no_copies(spark):
     assert all(truth[got[k]] == truth[k] for k in range(len(texts)))  # no group joins what exact similarities do not
 
 
+def test_recall_at_the_bound():
+    """Pairs with a similarity of 0.80 to 0.83 are candidates: inside the radius, and in one bucket of some table."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    found = pairs = 0
+    for both in (40, 200, 900):
+        for _ in range(400):
+            apart = int(both / rng.uniform(0.8, 0.83)) - both
+            cut = int(rng.integers(apart + 1))
+            values = rng.integers(0, 1 << 63, both + apart, dtype=np.uint64)
+            sets = values[:both + cut], np.concatenate([values[:both], values[both + cut:]])
+            fps = long_simhash.set_fingerprints(np.concatenate(sets), np.array([len(x) for x in sets]))
+            keys = long_simhash.table_keys(fps)
+            near = np.bitwise_count(fps[0] ^ fps[1]).sum() <= long_simhash.radius(0.8)
+            pairs, found = pairs + 1, found + bool(near and (keys[0] == keys[1]).any())
+    assert found >= 0.95 * pairs
+
+
 def test_crowded_buckets_lose_no_pair(spark):
     """All pairs of a bucket of 60 that is cut into blocks of about 4, and none of one label."""
     import numpy as np
