@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
 
 Toxic documents go; of each group of near copies the one with the smallest id stays; bytes of passages that occur more than
-once go from the texts, and documents of which nothing is left; documents that hold a benchmark item go; the rest is mixed
+once (400 bytes, or more than 50 words) go from the texts, and documents of which nothing is left; documents that hold a benchmark item go; the rest is mixed
 to target weights. All stages but the last return the columns of their input.
 """
 
@@ -54,17 +54,22 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated passages; documents of which no word is left go, others keep their columns."""
+    """Texts without the bytes of repeated passages: of 400 bytes as in op10, or of more than 50 words.
+
+    Documents of which no word is left go, others keep their columns.
+    """
     columns = docs.columns
     rest = F.struct(*[c for c in columns if c != "text"]).alias("rest")
     keyed = passages.keyed(docs.select("doc_id", "text", rest), "doc_id", "text").withColumn(
         "missing", F.col("text").isNull()).select("rest", "missing", "body", "id1", "id2")
-    stretches = passages.repeated_stretches(keyed).groupBy("id1", "id2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    found = passages.repeated_stretches(keyed).withColumn("words", F.lit(False)).unionByName(
+        passages.repeated_words(keyed).withColumn("words", F.lit(True)))
+    stretches = found.groupBy("id1", "id2").agg(F.collect_list(F.struct("begin", "end", "words")).alias("spans"))
     joined = keyed.join(stretches.hint("shuffle_hash"), ["id1", "id2"], "left").select("rest", "missing", "body", "spans")
 
     def cut(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = list(passages.cut_rows(part.column(2), part.column(3)))
+            rows = list(passages.cut_rows(part.column(2), passages.in_bytes(part.column(2), part.column(3))))
             texts = pa.array([left.decode("utf-8", "ignore") for left, *_ in rows], pa.string())
             keep = pa.array([not gone or bool(left.strip()) for left, _, gone, _ in rows], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=["rest", "missing", "text"]).filter(keep)

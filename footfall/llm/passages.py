@@ -1,8 +1,8 @@
 """Suffix-array removal of repeated passages: every byte covered by an ``LENGTH``-byte string that also starts elsewhere.
 
-Not all suffixes are sorted. Of every ``SPAN`` possible start positions the one with the smallest hash of its first bytes is
+Not all suffixes are sorted. Of every ``span`` possible start positions the one with the smallest hash of its first bytes is
 the anchor (leftmost if equal), so equal strings have equal anchors. An anchor stands for the run of strings that
-chose it, and its suffix is sorted by: its leading tokens, a hash of the ``SHARED`` bytes that all of its strings have from the
+chose it, and its suffix is sorted by: its leading tokens, a hash of the bytes that all of its strings have from the
 anchor on, and a hash of the bytes of the whole run. Sampled splitters over these keys (ties broken by place, so a passage
 in a third of all documents spreads over buckets) range-partition the suffixes; each bucket is sorted by multikey
 quicksort and neighbours are compared; what the first and last groups of a bucket leave open is settled with
@@ -16,6 +16,9 @@ the groups of other buckets.
 Hashes are 64-bit and only compared together with their group's. Texts are cut into pieces of ``PIECE`` start positions that
 overlap by one string, so a very long text needs no more memory than others.
 
+By words (``repeated_words``), a text is the sequence of its words' codes of ``CODE`` bytes each, and strings are ``WORDS`` codes that begin
+with a word; white space between words plays no part there.
+
 Defined cases: null text is empty; texts shorter than ``LENGTH`` bytes keep everything; repeated rows repeat each other's
 strings, whatever their ids; each row gets a row. Removing bytes can cut a character in two; as text, such halves go too.
 """
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +38,9 @@ from footfall.llm import spans
 from footfall.llm.book import small_batches, stored
 
 LENGTH = 400
-SPAN = 320
 GRAM = 16
-SHARED = LENGTH - SPAN  # bytes from the anchor on that all strings of a run have
+WORDS = 51  # the shortest run of words that is a passage by words
+CODE = 4  # bytes that stand for a word
 LEAD = 24
 GROUP = 2000
 PIECE = 1 << 20
@@ -48,6 +52,11 @@ _SIGN = np.uint64(1 << 63)
 _RI = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
 
 
+def span(length: int) -> int:
+    """Start positions that one anchor is chosen from; all strings of a run have the other ``length - span`` bytes from the anchor on."""
+    return length * 4 // 5
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _A
     x = (x ^ (x >> np.uint64(29))) * _B
@@ -99,19 +108,19 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:have - width], values[width - have:]) if have < width else values
 
 
-def anchors(piece: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(piece: np.ndarray, hashes: Hashes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, first start and number of starts of each run of strings in a piece."""
     place = np.arange(len(hashes.grams), dtype=np.uint64)
     ranked = (hashes.grams & ~np.uint64((1 << 24) - 1)) | place  # the place breaks ties: leftmost first
-    chosen = _least(ranked, SPAN)[:len(piece) - LENGTH + 1] & np.uint64((1 << 24) - 1)
+    chosen = _least(ranked, span(length))[:len(piece) - length + 1] & np.uint64((1 << 24) - 1)
     first = np.flatnonzero(np.diff(chosen, prepend=chosen[:1] + np.uint64(1)))
     return chosen[first].astype(np.int64), first, np.diff(np.append(first, len(chosen)))
 
 
-def pieces(text: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+def pieces(text: np.ndarray, size: int, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray]]:
     """Begin and bytes of pieces with ``size`` start positions each."""
-    for begin in range(0, len(text) - LENGTH + 1, size):
-        yield begin, text[begin:begin + size + LENGTH - 1]
+    for begin in range(0, len(text) - length + 1, size):
+        yield begin, text[begin:begin + size + length - 1]
 
 
 def multikey_quicksort(columns: list[np.ndarray]) -> np.ndarray:
@@ -144,7 +153,7 @@ def keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         "id1": F.xxhash64(F.col(id_column).cast("string"), F.lit(1)), "id2": F.xxhash64("body")})
 
 
-def _suffixes(keyed: DataFrame, size: int) -> DataFrame:
+def _suffixes(keyed: DataFrame, size: int, length: int = LENGTH) -> DataFrame:
     """(lead, f, h, id1, id2, first, size): the suffix key of each anchor and its run of strings."""
 
     def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +161,11 @@ def _suffixes(keyed: DataFrame, size: int) -> DataFrame:
             data, offsets = spans.text_bytes(part.column(2))
             found, owner = [], []
             for r in range(part.num_rows):
-                for begin, piece in pieces(data[offsets[r]:offsets[r + 1]], size):
+                for begin, piece in pieces(data[offsets[r]:offsets[r + 1]], size, length):
                     hashes = Hashes(piece)
-                    at, first, starts = anchors(piece, hashes)
-                    shared = hashes.of(at, at + SHARED)
-                    whole = hashes.of(first, first + starts - 1 + LENGTH)
+                    at, first, starts = anchors(piece, hashes, length)
+                    shared = hashes.of(at, at + length - span(length))
+                    whole = hashes.of(first, first + starts - 1 + length)
                     with np.errstate(over="ignore"):
                         whole = _mix(whole ^ _mix(((at - first) << 20 | starts).astype(np.uint64) * _A))
                     lead = piece[at[:, None] + np.arange(LEAD)]
@@ -172,7 +181,7 @@ def _suffixes(keyed: DataFrame, size: int) -> DataFrame:
                  part.column(0).take(rows), part.column(1).take(rows), pa.array(first), pa.array(starts.astype(np.int32))],
                 names=["lead", "f", "h", "id1", "id2", "first", "size"])
 
-    return keyed.select("id1", "id2", "body").where(F.octet_length("body") >= LENGTH).mapInArrow(
+    return keyed.select("id1", "id2", "body").where(F.octet_length("body") >= length).mapInArrow(
         batches, "lead binary, f long, h long, id1 long, id2 long, first long, size int")
 
 
@@ -227,14 +236,14 @@ def _settled(compared: DataFrame) -> DataFrame:
         joined.select(F.explode(outcome).alias("kind"), "f", "h", "n", "id1", "id2", "first", "size"))
 
 
-def _string_hashes(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Hashes of all ``LENGTH``-byte strings of consecutive runs of bytes."""
+def _string_hashes(text: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all ``length``-byte strings of consecutive runs of bytes."""
     out = [Hashes(text[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
     return np.concatenate([np.zeros(0, np.uint64)] + [
-        x.of(np.arange(n), np.arange(n) + LENGTH) for x, n in zip(out, np.diff(bounds) - LENGTH + 1)])
+        x.of(np.arange(n), np.arange(n) + length) for x, n in zip(out, np.diff(bounds) - length + 1)])
 
 
-def _stretches(hit: np.ndarray, row: np.ndarray, start: np.ndarray):
+def _stretches(hit: np.ndarray, row: np.ndarray, start: np.ndarray, length: int):
     """Row, begin and end of the text covered by neighbouring strings that are hits."""
     at = np.flatnonzero(hit)
     if not len(at):
@@ -242,23 +251,23 @@ def _stretches(hit: np.ndarray, row: np.ndarray, start: np.ndarray):
     new = np.append(True, (np.diff(at) > 1) | (np.diff(row[at]) != 0))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return row[at[first]], start[at[first]], start[at[last]] + LENGTH
+    return row[at[first]], start[at[first]], start[at[last]] + length
 
 
-def _in_groups(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_groups(length: int, parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (f, id1, id2, first, open, body) sorted by f: the stretches of open runs that have a partner in their group."""
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         text, bounds = spans.text_bytes(table["body"].chunk(0))
-        number = np.diff(bounds) - LENGTH + 1
+        number = np.diff(bounds) - length + 1
         row = spans.owners(number)
         inner = np.arange(number.sum()) - (np.cumsum(number) - number)[row]
         with np.errstate(over="ignore"):
-            key = _string_hashes(text, bounds) ^ _mix(table["f"].to_numpy().view(np.uint64) * _A)[row]
+            key = _string_hashes(text, bounds, length) ^ _mix(table["f"].to_numpy().view(np.uint64) * _A)[row]
         _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
         wanted = table["open"].to_numpy(zero_copy_only=False)[row]
-        rows, begin, end = _stretches((counts[back] > 1) & wanted, row, table["first"].to_numpy()[row] + inner)
+        rows, begin, end = _stretches((counts[back] > 1) & wanted, row, table["first"].to_numpy()[row] + inner, length)
         taken = table.select(["id1", "id2"]).take(pa.array(rows))
         return pa.RecordBatch.from_arrays([taken["id1"].combine_chunks(), taken["id2"].combine_chunks(), pa.array(begin),
                                            pa.array(end)], names=["id1", "id2", "begin", "end"])
@@ -282,7 +291,7 @@ def _in_groups(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _FETCHED = "f long, h long, id1 long, id2 long, first long, open boolean, body binary"
 
 
-def _fetch(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fetch(length: int, parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs listed with each document."""
     for part in parts:
         data, offsets = spans.text_bytes(part.column(part.schema.get_field_index("body")))
@@ -291,7 +300,7 @@ def _fetch(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = lists.flatten()
         first, size = (runs.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4))
         low = offsets[row] + first
-        high = low + size - 1 + LENGTH
+        high = low + size - 1 + length
         for k in range(0, len(row), 4096):
             some = slice(k, k + 4096)
             body = pa.array([data[a:b].tobytes() for a, b in zip(low[some], high[some])], pa.binary())
@@ -303,45 +312,79 @@ def _fetch(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["f", "h", "id1", "id2", "first", "open", "body"])
 
 
-def _by_string(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_string(length: int, parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(g, open, id1, id2, start): every string of crowded groups."""
     for part in parts:
         for k in range(0, part.num_rows, 1000):
             table = pa.Table.from_batches([part.slice(k, 1000)]).combine_chunks()
             text, bounds = spans.text_bytes(table["body"].chunk(0))
-            number = np.diff(bounds) - LENGTH + 1
+            number = np.diff(bounds) - length + 1
             row = spans.owners(number)
             inner = np.arange(number.sum()) - (np.cumsum(number) - number)[row]
             with np.errstate(over="ignore"):
-                key = _string_hashes(text, bounds) ^ _mix(table["f"].to_numpy().view(np.uint64) * _A)[row]
+                key = _string_hashes(text, bounds, length) ^ _mix(table["f"].to_numpy().view(np.uint64) * _A)[row]
             taken = table.select(["open", "id1", "id2"]).take(pa.array(row)).combine_chunks()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), *(taken[c].chunk(0) for c in taken.column_names),
                  pa.array(table["first"].to_numpy()[row] + inner)], names=["g", "open", "id1", "id2", "start"])
 
 
-def repeated_stretches(keyed: DataFrame, group: int = GROUP, piece: int = PIECE) -> DataFrame:
-    """(id1, id2, begin, end): stretches of text, overlapping ones among them, that repeated strings cover."""
-    found = stored(_settled(stored(_compared(_suffixes(keyed, piece)), "compared")), "settled")
+def repeated_stretches(keyed: DataFrame, group: int = GROUP, piece: int = PIECE, length: int = LENGTH) -> DataFrame:
+    """(id1, id2, begin, end): stretches of text, overlapping ones among them, that repeated strings of ``length`` bytes cover."""
+    found = stored(_settled(stored(_compared(_suffixes(keyed, piece, length)), "compared")), "settled")
     covered = found.where(F.col("kind") == REPEATED).select(
-        "id1", "id2", F.col("first").alias("begin"), (F.col("first") + F.col("size") - 1 + LENGTH).alias("end"))
+        "id1", "id2", F.col("first").alias("begin"), (F.col("first") + F.col("size") - 1 + length).alias("end"))
 
     unsettled = found.where(F.col("kind").isin(OPEN_RUN, PARTNER))
     crowded = stored(unsettled.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > group).select("f"), "crowded")
     listed = unsettled.groupBy("id1", "id2").agg(F.collect_list(F.struct(
         "f", "h", (F.col("kind") == OPEN_RUN).alias("open"), "first", "size")).alias("runs"))
-    runs = stored(keyed.join(listed.hint("shuffle_hash"), ["id1", "id2"]).mapInArrow(_fetch, _FETCHED), "runs")
+    runs = stored(keyed.join(listed.hint("shuffle_hash"), ["id1", "id2"]).mapInArrow(partial(_fetch, length), _FETCHED), "runs")
     small = runs.join(crowded, "f", "left_anti").drop("h").repartition("f").sortWithinPartitions("f")
     in_groups = small.select("f", "id1", "id2", "first", "open", "body").mapInArrow(
-        _in_groups, "id1 long, id2 long, begin long, end long")
+        partial(_in_groups, length), "id1 long, id2 long, begin long, end long")
 
-    strings = runs.join(crowded, "f", "left_semi").mapInArrow(_by_string, "g long, open boolean, id1 long, id2 long, start long")
+    strings = runs.join(crowded, "f", "left_semi").mapInArrow(partial(_by_string, length), "g long, open boolean, id1 long, id2 long, start long")
     more_than_one = strings.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     by_string = strings.where("open").join(more_than_one, "g").select(
-        "id1", "id2", F.col("start").alias("begin"), (F.col("start") + LENGTH).alias("end"))
+        "id1", "id2", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
     return covered.union(in_groups).union(by_string)
 
 
+def repeated_words(keyed: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id1, id2, begin, end): stretches of words that repeated runs of ``words`` words cover."""
+
+    def codes(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            data, offsets = spans.text_bytes(part.column(2))
+            starts, ends, counts = spans.words(data, offsets)
+            raw = spans.xxh64(data, starts, ends).astype("<u4").tobytes()
+            at = pa.array(np.concatenate([[0], np.cumsum(CODE * counts)]), pa.int64())
+            made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, at.buffers()[1], pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made.cast(pa.binary())], names=["id1", "id2", "body"])
+
+    coded = keyed.select("id1", "id2", "body").mapInArrow(codes, "id1 long, id2 long, body binary")
+    found = repeated_stretches(coded, length=CODE * words)
+    # All strings that begin in a stretch are repeated; those that begin with a word count.
+    first, last = F.ceil(F.col("begin") / CODE), F.floor((F.col("end") - CODE * words) / CODE)
+    return found.select("id1", "id2", first.alias("begin"), (last + words).alias("end")).where(F.col("end") - words >= F.col("begin"))
+
+
+def in_bytes(bodies: pa.Array, lists: pa.Array) -> pa.Array:
+    """Stretches (begin, end, words), of which some count words, as stretches of bytes."""
+    data, offsets = spans.text_bytes(bodies)
+    starts, ends, counts = spans.words(data, offsets)
+    number = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, flat = spans.owners(number), lists.flatten()
+    begin, end = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    some = flat.field(2).to_numpy(zero_copy_only=False).astype(bool)
+    base = (np.cumsum(counts) - counts)[row[some]]
+    begin[some] = starts[base + begin[some]] - offsets[row[some]]
+    end[some] = ends[base + end[some] - 1] - offsets[row[some]]
+    pairs = pa.StructArray.from_arrays([pa.array(begin), pa.array(end)], names=["begin", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(number)]), pa.int32()), pairs)
+
+
 def _covered(length: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     change = np.zeros(length + 1, np.int32)
     np.add.at(change, begin, 1)

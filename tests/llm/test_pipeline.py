@@ -171,6 +171,19 @@ def test_passages_go_from_texts(spark):
         assert shared not in got[k][0] and own[k - 1][:40 if k == 1 else 0] in got[k][0] and got[k][1] == len(got[k][0])
 
 
+def test_passages_of_more_than_50_words_go(spark):
+    """51 short words, far below 400 bytes, are a passage; 50 are none."""
+    rnd = random.Random(9)
+    passage = [rnd.choice("abcdefgh") + rnd.choice("ik") for _ in range(51)]
+    fifty = [rnd.choice("abcdefgh") + rnd.choice("lm") for _ in range(50)]
+    own = [" ".join(words(rnd, 30)) for _ in range(4)]
+    df = table(spark, [(1, own[0] + " " + " ".join(passage) + " " + own[1]), (2, own[2] + "\n" + " ".join(passage)),
+                       (3, " ".join(fifty) + " " + own[3]), (4, "x " + " ".join(fifty)), (5, " ".join(passage))])
+    got = {r.doc_id: r.text for r in stage("suffix_array_dedup")(spark, df, DATA).collect()}
+    assert {k: v.split() for k, v in got.items()} == {1: (own[0] + " " + own[1]).split(), 2: own[2].split(), 3: [*fifty, *own[3].split()],
+                                                      4: ["x", *fifty]}
+
+
 def test_leaks_go(spark):
     items = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").limit(3).collect()
     rnd = random.Random(6)
