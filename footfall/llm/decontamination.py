@@ -13,6 +13,10 @@ length of its class, and an item is compared by its first words of that number.
    at ``SAMPLE`` steps; a window and an item whose samples agree in one of the walks are candidates.
 3. Candidates are verified by the edit distance of the whole item, with a free end in the document.
 
+Walks of long items drift apart, so an item of more than ``LONGEST`` words is cut into equal pieces of no more: if it is held with few
+enough edits, one of its pieces is, and usually several are. The windows that are candidates for a piece tell where the item
+can begin, up to its edits, and all of these beginnings are verified against the whole item at once.
+
 Items are sent to the tasks in blocks of about ``BLOCK_BYTES`` of text, one pass over the documents each.
 
 Defined cases: null texts and items hold nothing; items with fewer than ``MIN_WORDS`` words take no part; repeated rows and
@@ -38,6 +42,7 @@ GROWTH = 1.25
 SAMPLE = 3
 REPEATS = 48
 BLOCK_BYTES = 4 << 20
+LONGEST = 64
 WINDOWS = 2048  # windows walked at once
 _M = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -139,6 +144,18 @@ def distances(item: np.ndarray, stretches: np.ndarray, sizes: np.ndarray) -> np.
     return np.where(beyond, len(item) + width, row).min(axis=1)
 
 
+def edits_by_start(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Edits from the item to the nearest stretch that begins at each word, or at the end, of a row of words."""
+    column = np.arange(len(words) + 1)
+    back, row = words[::-1], np.zeros(len(words) + 1, np.int64)
+    for n, word in enumerate(item[::-1], 1):
+        new = np.empty_like(row)
+        new[0] = n
+        new[1:] = np.minimum(row[:-1] + (back != word), row[1:] + 1)
+        row = np.minimum.accumulate(new - column) + column
+    return row[::-1]
+
+
 class Index:
     """All classes of a block of items."""
 
@@ -149,12 +166,19 @@ class Index:
         hashes, counts = word_hashes(data, offsets)
         ends = np.cumsum(counts)
         classes: dict[int, list[tuple[int, np.ndarray]]] = {}
+        self.whole: dict[int, np.ndarray] = {}
+        self.pieces: list[tuple[int, int]] = []  # item and first word of each piece
         for n, (high, count) in enumerate(zip(ends, counts)):
             if count >= min_words:
-                width = min_words
-                while math.ceil(width * GROWTH) <= count:
-                    width = math.ceil(width * GROWTH)
-                classes.setdefault(width, []).append((n, hashes[high - count:high]))
+                self.whole[n] = hashes[high - count:high]
+                parts = -(-int(count) // max(LONGEST, min_words))
+                bounds = [int(count) * k // parts for k in range(parts + 1)]
+                for low, until in zip(bounds[:-1], bounds[1:]):
+                    width = min_words
+                    while math.ceil(width * GROWTH) <= until - low:
+                        width = math.ceil(width * GROWTH)
+                    classes.setdefault(width, []).append((len(self.pieces), self.whole[n][low:until]))
+                    self.pieces.append((n, low))
         self.classes = [SizeClass(w, items, rate, repeats, sample, seed) for w, items in sorted(classes.items())]
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -162,11 +186,18 @@ class Index:
         words, counts = word_hashes(data, offsets)
         owner = spans.owners(counts)
         ends = np.cumsum(counts)[owner]
+        begins = np.cumsum(counts) - counts
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        long: dict[tuple[int, int], list[int]] = {}
         for size in self.classes:
             window, item = size.candidates(words, size.windows(words, ends), ends)
             for k in np.unique(item):
-                number, own = size.items[k]
+                piece, own = size.items[k]
+                number, low = self.pieces[piece]
+                if len(own) < len(self.whole[number]):
+                    for at in window[item == k]:
+                        long.setdefault((int(owner[at]), number), []).append(int(at) - low)
+                    continue
                 allowed = math.floor(self.rate * len(own))
                 reach = len(own) + allowed
                 starts = window[item == k]
@@ -177,9 +208,18 @@ class Index:
                     for s, e in zip(at[edits <= allowed], edits[edits <= allowed]):
                         key, value = (int(owner[s]), number), (int(e), int(s))
                         best[key] = min(best.get(key, value), value)
-        begins = np.cumsum(counts) - counts
-        sizes = {n: len(words) for c in self.classes for n, words in c.items}
-        return [(row, n, edits, sizes[n], s - int(begins[row])) for (row, n), (edits, s) in sorted(best.items())]
+        for (r, number), starts in long.items():
+            own = self.whole[number]
+            allowed = math.floor(self.rate * len(own))
+            starts = np.unique(starts)
+            for some in np.split(starts, np.flatnonzero(np.diff(starts) > 2 * allowed + 1) + 1):
+                low = max(int(begins[r]), int(some[0]) - allowed)
+                high = min(int(begins[r] + counts[r]), int(some[-1]) + 2 * allowed + len(own))
+                edits = edits_by_start(own, words[low:high])
+                value = int(edits.min()), low + int(edits.argmin())
+                if value[0] <= allowed:
+                    best[r, number] = min(best.get((r, number), value), value)
+        return [(row, n, edits, len(self.whole[n]), s - int(begins[row])) for (row, n), (edits, s) in sorted(best.items())]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, repeats: int = REPEATS, id_column: str = "doc_id",

@@ -83,6 +83,29 @@ def test_recall_of_edited_passages(spark):
         assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_recall_of_long_items():
+    """Items of several hundred words with as many spread edits as are allowed."""
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(800)]
+    found = total = 0
+    for size in (65, 150, 300, 600):
+        items = [[rnd.choice(vocabulary) for _ in range(size)] for _ in range(4)]
+        index = dec.Index([" ".join(i) for i in items])
+        texts = []
+        for d in range(12):
+            body = list(items[d % 4])
+            for at in sorted(rnd.sample(range(size), size // 5), reverse=True):
+                body[at:at + rnd.choice((0, 1, 1))] = rnd.choice(([], ["new"], [rnd.choice(vocabulary)]))
+            texts.append([rnd.choice(vocabulary) for _ in range(rnd.randint(0, 150))] + body + ["end"] * rnd.randint(0, 50))
+        texts.append([rnd.choice(vocabulary) for _ in range(900)])
+        got = index.matches(*dec.spans.text_bytes(dec.pa.array([" ".join(t) for t in texts])))
+        for row, item, edits, words_of, first in got:
+            assert row < 12 and item == row % 4 and words_of == size and edits == nearest(items[item], texts[row])
+            assert nearest(items[item], texts[row][first:first + size + edits]) == edits
+        found, total = found + len(got), total + 12
+    assert found >= 0.95 * total
+
+
 def test_edges(spark):
     text = "One two, three four five six seven eight nine ten."
     docs = [(1, None), (2, ""), (3, "..."), (4, text), (4, text), (5, "one two three four five six seven eight nine"),
