@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import (
-    decontamination, maxscore, mixing, neighbours, passages, simhash, suffix_tree, token_counts, toxicity, url_rules)
+    decontamination, hard_negatives, maxscore, mixing, neighbours, passages, simhash, suffix_tree, token_counts, toxicity, url_rules)
 from footfall.llm.book import query, table
 from footfall.llm.labelled import held_out
 
@@ -95,3 +95,26 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_decontamination")
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_hard_negatives", """
+WITH usable AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+  parts AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(len(embedding))) AS k FROM usable),
+  whole AS (SELECT vec_id, label, k, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM parts
+    WHERE vec_id NOT IN (SELECT vec_id FROM parts WHERE x IS NULL OR NOT isfinite(x))),
+  scores AS (SELECT q.vec_id AS anchor, q.label = d.label AS same, d.vec_id AS id, CAST(sum(q.x * d.x) AS BIGINT) AS score
+    FROM whole q JOIN whole d ON q.k = d.k AND q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0
+    GROUP BY q.vec_id, d.vec_id, q.label = d.label),
+  positives AS (SELECT anchor, id, score FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS k
+    FROM scores WHERE same) WHERE k <= 5),
+  negatives AS (SELECT p.anchor, p.id AS positive, p.score AS positive_score, n.id, n.score,
+      row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) AS k
+    FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.same
+      AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(k AS INTEGER) AS rank, id AS negative_id, positive_score,
+  score AS negative_score FROM negatives WHERE k <= 10""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    vectors = hard_negatives.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, 256)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
