@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import (
-    decontamination, hard_negatives, maxscore, mixing, neighbours, passages, simhash, suffix_tree, token_counts, toxicity, url_rules)
+    bbit_minhash, collocations, decontamination, hard_negatives, maxscore, mixing, neighbours, passages, simhash, suffix_tree, token_counts, toxicity, url_rules)
 from footfall.llm.book import query, table
 from footfall.llm.labelled import held_out
 
@@ -118,3 +118,42 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
     vectors = hard_negatives.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, 256)
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+@query("op13_collocations", r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+  lists AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+  totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
+  places AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM lists, (VALUES (1), (2), (3), (4)) v(m) WHERE len(w) >= m),
+  grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM places),
+  f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 30),
+  cuts AS (SELECT lang, phrase, m, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS lp,
+    array_to_string(string_split(phrase, ' ')[k + 1:m], ' ') AS rp FROM f, (VALUES (1), (2), (3)) v(k) WHERE k < m),
+  scored AS (SELECT c.*, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS BIGINT) AS score FROM cuts c
+    JOIN f x ON x.lang = c.lang AND x.phrase = c.lp JOIN f y ON y.lang = c.lang AND y.phrase = c.rp),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS q FROM scored) WHERE q = 1),
+  kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM f c WHERE c.lang = b.lang AND c.m > b.m
+    AND 100 * c.f >= 80 * b.a AND contains(concat(' ', c.phrase, ' '), concat(' ', b.phrase, ' ')))),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, most=2000, inside=80)
+
+
+@query("op11_bbit_minhash", r"""
+WITH RECURSIVE lists AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM lists),
+  sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+  common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id),
+  links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * i >= 85 * (p.n + q.n - i)),
+  steps AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+  reach AS (SELECT doc_id, doc_id AS root FROM lists UNION SELECT r.doc_id, s.y FROM reach r JOIN steps s ON s.x = r.root),
+  least AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)""")
+def op11_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
