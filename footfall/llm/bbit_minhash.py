@@ -10,8 +10,9 @@ Texts with equal sets are one text. Links are found so that no group's pairs are
 
 1. In ``ROUNDS`` rounds each bucket has a pivot, its member with the least rank (ranks are the same in all buckets, so a large group
    has few pivots), found by a combinable minimum. Members are paired with the pivots of their buckets, confirmed, and joined.
-2. Buckets whose members are not all joined yet are compared whole, those of more than ``BUCKET`` members block by block, and pairs
-   with different labels confirmed. So every candidate pair is a link, not one, or inside a component already.
+2. Buckets whose members are not all joined yet are compared whole, those of more than ``BLOCK`` shingles block by block: the full sets
+   of a block, or of two, meet in one task, which confirms candidates with different labels there and gives only links that join labels.
+   So every candidate pair is a link, not one, or inside a component already.
 
 ``near_duplicates`` gives components; a link inside a component that the rounds have joined needs no row of its own.
 
@@ -40,8 +41,8 @@ BANDS, WIDTH = 32, 6
 KEEP = 2  # bits retained of each minimum
 PACKED = BANDS * WIDTH * KEEP // 64
 DEVIATIONS = 5
-ROUNDS = 3
-BUCKET = 512
+ROUNDS = 1
+BLOCK = 1 << 18  # shingles compared at once with each other or as many others
 STRIP = 1 << 15  # hashes that are permuted at once
 _EVEN = 0x5555555555555555
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -170,9 +171,40 @@ def pivot_pairs(members: DataFrame, sets: DataFrame, percent: int, seed: int) ->
         _sizes_fit(percent) & (matches_of("packed_a", "packed_b") >= least_matches(percent / 100))).select("a", "b")
 
 
-def open_pairs(members: DataFrame, sets: DataFrame, percent: int, bucket: int) -> DataFrame:
-    """(a, b): all pairs of a bucket with different labels that signatures and sizes allow."""
-    least = least_matches(percent / 100)
+def links_between(fid: np.ndarray, label: np.ndarray, n: np.ndarray, packed: np.ndarray, hashes: np.ndarray, side: np.ndarray,
+                  percent: int) -> np.ndarray:
+    """(2, links): links that join the labels of one block, or of two (``side`` 0 and 1), as all its links would.
+
+    ``hashes`` holds the full sets of all members, one after the other.
+    """
+    least, label = least_matches(percent / 100), label.copy()
+    _, token = np.unique(hashes, return_inverse=True)
+    begin = np.cumsum(n) - n
+    mark = np.zeros(len(token), bool)
+    values, counts = np.unique(label, return_counts=True)
+    found = [np.zeros((2, 0), np.int64)]
+    sides = [np.flatnonzero(side == k) for k in (0, 1)] if side.any() and not side.all() else [np.arange(len(fid))] * 2
+    for x in np.flatnonzero(label != values[counts.argmax()]):  # one of two members with different labels is here
+        y = sides[0] if side[x] and sides[1] is not sides[0] else sides[1]
+        y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+        y = y[matches(packed[x], packed[y]) >= least]
+        if not len(y):
+            continue
+        own = token[begin[x]:begin[x] + n[x]]
+        mark[own] = True
+        ends = np.cumsum(n[y])
+        place = np.arange(ends[-1]) + np.repeat(begin[y] - ends + n[y], n[y])
+        both = np.add.reduceat(mark[token[place]].astype(np.int64), ends - n[y])
+        mark[own] = False
+        y = y[100 * both >= percent * (n[x] + n[y] - both)]
+        _, first = np.unique(label[y], return_index=True)
+        found.append(np.stack([np.minimum(fid[x], fid[y[first]]), np.maximum(fid[x], fid[y[first]])]))
+        label[np.isin(label, label[y])] = label[x]
+    return np.concatenate(found, axis=1)
+
+
+def open_links(members: DataFrame, sets: DataFrame, full: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): links that join what the links inside each bucket join; pairs are compared on full sets where they meet."""
 
     def inside(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -181,25 +213,23 @@ def open_pairs(members: DataFrame, sets: DataFrame, percent: int, bucket: int) -
                 flat = group.values
                 fid, label, n, side = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("fid", "label", "n", "side"))
                 packed = flat.field("packed").flatten().to_numpy(zero_copy_only=False).reshape(len(fid), PACKED)
-                across = np.flatnonzero(side == 1) if side.any() else np.arange(len(fid))
-                for x in np.flatnonzero(side == 0):
-                    y = across[(label[across] != label[x]) & (100 * np.minimum(n[across], n[x]) >= percent * np.maximum(n[across], n[x]))]
-                    y = y[matches(packed[x], packed[y]) >= least]
-                    found.append(np.stack([np.minimum(fid[x], fid[y]), np.maximum(fid[x], fid[y])]))
+                hashes = spans.text_bytes(flat.field("hashes"))[0].view("<u8")
+                found.append(links_between(fid, label, n, packed, hashes, side, percent))
             a, b = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    sizes = stored(members.groupBy("key").agg(F.count("*").alias("size")), "open-buckets")
-    blocks = F.ceil(F.col("size") / bucket).cast("int")
-    dealt = members.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fid"), F.col("blocks")).cast("int"))
+    sized = stored(members.join(sets.select("fid", "n"), "fid"), "sized")
+    blocks = F.least(F.ceil(F.sum("n") / block), F.count("*")).cast("int")
+    totals = stored(sized.groupBy("key").agg(blocks.alias("blocks")), "open-buckets")
+    dealt = sized.join(totals, "key").withColumn("block", F.pmod(F.xxhash64("fid"), F.col("blocks")).cast("int"))
     # A bucket's blocks meet two by two: block x goes to the pairs of x and each other block, as the first or the second side.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = dealt.select("key", "fid", "label", "block", other).select(
         "key", "fid", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         (F.col("block") > F.col("other")).cast("int").alias("side"))
-    listed = spread.join(sets.select("fid", "n", "packed"), "fid")
-    groups = listed.groupBy("key", "i", "j").agg(F.collect_list(F.struct("fid", "label", "n", "packed", "side")).alias("group"))
-    return groups.select("group").mapInArrow(inside, "a long, b long").distinct()
+    listed = spread.join(sets.select("fid", "n", "packed"), "fid").join(full, "fid")
+    groups = listed.groupBy("key", "i", "j").agg(F.collect_list(F.struct("fid", "label", "n", "packed", "side", "hashes")).alias("group"))
+    return stored(groups.select("group").mapInArrow(inside, "a long, b long").distinct(), "open-links")
 
 
 def _labels(fids: DataFrame, edges: DataFrame) -> DataFrame:
@@ -216,7 +246,7 @@ def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_column: str = "doc_id", text: str = "text",
-                    bucket: int = BUCKET, rounds: int = ROUNDS) -> DataFrame:
+                    block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row; links have a similarity of ``percent`` / 100 or more."""
     small_batches(docs.sparkSession)
 
@@ -251,8 +281,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_column
     fids = sets.select("fid")
     unjoined, edges = members.withColumn("label", F.col("fid")), docs.sparkSession.createDataFrame([], "a long, b long")
     for k in range(rounds + 1):
-        pairs = pivot_pairs(unjoined, sets, percent, k) if k < rounds else open_pairs(unjoined, sets, percent, bucket)
-        edges = edges.union(confirmed(stored(pairs, "pairs"), full, percent))
+        if k < rounds:
+            found = confirmed(stored(pivot_pairs(unjoined, sets, percent, k), "pairs"), full, percent)
+        else:
+            found = open_links(unjoined, sets, full, percent, block)
+        edges = edges.union(found)
         labels = _labels(fids, edges)
         if k == rounds or (unjoined := _still_open(members, labels)).isEmpty():
             break

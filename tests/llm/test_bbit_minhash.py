@@ -78,7 +78,7 @@ def test_query(spark):
     assert dict(df.dtypes) == {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}
 
 
-@pytest.mark.parametrize("options", [{}, {"rounds": 0, "bucket": 7}, {"rounds": 1, "bucket": 1}])
+@pytest.mark.parametrize("options", [{}, {"rounds": 0, "block": 2000}, {"rounds": 2, "block": 5000}])
 def test_direct(spark, options):
     rows = collection(3)
     assert result(spark, rows, **options) == direct(rows)
@@ -114,6 +114,28 @@ def test_estimate_is_corrected_for_chance(spark):
     assert df.where(op.matches_of("packed_a", "packed_b") != df.expected).count() == 0
 
 
+def test_a_loose_group_gives_few_links(spark):
+    """Members near the bound: what is written grows with the group, not with its pairs."""
+    rnd = random.Random(9)
+    words = [f"w{rnd.randrange(10**5)}" for _ in range(150)]
+    rows = list(enumerate(t for n in (3, 6, 9, 12) for t in copies(rnd, words, 80, n)))
+    written = []
+    stored = op.stored
+
+    def counting(df, label):
+        out = stored(df, label)
+        written.append((label, out.count()))
+        return out
+
+    op.stored = counting
+    try:
+        assert result(spark, rows) == direct(rows)
+    finally:
+        op.stored = stored
+    assert max(n for label, n in written if label in ("pairs", "open-links")) <= op.BANDS * len(rows)
+    assert dict(written)["open-links"] <= 2 * len(rows)
+
+
 def test_minima_over_strips(monkeypatch):
     rnd = np.random.default_rng(7)
     number = np.array([0, 5, 0, 0, 17, 1, 30, 0, 3, 0])
