@@ -1,8 +1,9 @@
 """Phrase collocations, counted with HAT-tries.
 
 Texts are split into pieces and words in Arrow batches. Each task counts the phrases of its part of the texts in a HAT-trie over the ids
-that it gives to words (``hat_trie``); subtrees leave it as sorted runs, whose rows are merged per prefix partition: by language and
-the first two words, so that a frequent first word does not send its phrases to one task. A row is one phrase of one task with its count.
+that it gives to words (``hat_trie``); subtrees leave it as sorted runs, packed and dealt to prefix partitions: by language and the
+first two words, so that a frequent first word does not send its phrases to one task. There are four partitions for each of the
+session's shuffle partitions; what a task merges at once are the runs of one of them.
 
 Longer phrases are counted only where they can be frequent. There are three passes: words; pairs whose two words are frequent; phrases of
 three or more words all of whose pairs are frequent. A phrase as frequent as ``least`` has only parts that are as frequent, so nothing
@@ -36,6 +37,7 @@ from footfall.llm.hat_trie import HatTrie, Run, packed, unpacked
 LONGEST = 4
 BITS = 1 << 26  # 8 MB
 VOCABULARY = 1 << 20  # words that a task holds before it empties its trie
+MERGED = 1 << 21  # rows of runs that wait to be merged
 SCALE = 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,7 +109,7 @@ class Vocabulary:
         self.ids: dict[int, int] = {}
         self.words: list[bytes] = [b""]
         self.langs: list[str] = [""]
-        self._made: tuple | None = None
+        self.hashes: list[int] = [0]
 
     def number(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lang: np.ndarray, names: list[str],
                hashes: np.ndarray) -> np.ndarray:
@@ -120,20 +122,65 @@ class Vocabulary:
                 known = self.ids[h] = len(self.words)
                 self.words.append(data[starts[at]:ends[at]].tobytes())
                 self.langs.append(names[lang[at]])
+                self.hashes.append(h)
             found[k] = known
         return found[place]
 
-    def rows(self, run: Run) -> pa.RecordBatch:
-        """(lang, words, phrase, f) of a run, in its order."""
-        if self._made is None or len(self._made[0]) != len(self.words):
-            self._made = pa.array(self.words, pa.binary()).cast(pa.string()), pa.array(self.langs, pa.string())
-        words, langs = self._made
-        ids = unpacked(*run[:2])
-        parts = [words.take(pa.array(np.where(x > 0, x, 0))) for x in ids]
-        length = sum((x > 0).astype(np.int32) for x in ids)
-        phrase = pc.utf8_rtrim(pc.binary_join_element_wise(*parts, " "), " ")
-        return pa.RecordBatch.from_arrays([langs.take(pa.array(ids[0])), pa.array(length, pa.int32()), phrase, pa.array(run[2])],
-                                          names=["lang", "words", "phrase", "f"])
+    def runs(self, runs: list[Run], partitions: int) -> Iterator[pa.RecordBatch]:
+        """(part, run): runs that left the trie, dealt to prefix partitions and packed; a run keeps the trie's order."""
+        if not runs:
+            return
+        high, low, count = (np.concatenate(x) for x in zip(*runs))
+        ids = unpacked(high, low)
+        hashes = np.array(self.hashes, np.uint64)
+        part = chained([hashes[ids[0]], hashes[ids[1]]]) % np.uint64(partitions)  # of the first two words
+        order = np.lexsort((low, high, part))
+        words = pa.array(self.words, pa.binary()).cast(pa.string())
+        taken = [words.take(pa.array(x[order])) for x in ids]
+        phrase = pc.utf8_rtrim(pc.binary_join_element_wise(*taken, " "), " ")
+        key = pc.binary_join_element_wise(pa.array(self.langs, pa.string()).take(pa.array(ids[0][order])), phrase, "\t")
+        yield from packed_runs(key, count[order], part[order].astype(np.int64))
+
+
+def packed_runs(key: pa.Array, count: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One compressed run for each partition of rows in order of partitions; a key is a language, a tab and a phrase."""
+    begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    for a, b in zip(begin, np.r_[begin[1:], len(part)]):
+        sink = pa.BufferOutputStream()
+        rows = pa.record_batch([key[a:b], pa.array(count[a:b])], names=["key", "f"])
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                         names=["part", "run"])
+
+
+def merged_runs(parts: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(lang, words, phrase, f) of the keys that reach ``least``, and the totals, from runs in order of partitions."""
+    waiting: list[pa.Table] = []
+    last = None
+
+    def added() -> pa.Table:
+        return pa.concat_tables(waiting).group_by("key").aggregate([("f", "sum")]).rename_columns(["key", "f"])
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if not waiting:
+            return
+        whole = added()
+        whole = whole.filter(pc.or_(pc.greater_equal(whole["f"], least), pc.ends_with(whole["key"], "\t")))
+        keys = [k.rpartition("\t") for k in whole["key"].to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[2].count(" ") + 1 if k[2] else 0 for k in keys], pa.int32()),
+             pa.array([k[2] for k in keys], pa.string()), whole["f"].combine_chunks()], names=["lang", "words", "phrase", "f"])
+
+    for some in parts:
+        for part, run in zip(some.column(0).to_pylist(), some.column(1)):
+            if part != last:
+                yield from done()
+                waiting, last = [], part
+            waiting.append(pa.ipc.open_stream(run.as_buffer()).read_all())
+            if len(waiting) > 1 and sum(t.num_rows for t in waiting) > MERGED + 2 * waiting[0].num_rows:
+                waiting = [added()]
+    yield from done()
 
 
 class Counter:
@@ -180,7 +227,9 @@ def phrase_counts(docs: DataFrame, lengths: tuple[int, ...], least: int, marks=N
 
     ``marks`` is a broadcast field of bits: only phrases all of whose parts of ``part`` words are marked are counted.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(lengths, None if marks is None else marks.value, part)
@@ -190,21 +239,23 @@ def phrase_counts(docs: DataFrame, lengths: tuple[int, ...], least: int, marks=N
             offsets, rows = sections(data, offsets)
             for low, high in spans.chunks(offsets):
                 lower = spans.LOWER[data[offsets[low]:offsets[high]]]
-                for run in counter.add(lower, offsets[low:high + 1] - offsets[low], number[rows[low:high]], names, salts):
-                    yield counter.words.rows(run)
+                runs = list(counter.add(lower, offsets[low:high + 1] - offsets[low], number[rows[low:high]], names, salts))
+                yield from counter.words.runs(runs, partitions)
                 if len(counter.words.words) > VOCABULARY:
-                    yield from map(counter.words.rows, counter.trie.spill())
+                    yield from counter.words.runs(list(counter.trie.spill()), partitions)
                     counter.words = Vocabulary()
-        yield from map(counter.words.rows, counter.trie.spill())
-        if 1 in lengths:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counter.totals), pa.string()), pa.array([0] * len(counter.totals), pa.int32()), pa.array(
-                [""] * len(counter.totals), pa.string()), pa.array(list(counter.totals.values()), pa.int64())], names=["lang", "words", "phrase", "f"])
-
-    kind = "lang string, words int, phrase string, f long"
-    runs = docs.select(F.col(lang).cast("string"), F.col(text)).mapInArrow(batches, kind)
-    merged = runs.withColumn("prefix", F.substring_index("phrase", " ", 2)).repartition("lang", "prefix").groupBy(
-        "lang", "prefix", "words", "phrase").agg(F.sum("f").alias("f"))
-    return stored(merged.where((F.col("f") >= least) | (F.col("words") == 0)).drop("prefix"), "phrases")
+        yield from counter.words.runs(list(counter.trie.spill()), partitions)
+        if 1 in lengths and counter.totals:
+            names = sorted(counter.totals, key=lambda x: xxhash.xxh64_intdigest(x) % partitions)
+            yield from packed_runs(pa.array([f"{x}\t" for x in names], pa.string()), np.array([counter.totals[x] for x in names], np.int64),
+                                   np.array([xxhash.xxh64_intdigest(x) % partitions for x in names], np.int64))
+
+    def merge(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return merged_runs(parts, least)
+
+    runs = docs.select(F.col(lang).cast("string"), F.col(text)).mapInArrow(batches, "part int, run binary")
+    return stored(runs.repartition("part").sortWithinPartitions("part").mapInArrow(
+        merge, "lang string, words int, phrase string, f long"), "phrases")
 
 
 def marked(phrases: DataFrame, part: int) -> np.ndarray:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 
 BURST = 1 << 16
-FULL = 1 << 21
+FULL = 1 << 20
 Run = tuple[np.ndarray, np.ndarray, np.ndarray]
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _LEVELS = (np.uint64((1 << 64) - (1 << 32)), np.uint64((1 << 64) - 1))  # a first word; a first and a second word

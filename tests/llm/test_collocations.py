@@ -64,21 +64,19 @@ def test_direct(spark, least, most, inside):
 
 
 def test_runs_that_leave_early(spark, monkeypatch):
-    """With tiny containers and few words a task, on the driver, all runs together hold every count."""
-    monkeypatch.setattr(collocations, "VOCABULARY", 10)
+    """With tiny containers all runs together hold every count."""
+    monkeypatch.setattr(collocations, "MERGED", 50)
     docs = made(3) + [("the the " * 500, "en")]
     names = ["de", "en", "und"]
     rows = [(t or "", names.index("und" if l is None else l)) for t, l in docs if l != "fr"]
     counter = collocations.Counter((1, 2, 3, 4), None, 0)
     counter.trie = hat_trie.HatTrie(burst=16, full=64)
-    found = Counter()
+    packs = []
 
     def take(run):
         keys = [tuple(x) for x in zip(*(c.tolist() for c in run[:2]))]
         assert keys == sorted(set(keys))
-        part = counter.words.rows(run)
-        for lang, phrase, f in zip(*(part.column(c).to_pylist() for c in ("lang", "phrase", "f"))):
-            found[lang, phrase] += f
+        packs.extend(counter.words.runs([run], 7))
 
     for k in range(0, len(rows), 20):
         some = rows[k:k + 20]
@@ -95,7 +93,13 @@ def test_runs_that_leave_early(spark, monkeypatch):
             words = re.findall("[^\x20\x09]+", piece)
             for m in range(1, 5):
                 expected.update((names[lang], " ".join(words[i:i + m])) for i in range(len(words) - m + 1))
-    assert found == expected
+    found = Counter()
+    packs.sort(key=lambda p: p.column(0)[0].as_py())
+    for part in collocations.merged_runs(iter(packs), 3):
+        for lang, words, phrase, f in zip(*(c.to_pylist() for c in part.columns)):
+            assert (lang, phrase) not in found and words == phrase.count(" ") + 1  # one partition holds all of a phrase
+            found[lang, phrase] = f
+    assert found == {k: n for k, n in expected.items() if n >= 3}
 
 
 def test_trie_bursts_by_levels():
