@@ -209,6 +209,13 @@ class Inputs:
 
     @cached_property
     def notifications(self) -> DataFrame:
+        return self._enveloped(self.object_events)
+
+    def notification_stream(self) -> DataFrame:
+        return self._enveloped(self.run(OBJECT_EVENTS, events=self.event_stream()))
+
+    @staticmethod
+    def _enveloped(object_events: DataFrame) -> DataFrame:
         """The object events inside message envelopes."""
         when = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
         record = F.struct(
@@ -218,7 +225,7 @@ class Inputs:
                               F.col("file_size").alias("size")).alias("object")).alias("s3"))
         message = F.to_json(F.struct(F.array(record).alias("Records")))
         envelope = F.struct(F.struct(message.alias("Message")).alias("Sns"))
-        return self.object_events.select(F.to_json(F.struct(F.array(envelope).alias("Records"))).alias("value"))
+        return object_events.select(F.to_json(F.struct(F.array(envelope).alias("Records"))).alias("value"))
 
     @cached_property
     def stats(self) -> DataFrame:

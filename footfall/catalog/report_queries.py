@@ -226,3 +226,54 @@ UNION ALL SELECT 'Map', edge_country, country_code, {_measures(_percent('visitor
 def report_full(i: Inputs) -> DataFrame:
     """Over the stored table, so its filters choose partitions."""
     return full_report(src.stats(i.spark, i.stored_stats()), DOMAIN, FORTNIGHT, i.countries)
+
+
+THIRTY = Period(dt.date(2024, 1, 1), dt.date(2024, 1, 30), dt.date(2023, 12, 2), dt.date(2023, 12, 31), "daily")
+YEAR = Period(dt.date(2024, 1, 1), dt.date(2024, 12, 31), dt.date(2023, 1, 1), dt.date(2023, 12, 31), "monthly")
+
+
+def _full(period: Period) -> str:
+    """The page with averages, changes and the period's own series."""
+    now = f"event_date BETWEEN DATE '{period.start}' AND DATE '{period.end}'"
+    then = f"event_date BETWEEN DATE '{period.comparison_start}' AND DATE '{period.comparison_end}'"
+    rows = f"FROM stats WHERE {_DOMAIN} AND {now}"
+    label, code = {
+        "hourly": ("concat(CAST(event_hour % 12 AS VARCHAR), CASE WHEN event_hour < 12 THEN 'AM' ELSE 'PM' END)", "printf('%02d', event_hour)"),
+        "daily": ("CAST(event_date AS VARCHAR)", "NULL"), "monthly": ("strftime(event_date, '%B')", "strftime(event_date, '%Y-%m')"),
+    }[period.granularity]
+    figures = f"""SELECT CASE WHEN {now} THEN 'current' ELSE 'comparison' END AS name, {_measures('CAST(NULL AS BIGINT)')}
+      FROM stats WHERE {_DOMAIN} AND ({now} OR {then}) GROUP BY 1"""
+
+    def percent(measure: str) -> str:
+        return _percent(measure).replace(_ROWS, rows)
+
+    def change(c: str) -> str:
+        return f"max(CASE WHEN name = 'current' THEN {c} END) - coalesce(max(CASE WHEN name = 'comparison' THEN {c} END), 0) AS {c}"
+
+    average = "round(visit_seconds / nullif(visitors_cnt, 0), 0) AS visit_duration_avg"
+    return f"""
+SELECT *, {average} FROM (SELECT 'Figures' AS section, name, CAST(NULL AS VARCHAR) AS code, pageviews_cnt, visitors_cnt, visit_seconds, percentage
+    FROM ({figures}) g
+  UNION ALL SELECT 'Series', {label}, {code}, {_measures('NULL')} {rows} GROUP BY 2, 3
+  UNION ALL SELECT 'Map', edge_country, country_code, {_measures(percent('visitor_cnt'))}
+    FROM stats LEFT JOIN countries ON country = edge_country WHERE {_DOMAIN} AND {now} GROUP BY 2, 3
+""" + "".join(f"""  UNION ALL SELECT '{title}', coalesce({column}, 'Unknown'), NULL, {_measures(percent(reports.METRICS[metric]))}
+    {rows} GROUP BY 2
+""" for title, (column, metric) in reports.BREAKDOWNS.items()) + f""") u
+UNION ALL SELECT 'Figures', 'delta', NULL, {', '.join(map(change, ('pageviews_cnt', 'visitors_cnt', 'visit_seconds')))}, NULL,
+  {change('visit_duration_avg')} FROM (SELECT *, {average} FROM ({figures}) g) h"""
+
+
+@query("report_full_day", _full(ONE_DAY))
+def report_full_day(i: Inputs) -> DataFrame:
+    return full_report(src.stats(i.spark, i.stored_stats()), DOMAIN, ONE_DAY, i.countries, details=True)
+
+
+@query("report_full_month", _full(THIRTY))
+def report_full_month(i: Inputs) -> DataFrame:
+    return full_report(src.stats(i.spark, i.stored_stats()), DOMAIN, THIRTY, i.countries, details=True)
+
+
+@query("report_full_year", _full(YEAR))
+def report_full_year(i: Inputs) -> DataFrame:
+    return full_report(src.stats(i.spark, i.stored_stats()), DOMAIN, YEAR, i.countries, details=True)

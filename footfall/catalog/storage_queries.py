@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from footfall import schemas
 from footfall.catalog.book import query
 from footfall.catalog.inputs import DAY, DOMAIN, FORTNIGHT, RUN_DATE, Inputs
-from footfall.operators import manifest, parsing, registry, reports, stats
-from footfall.plans import jobs, serving
+from footfall.operators import manifest, parsing, partials, registry, reports, stats
+from footfall.plans import jobs, ledger, serving
 from footfall.sinks import exports, raw
 from footfall.sinks import tables as out
 from footfall.sources import tables as src
@@ -235,6 +235,26 @@ def refresh_gap(i: Inputs) -> DataFrame:
     return serving.read_history(i.spark, path)
 
 
+@query("stats_by_difference", f"SELECT {_STATS} FROM stats")
+def stats_by_difference(i: Inputs) -> DataFrame:
+    """What arrives after a moment changes the sums of its visitors only."""
+    root, views = i.scratch("ledger"), stats.pageviews
+    on_time, late = views(_arrived(i, CUTOFF)), views(i.pv.where(F.col("arrival_timestamp") >= F.lit(CUTOFF).cast("timestamp")))
+    ledger.add(partials.of(on_time), root, 0)
+    ledger.add_late(on_time, late, root, 1)
+    return ledger.table(i.spark, root)
+
+
+@query("snapshot_reader", f"SELECT {_STATS} FROM stats WHERE event_date <= DATE '{BEFORE}'")
+def snapshot_reader(i: Inputs) -> DataFrame:
+    """The snapshot that a reader opened, read after a refresh that added a day and wrote another one again."""
+    path = i.scratch("snapshots")
+    serving.refresh_full(i.spark, i.stored_stats(), path, DAY)
+    opened = serving.snapshot(i.spark, path).number
+    serving.refresh_history(i.spark, i.stored_stats(), path, RUN_DATE, [BEFORE])
+    return serving.read_history(i.spark, path, opened)
+
+
 @query("registry_list", "SELECT domain_name, domain_key, created_timestamp FROM domains ORDER BY domain_name DESC")
 def registry_list(i: Inputs) -> DataFrame:
     return registry.list_domains(i.domains)

@@ -41,12 +41,13 @@ def parse_keys(objects: DataFrame, key: str = "s3_key") -> DataFrame:
     })
 
 
-def current_files(events: DataFrame) -> DataFrame:
-    """Files that exist after all notifications: the newest one per object decides.
+def newest_notifications(events: DataFrame) -> DataFrame:
+    """(s3_bucket, s3_key, last): what the newest notification of each object says, removed objects included.
 
     Expects ``event_name, event_time, s3_bucket, s3_key, file_size``, with an optional
     ``sequencer`` for notifications of one instant. The newest notification is an
-    aggregate, so an object with very many of them is combined before the shuffle.
+    aggregate, so an object with very many of them is combined before the shuffle, the order of
+    arrival does not matter and repeated notifications change nothing. On a stream it is the state.
     """
     action = F.substring_index("event_name", ":", 1)
     order = F.col("sequencer") if "sequencer" in events.columns else F.lit(None).cast("string")
@@ -54,15 +55,24 @@ def current_files(events: DataFrame) -> DataFrame:
     area = F.substring_index("s3_key", "/", 1)
     known = computed_once(events.withColumn("s3_key", decoded), "s3_key").where(
         action.isin("ObjectCreated", "ObjectRemoved") & area.isin(*FILE_TYPES))
-    newest = known.groupBy("s3_bucket", "s3_key").agg(F.max(F.struct(
+    return known.groupBy("s3_bucket", "s3_key").agg(F.max(F.struct(
         F.col("event_time"), order.alias("sequencer"), (action == "ObjectCreated").alias("exists"),
         "file_size")).alias("last"))
+
+
+def existing(newest: DataFrame) -> DataFrame:
+    """The files whose newest notification says that they exist."""
     alive = newest.where(F.col("last.exists")).select(
         "s3_bucket", "s3_key", F.col("last.event_time").alias("file_created_timestamp"),
         F.col("last.file_size").alias("file_size"))
     return parse_keys(alive).select(*schemas.names(schemas.MANIFEST), "file_event_hour", "file_event_name")
 
 
+def current_files(events: DataFrame) -> DataFrame:
+    """Files that exist after all notifications: the newest one per object decides."""
+    return existing(newest_notifications(events))
+
+
 def list_files(manifest: DataFrame, day, prefix: str) -> DataFrame:
     """Files of one date below a key prefix."""
     return manifest.where((F.col("file_event_date") == F.lit(day).cast("date"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -148,4 +150,7 @@ def attach_sessions(views: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
         F.col("_first.event_timestamp").alias("session_start_timestamp"),
         "session_end_timestamp")
     slotted = views.withColumn("slot", F.floor(F.unix_timestamp("event_timestamp") / max(gap, 1)))
-    return slotted.join(bounds, [*VISITOR, "slot"]).drop("slot")
+    keys = [*VISITOR, "slot"]
+    found = bounds.select(*[F.col(c).alias(f"_{c}") for c in keys], *[c for c in bounds.columns if c not in keys])
+    same = functools.reduce(operator.and_, [slotted[c].eqNullSafe(found[f"_{c}"]) for c in keys])
+    return slotted.join(found, same).drop("slot", *[f"_{c}" for c in keys])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -65,14 +67,16 @@ def joined_stats(views: DataFrame, found: DataFrame, dims: Sequence[str] = schem
     """The same table from page views joined with any visits on the first page view.
 
     Distinct visits are counted by grouping them first, which keeps one row per group
-    for the page views that are no landing page.
+    for the page views that are no landing page. Missing visitors are one visitor.
     """
     linked = found.select(
-        *visits.VISITOR, F.col("first_page_view_id").alias("page_view_id"),
+        *[F.col(c).alias(f"_{c}") for c in visits.VISITOR], F.col("first_page_view_id").alias("_page_view_id"),
         "unique_daily_visitor_id", "visit_duration_sec", "bounce_id")
     rows = views.select(*visits.VISITOR, "page_view_id", F.hour("event_timestamp").alias("event_hour"),
                         *[c for c in _stored(dims) if c not in visits.VISITOR])
-    joined = rows.join(linked, [*visits.VISITOR, "page_view_id"], "left")
+    same = functools.reduce(operator.and_, [rows[c].eqNullSafe(linked[f"_{c}"]) for c in visits.VISITOR])
+    same = same & (rows["page_view_id"] == linked["_page_view_id"])
+    joined = rows.join(linked, same, "left")
     per_visit = joined.groupBy(*dims, "unique_daily_visitor_id", "bounce_id").agg(
         F.count("page_view_id").alias("_views"),
         F.sum("visit_duration_sec").alias("_seconds"),

@@ -32,14 +32,22 @@ def report(stats: DataFrame, domain: str, period: Period, countries: DataFrame,
 
 
 def full_report(stats: DataFrame, domain: str, period: Period, countries: DataFrame,
-                filters: reports.Filters | None = None) -> DataFrame:
+                filters: reports.Filters | None = None, details: bool = False) -> DataFrame:
     """The whole page as one table: (section, name, code, pageviews_cnt, visitors_cnt, visit_seconds, percentage).
 
-    Sections are ``Figures`` (``current`` and ``comparison``), ``Series`` (days), ``Map`` (countries with their codes) and
-    the breakdowns. The range is read once: all sections are grouping sets of one aggregation, whose rows, few beside the
+    Sections are ``Figures`` (``current`` and ``comparison``), ``Series``, ``Map`` (countries with their codes) and
+    the breakdowns. The series is by hour of day, day or month as the period says, by hour if a day is selected; hours and months have a
+    code that sorts them. The range is read once: all sections are grouping sets of one aggregation, whose rows, few beside the
     table's, are written to the scratch folder and read back for the totals.
+
+    ``details`` adds ``visit_duration_avg``, the visit time of each row, and the figure ``delta``, the change against the comparison.
     """
     day = F.col("event_date")
+    granularity = "hourly" if filters and "event_date" in filters else period.granularity
+    bucket = {"hourly": F.format_string("%02d", "event_hour"), "daily": F.date_format(day, "yyyy-MM-dd"),
+              "monthly": F.date_format(day, "yyyy-MM")}[granularity]
+    label = {"hourly": times.hour_label(F.col("bucket").cast("int")), "daily": F.col("bucket"),
+             "monthly": times.month_label(F.concat("bucket", F.lit("-01")).cast("date"))}[granularity]
 
     def within(start, end):
         return day.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
@@ -48,10 +56,10 @@ def full_report(stats: DataFrame, domain: str, period: Period, countries: DataFr
     rows = reports.drilldown(stats, filters).where((F.col("domain_name") == domain) & (now | then))
     columns = list(dict.fromkeys(c for c, _ in reports.BREAKDOWNS.values()))
     rows = rows.select(
-        F.when(now, "current").otherwise("comparison").alias("part"), F.date_format(day, "yyyy-MM-dd").alias("day"),
+        F.when(now, "current").otherwise("comparison").alias("part"), bucket.alias("bucket"),
         F.col("edge_country").alias("country"), *[times.unknown(F.col(c)).alias(f"by_{c}") for c in columns],
         "page_views_cnt", "visitor_cnt", "visit_duration_sec_avg")
-    names = ["day", "country", *[f"by_{c}" for c in columns]]
+    names = ["bucket", "country", *[f"by_{c}" for c in columns]]
     grouped = rows.groupingSets([["part"], *[["part", c] for c in names]], "part", *names).agg(
         *[F.grouping(c).alias(f"without_{c}") for c in names], F.sum("page_views_cnt").cast("bigint").alias("pageviews_cnt"),
         F.sum("visitor_cnt").cast("bigint").alias("visitors_cnt"), F.sum("visit_duration_sec_avg").cast("bigint").alias("visit_seconds"))
@@ -73,7 +81,7 @@ def full_report(stats: DataFrame, domain: str, period: Period, countries: DataFr
                          (F.lit(None) if percentage is None else percentage).cast("bigint").alias("percentage"))
 
     by_country = dimensions.with_country_code(current.where("without_country = 0"), countries, "country")
-    parts = [section(figures, "Figures", F.col("part")), section(current.where("without_day = 0"), "Series", F.col("day")),
+    parts = [section(figures, "Figures", F.col("part")), section(current.where("without_bucket = 0"), "Series", label, None if granularity == "daily" else F.col("bucket")),
              section(by_country, "Map", F.col("country"), F.col("country_code"), reports.whole_percent(F.col("visitors_cnt"), visitors))]
     for title, (column, metric) in reports.BREAKDOWNS.items():
         measure, of = ("pageviews_cnt", views) if metric == "Pageviews" else ("visitors_cnt", visitors)
@@ -82,4 +90,13 @@ def full_report(stats: DataFrame, domain: str, period: Period, countries: DataFr
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
-    return result
+    if not details:
+        return result
+    result = result.withColumn("visit_duration_avg", F.round(F.try_divide("visit_seconds", "visitors_cnt")))
+    measures = ["pageviews_cnt", "visitors_cnt", "visit_seconds"]
+    both = figures.withColumn("visit_duration_avg", F.round(F.try_divide("visit_seconds", "visitors_cnt"))).agg(*[
+        times.delta(*[F.max(F.when(F.col("part") == p, F.col(c))) for p in ("current", "comparison")]).alias(c)
+        for c in (*measures, "visit_duration_avg")])
+    return result.unionByName(both.select(
+        F.lit("Figures").alias("section"), F.lit("delta").alias("name"), F.lit(None).cast("string").alias("code"), *measures,
+        F.lit(None).cast("bigint").alias("percentage"), "visit_duration_avg"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,41 @@ def folders(spark: SparkSession, pattern: str) -> list[str]:
     return [s.getPath().getName() for s in fs.globStatus(place) or [] if s.isDirectory()]
 
 
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder; none if it doesn't exist."""
+    fs, place = _at(spark, f"{path}/*")
+    return [s.getPath().getName() for s in fs.globStatus(place) or [] if s.isFile()]
+
+
+def read_json(spark: SparkSession, path: str):
+    fs, place = _at(spark, path)
+    stream = fs.open(place)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def write_json(spark: SparkSession, path: str, body) -> None:
+    """Write a file that is whole once it is there; FileExistsError if there is one."""
+    folder, name = path.rsplit("/", 1)
+    fs, hidden = _at(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
+    stream = fs.create(hidden, True)
+    stream.write(bytearray(json.dumps(body).encode()))
+    stream.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.NONE  # unlike the file system's own rename, this never overwrites
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(hidden, _at(spark, path)[1], how)
+    except Py4JJavaError as error:
+        fs.delete(hidden, False)
+        if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
+            raise FileExistsError(path) from error
+        raise
+
+
 def files_of_days(spark: SparkSession, path: str, days) -> dict[str, set[str]]:
     """Names of the files in each partition folder of some dates."""
     found: dict[str, set[str]] = {}

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from footfall import schemas
 from footfall.operators import dimensions, parsing, stats
-from footfall.sinks import raw
+from footfall.sinks import commits, raw
 from footfall.sinks import tables as out
-from footfall.sources import tables as src
 
 EVERY = "15 minutes"
 
@@ -67,11 +68,42 @@ def batch_writer(load: Callable[[], Dimensions], targets: Targets, **options):
     return write
 
 
+def first_deliveries(lines: DataFrame, within: str, value: str = "value") -> DataFrame:
+    """A stream without the lines that have been processed before, within a time of at most that long ago at least.
+
+    The state holds a digest of each line, by the time of its batch and not by its own: so a line that arrives late is never dropped,
+    and a batch repeated after a failure sees the state that it saw before. Keep the state in RocksDB where it outgrows memory.
+    """
+    seen = lines.withColumns({"_digest": F.unhex(F.md5(F.col(value))), "_seen": F.current_timestamp()})
+    return seen.withWatermark("_seen", within).dropDuplicatesWithinWatermark(["_digest"]).drop("_digest", "_seen")
+
+
+def patient(write: Callable[[DataFrame, int], None], attempts: int, wait: float) -> Callable[[DataFrame, int], None]:
+    """Try a batch again after a failure, waiting twice as long each time; the last failure ends the stream."""
+
+    def write_again(df: DataFrame, batch: int) -> None:
+        for k in range(attempts):
+            try:
+                return write(df, batch)
+            except Exception:
+                if k + 1 == attempts:
+                    raise
+                time.sleep(wait * 2**k)
+
+    return write_again
+
+
 def start_ingest(lines: DataFrame, load: Callable[[], Dimensions], targets: Targets, checkpoint: str,
-                 every: str | None = EVERY, **options) -> StreamingQuery:
-    """Run the ingest; ``every=None`` takes what is there and stops."""
+                 every: str | None = EVERY, once: str | None = None, attempts: int = 1, wait: float = 1.0, **options) -> StreamingQuery:
+    """Run the ingest; ``every=None`` takes what is there and stops.
+
+    ``once``, such as ``1 day``, takes a line that is delivered again within that time only once, in whichever batch it comes.
+    ``attempts`` is how often a batch is tried before the stream fails.
+    """
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return (lines.writeStream.foreachBatch(batch_writer(load, targets, **options))
+    if once is not None:
+        lines = first_deliveries(lines, once, options.get("value", "value"))
+    return (lines.writeStream.foreachBatch(patient(batch_writer(load, targets, **options), attempts, wait))
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
@@ -84,27 +116,19 @@ def verified_stream(hits: DataFrame, load: Callable[[], DataFrame], write: Calla
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-def compact(spark, targets: Targets, before: int) -> None:
-    """Merge the cleaned events of the batches before a number into one folder.
+def compact(spark, targets: Targets, before: int, keep: int = 1) -> None:
+    """Merge the cleaned events of the batches before a number into one folder, under a commit record (see ``commits``).
 
-    Only batches that can no longer be repeated may be given. The merged copy is complete before the old folders go; until it
-    takes their place it is hidden from readers.
+    Only batches that can no longer be repeated may be given.
     """
-    names = [n for n in src.folders(spark, targets.incoming) if n.startswith("batch_id=")]
-    old = sorted((n for n in names if int(n.split("=")[1]) < before), key=lambda n: int(n.split("=")[1]))
-    if len(old) < 2:
-        return
-    rows = spark.read.schema(schemas.INCOMING).option("basePath", targets.incoming).parquet(
-        *[f"{targets.incoming}/{n}" for n in old])
-    merged = f"{targets.incoming}/_merged"
-    out.write_partitions(schemas.conform(rows, schemas.INCOMING), merged, out.INCOMING_PARTITIONS,
-                         ["daily_visitor_id", "event_timestamp"], whole=True)
-    for name in old:
-        src.remove(spark, f"{targets.incoming}/{name}")
-    src.rename(spark, merged, f"{targets.incoming}/{old[-1]}")
+
+    def write(rows: DataFrame, path: str) -> None:
+        out.write_partitions(schemas.conform(rows, schemas.INCOMING), path, out.INCOMING_PARTITIONS,
+                             ["daily_visitor_id", "event_timestamp"], whole=True)
+
+    commits.merge(spark, targets.incoming, before, write, schemas.INCOMING, keep)
 
 
 def stored(spark, targets: Targets) -> DataFrame:
     """Cleaned events written by the ingest."""
-    return spark.read.schema(schemas.INCOMING).parquet(targets.incoming).select(
-        *schemas.names(schemas.INCOMING))
+    return commits.read(spark, targets.incoming, schemas.INCOMING)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from footfall.operators.sessions import GAP_SECONDS, VISITOR
-from footfall.sources import tables as src
+from footfall.sinks import commits
 
 LATENESS = "10 minutes"
 
@@ -83,24 +83,25 @@ def keep_newest(df: DataFrame, path: str, checkpoint: str, every: str | None = "
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-def newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The last written row of each group of what ``keep_newest`` wrote."""
+def written(spark: SparkSession, path: str) -> DataFrame:
+    """What ``keep_newest`` has written, merged or not, with ``batch_id``."""
+    return commits.read(spark, path)
+
+
+def _last(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
     last = rows.groupBy(*keys).agg(F.max(F.struct("batch_id", *rest)).alias("_last"))
-    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
-
-
-def merge_batches(spark: SparkSession, path: str, keys: Sequence[str], before: int) -> None:
-    """One folder with the newest rows in place of the batches before a number."""
-    names = sorted(int(n.split("=")[1]) for n in src.folders(spark, path) if n.startswith("batch_id="))
-    old = [n for n in names if n < before]
-    if len(old) < 2:
-        return
-    rows = spark.read.option("basePath", path).parquet(*[f"{path}/batch_id={n}" for n in old])
-    newest(rows, keys).write.mode("overwrite").parquet(f"{path}/_merged")
-    for n in old:
-        src.remove(spark, f"{path}/batch_id={n}")
-    src.rename(spark, f"{path}/_merged", f"{path}/batch_id={old[-1]}")
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in (*rest, "batch_id")])
+
+
+def newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last written row of each group of what ``keep_newest`` wrote."""
+    return _last(rows, keys).drop("batch_id")
+
+
+def merge_batches(spark: SparkSession, path: str, keys: Sequence[str], before: int, keep: int = 1) -> None:
+    """One folder with the newest rows in place of the batches before a number, under a commit record (see ``commits``)."""
+    commits.merge(spark, path, before, lambda rows, to: _last(rows, keys).write.mode("overwrite").parquet(to), keep=keep)
 
 
 def finish(complete: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:

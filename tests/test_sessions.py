@@ -141,3 +141,16 @@ def test_copies_count_as_page_views_but_not_as_visits(views):
 def test_empty_day(views):
     v = views([("u", at(0), "a")])
     assert stats.daily_stats(v, "2024-02-01").count() == 0
+
+
+def test_missing_visitors_keep_their_rows(spark, views):
+    rows = [(None, "2024-01-05 10:00:00", "p1"), (None, "2024-01-05 10:00:15", "p2"), ("u", "2024-01-05 11:00:00", "p3"),
+            (None, "2024-01-05 12:00:00", "p4")]
+    some = views(rows)
+    attached = sessions.attach_sessions(some)
+    assert sorted((r.page_view_id, r.session_no, r.first_page_view_id) for r in attached.collect()) == [
+        ("p1", 1, "p1"), ("p2", 1, "p1"), ("p3", 1, "p3"), ("p4", 2, "p4")]
+    assert len(attached.columns) == len(set(attached.columns))
+    whole, joined = stats.hourly_stats(some), stats.joined_stats(some, sessions.sessionize(some))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, joined.select(whole.columns).collect()))
+    assert whole.agg({"visitor_cnt": "sum"}).first()[0] == 3

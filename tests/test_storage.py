@@ -108,6 +108,43 @@ def test_readers_keep_their_version(spark, three_days):
     assert serving.read_history(spark, history).count() == rows and len(serving.versions(spark, history)) == 2
 
 
+def test_snapshots_share_days_and_survive_a_stop(spark, three_days, monkeypatch):
+    source, history = scratch(spark, "source"), scratch(spark, "snapshots")
+    first, second, third = (dt.date(2024, 1, d) for d in (1, 2, 3))
+    table = stats.daily_stats(three_days)
+    out.write_stats(table, source)
+    assert serving.refresh_history(spark, source, history, third) == [first, second]
+    one, reader = serving.snapshot(spark, history), serving.read_history(spark, history)
+    before = sorted(map(str, reader.collect()))
+    out.replace_days(table.where(F.col("event_hour") < 12), source, out.write_stats, [first, second, third])
+
+    def stop(*_):
+        raise OSError("stopped")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(src, "write_json", stop)
+        with pytest.raises(OSError):
+            serving.refresh_history(spark, source, history, third, [second])
+    assert serving.snapshot(spark, history) == one and sorted(map(str, serving.read_history(spark, history).collect())) == before
+    assert serving.refresh_history(spark, source, history, third, [second]) == [second]
+    two = serving.snapshot(spark, history)
+    assert two.days[first] == one.days[first] and two.days[second] != one.days[second]
+    # The reader that opened before the refresh finishes on the old days; a new one sees the new day and the shared one.
+    assert sorted(map(str, reader.collect())) == before
+    assert sorted(map(str, serving.read_history(spark, history, one.number).collect())) == before
+    assert same(serving.read_history(spark, history), table.where(
+        (F.col("event_date") == F.lit(first)) | ((F.col("event_date") == F.lit(second)) & (F.col("event_hour") < 12))))
+    # The folder that the stopped refresh left goes with the next one, and the first snapshot's own day with the one after that.
+    assert len([n for n in src.folders(spark, history) if n.startswith("version=")]) == 2
+    serving.refresh_history(spark, source, history, third, [second])
+    assert src.files_of_days(spark, f"{history}/{one.days[second]}", [second]) == {}
+    assert src.files_of_days(spark, f"{history}/{one.days[first]}", [first]) != {}
+    with pytest.raises(FileNotFoundError):
+        serving.read_history(spark, history, one.number)
+    plan = serving.read_history(spark, history).where("event_date = '2024-01-01'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and plan.count("FileScan") == 1
+
+
 def test_repeated_deliveries(spark, three_days):
     layout, third = jobs.Layout(scratch(spark, "repeats")), dt.date(2024, 1, 3)
     twice = three_days.union(three_days)

@@ -6,11 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall import schemas
-from footfall.operators import parsing, sessions
+from footfall.operators import manifest, parsing, partials, sessions, stats
+from footfall.plans import ledger
 from footfall.session import scratch
+from footfall.sinks import commits
 from footfall.sources import tables as src
 from footfall.sources.access_log import stream_lines
-from footfall.streaming import ingest, live
+from footfall.sources.notifications import read_notifications
+from footfall.streaming import ingest, live, objects, today
 from tests.test_parsing import SALT, VIEW_QUERY, line
 
 
@@ -60,11 +63,11 @@ def test_hours_and_late_repeats(spark, stream):
     keys = ["domain_name", "hour_start"]
 
     def hours():
-        return sorted(map(str, live.newest(spark.read.parquet(path), keys).collect()))
+        return sorted(map(str, live.newest(live.written(spark, path), keys).collect()))
 
     written = hours()
-    assert live.newest(spark.read.parquet(path), keys).agg(F.sum("page_views_cnt")).first()[0] == 2 * len(rows)
-    live.merge_batches(spark, path, keys, before=2)
+    assert live.newest(live.written(spark, path), keys).agg(F.sum("page_views_cnt")).first()[0] == 2 * len(rows)
+    live.merge_batches(spark, path, keys, before=2, keep=0)
     assert hours() == written and len(src.folders(spark, path)) == 3
 
 
@@ -122,7 +125,7 @@ def test_ingest_reads_the_registry_per_batch_and_survives_a_replay(spark):
     assert ingest.stored(spark, targets).count() == 3
     writer(again, 7)
     rows = sorted(map(str, ingest.stored(spark, targets).collect()))
-    ingest.compact(spark, targets, before=7)
+    ingest.compact(spark, targets, before=7, keep=0)
     assert sorted(map(str, ingest.stored(spark, targets).collect())) == rows and len(rows) == 4
     assert len(src.folders(spark, targets.incoming)) == 2
     twice = ingest.Targets(scratch(spark, "distinct"))
@@ -130,3 +133,184 @@ def test_ingest_reads_the_registry_per_batch_and_survives_a_replay(spark):
     assert ingest.stored(spark, twice).count() == 1
     batch = parsing.parse_events(again, *load())
     assert batch.first().page_view_id == ingest.stored(spark, targets).first().page_view_id
+
+
+class Stop(Exception):
+    pass
+
+
+def lines_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def steps_of_a_merge(monkeypatch):
+    """Every call that changes the file system, in order, can be made to stop before or after it."""
+    count = {"now": 0, "stop": None}
+
+    def stopping(call):
+        def run(*args, **options):
+            count["now"] += 1
+            if count["stop"] == (count["now"], "before"):
+                raise Stop
+            result = call(*args, **options)
+            if count["stop"] == (count["now"], "after"):
+                raise Stop
+            return result
+        return run
+
+    for name in ("write_json", "remove"):
+        monkeypatch.setattr(src, name, stopping(getattr(src, name)))
+    return count, stopping
+
+
+def test_a_merge_that_stops_anywhere_loses_nothing(spark, monkeypatch):
+    """Rows are seen exactly once after a stop at each step, after the retry, and after the merge that follows."""
+    count, stopping = steps_of_a_merge(monkeypatch)
+    write = stopping(lambda rows, path: rows.coalesce(1).write.mode("overwrite").parquet(path))
+    steps, k = None, 0
+    while steps is None or k < 2 * steps:
+        root = scratch(spark, "merge")
+        for n in range(4):
+            spark.createDataFrame([(n, i) for i in range(3)], "batch int, i int").coalesce(1).write.parquet(f"{root}/batch_id={n}")
+        expected = [(n, i) for n in range(4) for i in range(3)]
+
+        def seen():
+            return sorted((r.batch, r.i) for r in commits.read(spark, root, "batch int, i int").collect())
+
+        commits.merge(spark, root, 2, write, "batch int, i int", keep=0)
+        count.update(now=0, stop=None if steps is None else (k // 2 + 1, ("before", "after")[k % 2]))
+        if steps is None:  # the merge that is watched: one merged folder and two batches become two merged folders
+            commits.merge(spark, root, 4, write, "batch int, i int", keep=0, together=1)
+            steps = count["now"]
+            assert seen() == expected and len(commits.state(spark, root).folders) == 1 and commits.batches(spark, root) == []
+            continue
+        k += 1
+        with pytest.raises(Stop):
+            commits.merge(spark, root, 4, write, "batch int, i int", keep=0, together=1)
+        assert seen() == expected
+        count.update(now=0, stop=None)
+        commits.merge(spark, root, 4, write, "batch int, i int", keep=0, together=1)
+        assert seen() == expected
+        commits.clean(spark, root, keep=0)
+        assert seen() == expected and commits.batches(spark, root) == []
+    assert steps >= 5
+
+
+def test_readers_of_a_merged_table_finish(spark):
+    root, ddl = scratch(spark, "open"), "i int"
+    for n in range(3):
+        spark.createDataFrame([(n,)], ddl).write.parquet(f"{root}/batch_id={n}")
+    reader = commits.read(spark, root, ddl)
+    write = lambda rows, path: rows.write.parquet(path)
+    commits.merge(spark, root, 2, write, ddl)
+    assert sorted(r.i for r in reader.collect()) == [0, 1, 2] == sorted(r.i for r in commits.read(spark, root, ddl).collect())
+    # A merged batch that is written again is not seen, and a record is never overwritten.
+    spark.createDataFrame([(0,)], ddl).write.mode("overwrite").parquet(f"{root}/batch_id=0")
+    assert commits.read(spark, root, ddl).count() == 3
+    with pytest.raises(FileExistsError):
+        commits.publish(spark, f"{root}/{commits.MERGED}", 1, {})
+    assert commits.read(spark, scratch(spark, "none"), ddl).count() == 0
+
+
+def test_a_line_in_two_batches_counts_once(spark):
+    source, targets, checkpoint = scratch(spark, "lines"), ingest.Targets(scratch(spark, "once")), scratch(spark, "checkpoint")
+    edges, salts = schemas.empty(spark, schemas.EDGES), spark.createDataFrame([SALT], "event_date string, salt string").withColumn(
+        "event_date", F.col("event_date").cast("date"))
+    dims = ingest.Dimensions(spark.createDataFrame([("localhost", "k1", None)], schemas.DOMAINS), edges, salts)
+    other = line(VIEW_QUERY + "&x=1")
+    for texts in ([line()], [line(), other, line()], ["short", line()], [other]):
+        spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1).write.mode("append").text(source)
+        ingest.start_ingest(stream_lines(spark, source, 1), lambda: dims, targets, checkpoint, every=None, once="1 day").awaitTermination()
+    assert ingest.stored(spark, targets).count() == 2  # old lines are no reason to drop them
+    assert spark.read.schema("value string").text(targets.backup).count() == 3
+
+
+def test_failed_batches_are_tried_again(spark):
+    tried = []
+
+    def write(df, batch):
+        tried.append(batch)
+        if len(tried) < 3:
+            raise Stop
+
+    ingest.patient(write, 3, 0.0)(None, 5)
+    assert tried == [5, 5, 5]
+    tried.clear()
+    with pytest.raises(Stop):
+        ingest.patient(write, 2, 0.0)(None, 6)
+
+
+def test_file_list_of_a_stream(spark):
+    """Shuffled and repeated notifications, some of one instant, in many batches."""
+    from tests.test_storage import KEY, note
+
+    rng, source, path = random.Random(2), scratch(spark, "notes"), scratch(spark, "files")
+    records = [(rng.choice(["ObjectCreated:Put", "ObjectRemoved:Delete"]), f"2023-04-18T01:{rng.randrange(20):02d}:00.000Z",
+                KEY.replace("part-1", f"part-{rng.randrange(12)}"), rng.randrange(100), f"{k:04d}") for k in range(150)]
+    texts = [note(r) for r in records + rng.sample(records, 60)]
+    rng.shuffle(texts)
+    for n in range(5):
+        spark.createDataFrame(texts[n::5], "value string").coalesce(1).write.mode("append").text(source)
+    objects.follow(stream_lines(spark, source, 1), path, scratch(spark, "checkpoint"), every=None).awaitTermination()
+    expected = lines_of(manifest.current_files(read_notifications(spark.read.text(source))))
+    assert lines_of(objects.files(spark, path)) == expected and expected
+    objects.merge(spark, path, before=3)
+    objects.merge(spark, path, before=5)
+    assert lines_of(objects.files(spark, path)) == expected
+
+
+def todays_rows(rng, number):
+    return [(rng.choice(["u", "v", "w", None]), f"2024-01-05 {rng.randrange(20):02d}:{rng.randrange(60):02d}:{rng.randrange(60):02d}", f"p{k}")
+            for k in range(number)]
+
+
+def test_todays_statistics_equal_the_batch_after_every_file(spark, views):
+    """Out of order: later files join, split and move visits of earlier ones; nothing is counted anew."""
+    rng, path, place = random.Random(8), scratch(spark, "views"), today.Today(scratch(spark, "today"))
+    checkpoint, rows = scratch(spark, "checkpoint"), todays_rows(rng, 160) + [("x", "2024-01-05 03:00:00", "px"), ("x", "2024-01-05 03:00:00", "py")]
+    rng.shuffle(rows)
+    for n in range(3):
+        views(rows[n::3]).withColumn("request_path", F.concat(F.lit("/"), F.crc32("page_view_id") % 3)).withColumn(
+            "edge_latitude", (F.crc32("page_view_id") % 7 / 3).cast("float")).coalesce(1).write.mode("append").parquet(path)
+        batch = spark.read.parquet(path)
+        live_rows = spark.readStream.schema(batch.schema).parquet(path)
+        for running in today.start(live_rows, place, checkpoint, every=None):
+            running.awaitTermination()
+        assert lines_of(today.table(spark, place)) == lines_of(schemas.conform(stats.hourly_stats(batch), schemas.STATS))
+    ledger.merge(spark, place.visits, before=2)
+    ledger.merge(spark, place.views, before=2)
+    assert lines_of(today.table(spark, place)) == lines_of(schemas.conform(stats.hourly_stats(batch), schemas.STATS))
+    # Three days on, the timers have dropped the state; a row that comes after that is later than the watermark.
+    for day in (8, 9):
+        views([("z", f"2024-01-0{day} 12:00:00", f"z{day}")]).coalesce(1).write.mode("append").parquet(path)
+        for running in today.start(spark.readStream.schema(batch.schema).parquet(path), place, checkpoint, every=None):
+            running.awaitTermination()
+    left = spark.read.format("statestore").option("stateVarName", "slots").load(f"{checkpoint}/visits")
+    assert left.count() == 2
+    assert lines_of(today.table(spark, place)) == lines_of(schemas.conform(stats.hourly_stats(spark.read.parquet(path)), schemas.STATS))
+
+
+def test_hot_visitor_is_combined():
+    import pandas as pd
+    frame = pd.DataFrame([{"domain_name": "d", "event_date": "2024-01-01", "daily_visitor_id": None, "slot": k % 3, "first_us": 100 - k,
+                           "last_us": 100 - k, "page_view_id": f"p{k}", "landing": f"l{k}", "ends_ms": 5} for k in range(90)])
+    (got,) = today.combined([frame[:40], frame[40:]])
+    assert sorted(zip(got["slot"], got["first_us"], got["last_us"], got["landing"])) == [(0, 13, 100, "l87"), (1, 12, 99, "l88"), (2, 11, 98, "l89")]
+
+
+def test_late_rows_change_their_visitors_only(spark, views):
+    rng = random.Random(3)
+    rows = todays_rows(rng, 120)
+    on_time, late = views(rows[:100]), views([r for r in rows[100:] if r[0] in ("u", None)])
+    root = scratch(spark, "ledger")
+    ledger.add(partials.of(on_time), root, 0)
+    for _ in range(2):  # repeated, it replaces itself
+        ledger.add_late(on_time, late, root, 1)
+    whole = on_time.unionByName(late)
+    assert lines_of(ledger.table(spark, root)) == lines_of(schemas.conform(stats.hourly_stats(whole), schemas.STATS))
+    quiet = views([("q", "2024-01-05 23:30:00", "q1")])
+    change = partials.late_change(on_time.unionByName(quiet), quiet.withColumn("page_view_id", F.lit("q2")).withColumn(
+        "event_timestamp", F.col("event_timestamp") + F.expr("interval 10 seconds")))
+    assert [(r.row_sum, r.visit_sum, r.bounce_sum, r.second_sum) for r in change.collect()] == [(1, 0, -1, 10)]
+    ledger.merge(spark, root, before=2)
+    assert lines_of(ledger.table(spark, root)) == lines_of(schemas.conform(stats.hourly_stats(whole), schemas.STATS))
