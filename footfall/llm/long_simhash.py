@@ -5,8 +5,10 @@ Texts with equal sets are one text. Of each other text the distinct shingles (a
 2s / (1 + s) for sets of one size, more for others. ``MARGIN`` more bits keep candidates that the estimate puts too far. Every link
 is verified: the exact Jaccard similarity of the two sets of shingle hashes decides.
 
-Candidates share ``TAKEN`` sampled bits in one of ``TABLES`` tables and lie inside the radius, which at a similarity of 0.8 itself
-holds for 0.97 of the pairs (0.98 at 0.81), by the binomial distribution of distances and the buckets' hit rate. They are verified in two rounds:
+Candidates share a bucket and lie inside the radius. A text is in ``KEYS`` buckets, each named by ``TAKEN`` minima of its shingles' hashes under
+as many functions: two texts of a similarity s share one with a probability of 1 - (1 - s^4)^16, 0.9998 at 0.8, and unrelated ones
+hardly ever, however many texts there are. Inside the radius lie 0.97 of the pairs at 0.8 itself. (Bits sampled from the fingerprints
+would need hundreds of tables for that.) Candidates are verified in two rounds:
 
 1. In a bucket, members in turn become pivots: the distances of all members to the pivot are computed once; those inside the
    radius are linked to it, and a member outside is compared with a linked one only if their distances to the pivot differ by no
@@ -32,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import spans
+from footfall.llm.bbit_minhash import minima
 from footfall.llm.book import small_batches, stored
 from footfall.llm.components import components
 
 BITS = 512
 WORDS = BITS // 64
-TABLES = 320
-TAKEN = 25  # random pairs meet in one of 2^25 buckets: for more documents than that, take more bits and tables
+KEYS = 16
+TAKEN = 4
 MARGIN = 22
 BUCKET = 1000
 NEAREST = 4
@@ -118,15 +121,15 @@ def _longs(column: pa.Array) -> np.ndarray:
     return data.view("<u8").reshape(-1, WORDS)
 
 
-def table_keys(fps: np.ndarray, tables: int = TABLES) -> np.ndarray:
-    """Bucket of each fingerprint in each table, (rows, tables)."""
-    rng = np.random.default_rng(11)
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-    out = np.empty((len(fps), tables), np.int64)
-    for t in range(tables):
-        chosen = rng.choice(BITS, TAKEN, replace=False)
-        out[:, t] = (bits[:, chosen].astype(np.int64) << np.arange(TAKEN)).sum(axis=1) | (t << TAKEN)
-    return out
+def bucket_keys(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Buckets of each set of shingle hashes, (rows, KEYS)."""
+    least = minima(hashes, number, KEYS * TAKEN).reshape(len(number), KEYS, TAKEN)
+    with np.errstate(over="ignore"):
+        keys = np.tile(np.arange(1, KEYS + 1, dtype=np.uint64) * _STEP, (len(number), 1))
+        for k in range(TAKEN):
+            keys = (keys ^ least[:, :, k]) * _STEP
+            keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -167,19 +170,9 @@ def open_pairs(fps: np.ndarray, labels: np.ndarray, blocks: np.ndarray, most: in
     return np.concatenate(found)
 
 
-def bucket_members(fps: DataFrame, bucket: int, tables: int) -> DataFrame:
+def bucket_members(fps: DataFrame, bucket: int) -> DataFrame:
     """(key, fid, blocks, block): the members of buckets with more than one."""
-
-    def keys(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for low in range(0, part.num_rows, 1000):
-                some = part.slice(low, 1000)
-                found = table_keys(_longs(some.column(1)), tables)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.ravel()), some.column(0).take(pa.array(np.repeat(np.arange(some.num_rows), tables)))],
-                    names=["key", "fid"])
-
-    listed = fps.select("fid", "fp").mapInArrow(keys, "key long, fid long")
+    listed = fps.select("fid", F.explode("keys").alias("key"))
     sizes = stored(listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     blocks = F.ceil(F.col("n") / bucket).cast("int")
     return stored(listed.join(sizes, "key").select("key", "fid", blocks.alias("blocks"), F.pmod(
@@ -267,7 +260,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text",
-                bucket: int = BUCKET, tables: int = TABLES) -> DataFrame:
+                bucket: int = BUCKET) -> DataFrame:
     """(doc_id, component_id) of each row; ids may be of any type that has an order."""
     small_batches(docs.sparkSession)
 
@@ -278,8 +271,9 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_colu
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WORDS), part.num_rows, [None, pa.py_buffer(raw)])
             ends = np.cumsum(number)
             digests = [hashlib.blake2b(hashes[e - n:e].tobytes(), digest_size=16).digest() for e, n in zip(ends, number)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(digests, pa.binary()), packed.cast(pa.binary())],
-                                             names=["id", "t1", "t2", "digest", "fp"])
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(bucket_keys(hashes, number).ravel()), KEYS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(digests, pa.binary()), packed.cast(pa.binary()), keys],
+                                             names=["id", "t1", "t2", "digest", "fp", "keys"])
 
     def as_sets(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -291,12 +285,13 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_colu
     kind = docs.schema[id_column].dataType.simpleString()
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("t1"), F.xxhash64(body, F.lit(1)).alias("t2"), body.alias("body"))
-    marked = stored(texts.mapInArrow(batches, f"id {kind}, t1 long, t2 long, digest binary, fp binary"), "long-fingerprints")
-    fps = marked.groupBy("digest").agg(F.min("id").alias("first_id"), F.min(F.struct("t1", "t2")).alias("t"), F.min("fp").alias("fp"))
+    marked = stored(texts.mapInArrow(batches, f"id {kind}, t1 long, t2 long, digest binary, fp binary, keys array<long>"), "long-fingerprints")
+    fps = marked.groupBy("digest").agg(F.min("id").alias("first_id"), F.min(F.struct("t1", "t2")).alias("t"), F.min("fp").alias("fp"),
+                                       F.first("keys").alias("keys"))
     fps = stored(fps.withColumn("fid", F.monotonically_increasing_id()), "distinct-long-fingerprints")
 
     most = radius(similarity)
-    members = bucket_members(fps, bucket, tables)
+    members = bucket_members(fps, bucket)
     stars = stored(star_links(fps, members, most), "stars")
     # Whatever can be in a pair: texts with a link, and those whose bucket was linked block by block.
     needed = stars.select("fid").union(stars.select("pivot")).union(members.where("blocks > 1").select("fid")).distinct()

@@ -99,7 +99,7 @@ def test_repeated_lines_make_no_copies(spark):
 
 
 def test_recall_at_the_bound():
-    """Pairs with a similarity of 0.80 to 0.83 are candidates: inside the radius, and in one bucket of some table."""
+    """Pairs with a similarity of 0.80 to 0.83 are candidates: inside the radius, and in one bucket."""
     import numpy as np
     rng = np.random.default_rng(5)
     found = pairs = 0
@@ -109,8 +109,9 @@ def test_recall_at_the_bound():
             cut = int(rng.integers(apart + 1))
             values = rng.integers(0, 1 << 63, both + apart, dtype=np.uint64)
             sets = values[:both + cut], np.concatenate([values[:both], values[both + cut:]])
-            fps = long_simhash.set_fingerprints(np.concatenate(sets), np.array([len(x) for x in sets]))
-            keys = long_simhash.table_keys(fps)
+            sizes = np.array([len(x) for x in sets])
+            fps = long_simhash.set_fingerprints(np.concatenate(sets), sizes)
+            keys = long_simhash.bucket_keys(np.concatenate(sets), sizes)
             near = np.bitwise_count(fps[0] ^ fps[1]).sum() <= long_simhash.radius(0.8)
             pairs, found = pairs + 1, found + bool(near and (keys[0] == keys[1]).any())
     assert found >= 0.95 * pairs
