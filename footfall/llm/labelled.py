@@ -16,7 +16,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_column:
     """(label, text): at most ``rows`` / 2 labelled ids of each class, chosen by a hash of the id.
 
     Rows of the held-out fold are never taken, nor those without text or with more than ``max_bytes`` bytes. An id with
-    several labels has the largest.
+    several labels has the largest; one with several texts gives the one with the least hash, so there are never more rows than ids.
     """
     known = labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(
         F.max(F.col(label).cast("int")).alias("label")).where(~held_out("id"))
@@ -25,4 +25,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_column:
     texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     if max_bytes:
         texts = texts.where(F.octet_length("text") <= max_bytes)
-    return texts.join(F.broadcast(wanted), "id").select("id", "label", "text")  # at most ``rows`` ids are broadcast
+    found = texts.join(F.broadcast(wanted), "id")  # at most ``rows`` ids are broadcast
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")
+    return found.groupBy("id", "label").agg(one).select("id", "label", "one.text")

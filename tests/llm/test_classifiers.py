@@ -105,3 +105,15 @@ def test_windows_cover_everything():
         begin = counts[:row].sum()
         seen = {w for f, n in zip(first[owner == row], length[owner == row]) for w in range(f - begin, f - begin + n)}
         assert seen == set(range(count))
+
+
+def test_a_sample_has_one_row_for_each_id(spark):
+    """One id in 5000 rows with many texts is one row, the same in any order."""
+    from footfall.llm import labelled
+
+    docs = spark.createDataFrame([(1, f"text {k % 50}") for k in range(5000)] + [(k, f"own {k}") for k in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 60)], "doc_id long, toxic int")
+    found = [sorted(map(tuple, labelled.sample(d, labels, "toxic", rows).collect()))
+             for d in (docs, docs.orderBy("text")) for rows in (100,)]
+    assert found[0] == found[1] and len(found[0]) == len({r[0] for r in found[0]}) <= 100
+    assert len(labelled.sample(docs, labels, "toxic", 10).collect()) <= 10
