@@ -409,13 +409,31 @@ def cut_rows(bodies: pa.Array, lists: pa.Array) -> Iterator[tuple[bytes, int, in
         yield body[~gone].tobytes(), len(body), int(gone.sum()), runs
 
 
+def _united(lists: pa.Array) -> np.ndarray:
+    """How many places the stretches (begin, end) of each row cover."""
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, at = lists.flatten(), np.concatenate([[0], np.cumsum(counts)])
+    begin, end = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    out = np.zeros(len(lists), np.int64)
+    for r in np.flatnonzero(counts):
+        some = slice(at[r], at[r + 1])
+        out[r] = _covered(int(end[some].max()), begin[some], end[some]).sum()
+    return out
+
+
 def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", group: int = GROUP,
-                    piece: int = PIECE) -> DataFrame:
-    """The documents with n_bytes, n_removed, n_spans, kept_sha256 and ``kept``, the remaining text."""
+                    piece: int = PIECE, words: int | None = None) -> DataFrame:
+    """The documents with n_bytes, n_removed, n_spans, kept_sha256 and ``kept``, the remaining text.
+
+    ``words`` adds n_run_words: how many words of the text lie in runs of so many words that also start elsewhere, by words; they stay.
+    """
     small_batches(docs.sparkSession)
     marked = keyed(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text").drop("text")
+    # Repeated rows (one id, one text) have the same stretches, which are listed once.
     spans_of = repeated_stretches(marked, group, piece).groupBy("id1", "id2").agg(
-        F.collect_list(F.struct("begin", "end")).alias("spans"))
+        F.collect_set(F.struct("begin", "end")).alias("spans"))
+    runs_of = None if words is None else repeated_words(marked, words).groupBy("id1", "id2").agg(
+        F.collect_set(F.struct("begin", "end")).alias("runs"))
 
     def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -423,10 +441,17 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
                     for left, size, gone, runs in cut_rows(part.column(1), part.column(2))]
             made = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(
                 (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", "n_bytes", "n_removed", "n_spans",
-                                                                            "kept_sha256", "kept"])
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+            if words is not None:
+                made.append(pa.array(_united(part.column(3))))
+                names.append("n_run_words")
+            yield pa.RecordBatch.from_arrays([part.column(0), *made], names=names)
 
     kind = marked.schema["doc_id"].dataType.simpleString()
-    joined = marked.join(spans_of.hint("shuffle_hash"), ["id1", "id2"], "left").select("doc_id", "body", "spans")
-    result = joined.mapInArrow(batches, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    joined = marked.join(spans_of.hint("shuffle_hash"), ["id1", "id2"], "left")
+    if runs_of is not None:
+        joined = joined.join(runs_of.hint("shuffle_hash"), ["id1", "id2"], "left")
+    result = joined.select("doc_id", "body", "spans", *(["runs"] if runs_of is not None else [])).mapInArrow(
+        batches, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+        + (", n_run_words long" if words is not None else ""))
     return result.withColumnRenamed("doc_id", id_column)

@@ -89,7 +89,7 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_passages")
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.remove_repeated(table(spark, sf_dir, "documents")).drop("kept")
+    return passages.remove_repeated(table(spark, sf_dir, "documents"), words=passages.WORDS).drop("kept")
 
 
 @query("op2_decontamination")

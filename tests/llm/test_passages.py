@@ -108,3 +108,28 @@ def test_multikey_quicksort():
     assert rows[order].tolist() == sorted(rows.tolist())
 
 
+def test_words_in_repeated_runs(spark):
+    """Against every run of 51 words of every text; bytes are removed as without the count."""
+    rnd = random.Random(4)
+
+    def noise(n):
+        return [rnd.choice("abcdefghij") + rnd.choice("klmnop") + str(rnd.randrange(99)) for _ in range(n)]
+
+    common, run = noise(60), passages.WORDS
+    texts = [None, "", " ".join(noise(40)), " ".join(noise(70) + common), "\n".join(common[:51] + noise(30)), " ".join(common[5:55]),
+             " ".join(noise(9) + common[:52] + noise(4) + common[:52]), " ".join(["x"] * 80)]
+    split = [(t or "").split() for t in texts]
+    seen = Counter(tuple(w[k:k + run]) for w in split for k in range(len(w) - run + 1))
+    want = [len({k + j for k in range(len(w) - run + 1) if seen[tuple(w[k:k + run])] > 1 for j in range(run)}) for w in split]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = passages.remove_repeated(df, words=run)
+    assert {r.doc_id: r.n_run_words for r in got.collect()} == dict(enumerate(want)) and sum(w > 0 for w in want) == 4
+    assert result(got) == sorted((k, *d) for k, d in enumerate(direct(texts)))
+
+
+def test_repeated_rows_cost_in_proportion(spark):
+    """5000 rows with one id and text: their stretches are listed once."""
+    text = "".join(random.Random(2).choice("abcdefgh ") for _ in range(1500))
+    df = spark.createDataFrame([(1, text)] * 5000 + [(2, "other")], "doc_id long, text string").repartition(4)
+    got = passages.remove_repeated(df).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1500, 5000), (2, 0, 1)]
