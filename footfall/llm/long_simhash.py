@@ -14,10 +14,15 @@ would need hundreds of tables for that.) Candidates are verified in two rounds:
    radius are linked to it, and a member outside is compared with a linked one only if their distances to the pivot differ by no
    more than the radius (the triangle inequality excludes the rest). The ``NEAREST`` links of each text are verified. This
    joins most of a large group with a number of links that grows with its size, not with its square.
-2. All candidates of a bucket that the first round has not joined are verified. So no candidate pair is left out.
+2. Buckets whose members are not all joined yet are compared whole: the shingle sets of a bucket meet in one task. A table of the
+   members' distances to ``PIVOTS`` reference fingerprints is computed once; pairs of different components whose largest difference of
+   coordinates is beyond the radius go, then those whose own distance is, and the exact similarity decides. Only links that join
+   components are written, so no candidate pair is left out and none is listed.
 
-Buckets of more than ``BUCKET`` members are cut into blocks; the first round stays inside a block, the second compares each block
-with each, so no group is gathered in one task.
+Buckets of more than ``BUCKET`` members are cut into blocks; the first round stays inside a block. Buckets of more than ``BLOCK`` shingles
+are cut in the second: the members of the bucket's largest component into some blocks, the others into further ones, and each
+block of the others meets each block. Members of the largest component never meet each other, so no group is gathered in one task
+and a large group that is mostly joined costs in proportion to its size.
 
 Defined cases: as in ``simhash``; texts without words are copies of each other.
 """
@@ -45,6 +50,8 @@ TAKEN = 4
 MARGIN = 22
 BUCKET = 1000
 NEAREST = 4
+PIVOTS = 16  # reference fingerprints of a group in the second round
+BLOCK = 1 << 18  # shingles that meet each other, or as many others, in the second round
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LANES = np.uint64(0x0101010101010101)
 
@@ -154,20 +161,38 @@ def bucket_links(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def open_pairs(fps: np.ndarray, labels: np.ndarray, blocks: np.ndarray, most: int) -> np.ndarray:
-    """(pairs, 2): members of one bucket inside the radius with different labels and, if there are two blocks, of different blocks."""
-    values, counts = np.unique(labels, return_counts=True)
-    rows = np.flatnonzero(labels != values[counts.argmax()])  # one of a pair is always here
-    across = blocks.min() != blocks.max()
-    found = [np.zeros((0, 2), np.int64)]
-    for k in range(0, len(rows), 64):
-        some = rows[k:k + 64]
-        near = (labels[some, None] != labels) & (_apart(fps[some, None], fps[None]) <= most)
+def joining_links(fid: np.ndarray, label: np.ndarray, n: np.ndarray, fps: np.ndarray, hashes: np.ndarray, side: np.ndarray,
+                  most: int, similarity: float) -> np.ndarray:
+    """(2, links): verified links that join the labels of one block, or of two (``side`` 0 and 1), as all its pairs would.
+
+    ``n`` and ``hashes`` are the sizes of the members' sets and the sets, one after the other.
+    """
+    label, pivots = label.copy(), fps[np.unique(np.linspace(0, len(fps) - 1, PIVOTS).astype(np.int64))]
+    table = np.stack([_apart(p, fps) for p in pivots], axis=1)
+    _, token = np.unique(hashes, return_inverse=True)
+    begin, mark = np.cumsum(n) - n, np.zeros(len(token), bool)
+    across = side.min() != side.max()
+    values, counts = np.unique(label, return_counts=True)
+    found = [np.zeros((2, 0), np.int64)]
+    for x in np.flatnonzero(label != values[counts.argmax()]):  # one of two members with different labels is here
+        some = (label != label[x]) & (np.minimum(n, n[x]) >= similarity * np.maximum(n, n[x]) * 0.999)
         if across:
-            near &= blocks[some, None] != blocks
-        i, j = np.nonzero(near)
-        found.append(np.stack([some[i], j], axis=1))
-    return np.concatenate(found)
+            some &= side != side[x]
+        y = np.flatnonzero(some)
+        y = y[np.abs(table[y] - table[x]).max(axis=1) <= most]
+        y = y[_apart(fps[x], fps[y]) <= most]
+        if not len(y):
+            continue
+        own = token[begin[x]:begin[x] + n[x]]
+        mark[own] = True
+        ends = np.cumsum(n[y])
+        both = np.add.reduceat(mark[token[np.arange(ends[-1]) + np.repeat(begin[y] - ends + n[y], n[y])]].astype(np.int64), ends - n[y])
+        mark[own] = False
+        y = y[both / (n[x] + n[y] - both) >= similarity]
+        _, first = np.unique(label[y], return_index=True)
+        found.append(np.stack([np.minimum(fid[x], fid[y[first]]), np.maximum(fid[x], fid[y[first]])]))
+        label[np.isin(label, label[y])] = label[x]
+    return np.concatenate(found, axis=1)
 
 
 def bucket_members(fps: DataFrame, bucket: int) -> DataFrame:
@@ -214,31 +239,43 @@ def star_links(fps: DataFrame, members: DataFrame, most: int) -> DataFrame:
     return _grouped(listed, ["key", "block"], ["fid", "fp"]).mapInArrow(inside, "pivot long, fid long, bits long").distinct()
 
 
-def pairs_between(fps: DataFrame, members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(a, b): all pairs of a bucket inside the radius whose labels (fid, label) differ."""
+def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, most: int, similarity: float, block: int) -> DataFrame:
+    """(a, b): links that join what the verified pairs inside each bucket join.
+
+    ``labels`` (fid, label) says what is joined already; ``sets`` is (fid, n, fp, hashes) of all texts that can have a link.
+    """
 
     def inside(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            begin, sizes, flat = _lists(part)
-            ids, longs = flat.field(0).to_numpy(), _longs(flat.field(1))
-            label, block = flat.field(2).to_numpy(), flat.field(3).to_numpy()
-            two = begin[sizes == 2]
-            two = two[(label[two] != label[two + 1]) & (_apart(longs[two], longs[two + 1]) <= most)]
-            found = [np.stack([two, two + 1], axis=1)]
-            for b, n in zip(begin[sizes > 2], sizes[sizes > 2]):
-                some = slice(b, b + n)
-                found.append(b + open_pairs(longs[some], label[some], block[some], most))
-            a, b = ids[np.concatenate(found).T]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    labelled = stored(members.join(labels, "fid"), "labelled")
-    several = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-    # A bucket's blocks meet two by two: block i goes to the pairs (i, j) of all j.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = labelled.join(several.select("key"), "key").select("key", "fid", "label", "block", other).select(
-        "key", "fid", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    listed = spread.join(fps.select("fid", "fp"), "fid")
-    return _grouped(listed, ["key", "i", "j"], ["fid", "fp", "label", "block"]).mapInArrow(inside, "a long, b long").distinct()
+            found = [np.zeros((2, 0), np.int64)]
+            for group in part.column(0):
+                flat = group.values
+                fid, label, n, side = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+                hashes = spans.text_bytes(flat.field(5))[0].view("<u8")
+                found.append(joining_links(fid, label, n, _longs(flat.field(4)), hashes, side, most, similarity))
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    labelled = stored(members.select("key", "fid").join(labels, "fid").join(sets.select("fid", "n"), "fid"), "labelled")
+    sums = labelled.groupBy("key", "label").agg(F.sum("n").alias("n"))
+    largest = F.max(F.struct("n", "label"))
+    sums = sums.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), largest.alias("top")).where("parts > 1")
+    cut = F.col("n") > block
+    blocks_of = stored(sums.select(
+        "key", F.when(cut, F.col("top.label")).alias("top"),
+        F.when(cut, F.ceil(F.col("top.n") / block)).otherwise(0).cast("int").alias("tops"),
+        F.when(cut, F.ceil((F.col("n") - F.col("top.n")) / block)).otherwise(1).cast("int").alias("others")), "open-buckets")
+    # Blocks 0 to tops - 1 hold the largest component (if the bucket is cut), further ones the other members.
+    is_top, mark = F.col("label").eqNullSafe(F.col("top")), F.xxhash64("fid")
+    dealt = labelled.join(blocks_of, "key").withColumn("block", F.when(is_top, F.pmod(mark, "tops")).otherwise(
+        F.col("tops") + F.pmod(mark, "others")).cast("int"))
+    met = F.explode(F.sequence(F.when(is_top, F.col("tops")).otherwise(0), F.col("tops") + F.col("others") - 1)).alias("met")
+    spread = dealt.select("key", "fid", "label", "block", met).select(
+        "key", "fid", "label", F.least("block", "met").alias("i"), F.greatest("block", "met").alias("j"),
+        (F.col("block") > F.col("met")).cast("long").alias("side"))
+    listed = spread.join(sets, "fid")
+    groups = listed.groupBy("key", "i", "j").agg(F.collect_list(F.struct("fid", "label", "n", "side", "fp", "hashes")).alias("group"))
+    return stored(groups.select("group").mapInArrow(inside, "a long, b long").distinct(), "open-links")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -260,7 +297,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text",
-                bucket: int = BUCKET) -> DataFrame:
+                bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) of each row; ids may be of any type that has an order."""
     small_batches(docs.sparkSession)
 
@@ -297,7 +334,8 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_colu
     needed = stars.select("fid").union(stars.select("pivot")).union(members.where("blocks > 1").select("fid")).distinct()
     needed = stored(fps.join(needed, "fid").select("fid", "t.t1", "t.t2"), "needed")
     one_of = texts.select("t1", "t2", "body").join(needed, ["t1", "t2"]).groupBy("fid").agg(F.first("body").alias("body"))
-    sets = stored(one_of.mapInArrow(as_sets, "fid long, hashes binary"), "sets")
+    sets = one_of.mapInArrow(as_sets, "fid long, hashes binary").join(fps.select("fid", "fp"), "fid")
+    sets = stored(sets.select("fid", (F.length("hashes") / 8).cast("long").alias("n"), "fp", "hashes"), "sets")
 
     nearest = stars.groupBy("fid").agg(F.slice(F.sort_array(F.collect_list(F.struct("bits", "pivot"))), 1, NEAREST).alias("links"))
     nearest = nearest.select(F.explode("links").alias("link"), "fid").select(
@@ -305,7 +343,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_colu
     edges = verified(nearest, sets, similarity)
     joined = components(edges).select(F.col("node").alias("fid"), "root")
     labels = stored(fps.select("fid").join(joined, "fid", "left").select("fid", F.coalesce("root", "fid").alias("label")), "first-labels")
-    more = verified(pairs_between(fps, members, labels, most), sets, similarity)
+    more = open_links(members, labels, sets.where("n > 0"), most, similarity, block)
     roots = components(edges.union(more)).select(F.col("node").alias("fid"), "root")
     placed = fps.join(roots, "fid", "left").withColumn("root", F.coalesce("root", "fid"))
     heads = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))

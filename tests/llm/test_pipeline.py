@@ -118,17 +118,34 @@ def test_recall_at_the_bound():
 
 
 def test_crowded_buckets_lose_no_pair(spark):
-    """All pairs of a bucket of 60 that is cut into blocks of about 4, and none of one label."""
+    """A bucket with a large component and small ones, whole and in blocks of some members, against all pairs."""
     import numpy as np
     rng = np.random.default_rng(7)
-    fps = rng.integers(0, 1 << 63, (60, 8), dtype=np.uint64)
-    fps[30:] = fps[:30] ^ np.uint64(5)
-    frame = spark.createDataFrame([(k, bytearray(fps[k].astype("<u8").tobytes())) for k in range(60)], "fid long, fp binary")
-    members = frame.select(F.lit(1).cast("long").alias("key"), "fid", F.lit(15).alias("blocks"),
-                           F.pmod(F.xxhash64("fid"), F.lit(15)).cast("int").alias("block"))
-    labels = frame.select("fid", F.when(F.col("fid").isin(0, 30), 0).otherwise(F.col("fid")).cast("long").alias("label"))
-    got = {(r.a, r.b) for r in long_simhash.pairs_between(frame, members, labels, 100).collect()}
-    assert got == {(k, k + 30) for k in range(1, 30)}
+    base, sets = rng.integers(0, 1 << 63, 100, dtype=np.uint64), []
+    for k in range(90):  # near copies of one text in a row of small steps, of 15 texts in pairs, and texts of their own
+        own = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        if k < 45:
+            own[:97 - k % 6] = base[:97 - k % 6]
+        elif 60 <= k < 75:
+            own[:95] = sets[k - 15][:95]
+        sets.append(own)
+    fps = long_simhash.set_fingerprints(np.concatenate(sets), np.full(90, 100))
+    raw = [(k, 100, bytearray(fps[k].astype("<u8").tobytes()), bytearray(np.sort(sets[k]).astype("<u8").tobytes())) for k in range(90)]
+    full = spark.createDataFrame(raw, "fid long, n long, fp binary, hashes binary")
+    members = full.select(F.lit(1).cast("long").alias("key"), "fid")
+    shared = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    similar_pairs = {(a, b) for b in range(90) for a in range(b) if shared[a, b] / (200 - shared[a, b]) >= 0.8}
+    truth, most = joined(similar_pairs, range(90)), long_simhash.radius(0.8)
+    assert sum(a < 45 for a, _ in similar_pairs) > 500 and sum(45 <= a for a, _ in similar_pairs) == 15
+    for label in (F.col("fid"), F.when(F.col("fid") < 30, 0).otherwise(F.col("fid")).cast("long")):
+        labels = full.select("fid", label.alias("label"))
+        start = [(0, r.fid) for r in labels.where("label = 0").collect()]
+        for block in (1 << 18, 700, 100):
+            got = {(r.a, r.b) for r in long_simhash.open_links(members, labels, full, most, 0.8, block).collect()}
+            assert got <= similar_pairs
+            assert joined(got | set(start), range(90)) == truth
+    done = full.select("fid", F.lit(0).cast("long").alias("label"))
+    assert long_simhash.open_links(members, done, full, most, 0.8, 700).count() == 0
 
 
 def test_pivots_lose_no_link():
