@@ -337,7 +337,8 @@ def repeated_stretches(keyed: DataFrame, group: int = GROUP, piece: int = PIECE,
 
     unsettled = found.where(F.col("kind").isin(OPEN_RUN, PARTNER))
     crowded = stored(unsettled.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > group).select("f"), "crowded")
-    listed = unsettled.groupBy("id1", "id2").agg(F.collect_list(F.struct(
+    # Repeated rows (one id, one text) have the same runs, which are listed once.
+    listed = unsettled.groupBy("id1", "id2").agg(F.collect_set(F.struct(
         "f", "h", (F.col("kind") == OPEN_RUN).alias("open"), "first", "size")).alias("runs"))
     runs = stored(keyed.join(listed.hint("shuffle_hash"), ["id1", "id2"]).mapInArrow(partial(_fetch, length), _FETCHED), "runs")
     small = runs.join(crowded, "f", "left_anti").drop("h").repartition("f").sortWithinPartitions("f")
