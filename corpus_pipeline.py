@@ -64,7 +64,8 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
         "missing", F.col("text").isNull()).select("rest", "missing", "body", "id1", "id2")
     found = passages.repeated_stretches(keyed).withColumn("words", F.lit(False)).unionByName(
         passages.repeated_words(keyed).withColumn("words", F.lit(True)))
-    stretches = found.groupBy("id1", "id2").agg(F.collect_list(F.struct("begin", "end", "words")).alias("spans"))
+    # Repeated rows (one id, one text) have the same stretches, which are listed once.
+    stretches = found.groupBy("id1", "id2").agg(F.collect_set(F.struct("begin", "end", "words")).alias("spans"))
     joined = keyed.join(stretches.hint("shuffle_hash"), ["id1", "id2"], "left").select("rest", "missing", "body", "spans")
 
     def cut(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
