@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from footfall import schemas
 from footfall.catalog.book import query
 from footfall.catalog.inputs import DAY, DOMAIN, FORTNIGHT, RUN_DATE, Inputs
-from footfall.operators import manifest, parsing, partials, registry, reports, stats
+from footfall.operators import distincts, manifest, parsing, partials, registry, reports, stats, timeline
 from footfall.plans import jobs, ledger, serving
 from footfall.sinks import exports, raw
 from footfall.sinks import tables as out
@@ -303,6 +303,65 @@ def registry_delete(i: Inputs) -> DataFrame:
     return registry.delete(i.domains, gone)
 
 
+# Six customers change the registry at one moment: two for each of three domains.
+_SETTLED = """(SELECT concat('site', c_custkey % 3, '.example') AS domain_name,
+    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(97 * CAST(c_custkey // 6 AS BIGINT)) AS changed_at,
+    max(CASE WHEN c_custkey % 7 > 1 THEN concat('k', c_custkey // 3 % 4) END) AS domain_key
+  FROM customer GROUP BY ALL) c"""
+_INTERVALS = f"""(SELECT domain_name, domain_key, changed_at AS valid_from,
+    lead(changed_at) OVER (PARTITION BY domain_name ORDER BY changed_at) AS valid_to FROM {_SETTLED}) i"""
+_KEYED = "(SELECT *, concat('k', CAST(substr(page_view_id, 3) AS BIGINT) % 4) AS domain_key FROM pv) p"
+_THEN = f"""FROM {_KEYED} LEFT JOIN {_INTERVALS} ON i.domain_name = p.domain_name AND i.valid_from <= p.event_timestamp
+  AND (i.valid_to IS NULL OR p.event_timestamp < i.valid_to)"""
+
+
+def _changes(i: Inputs) -> DataFrame:
+    key = F.col("c_custkey").cast("bigint")
+    return i.table("customer").select(
+        F.concat(F.lit("site"), key % 3, F.lit(".example")).alias("domain_name"),
+        F.concat(F.lit("k"), F.floor(key / 3) % 4).alias("domain_key"),
+        F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + 97 * 60 * F.floor(key / 6)).alias("changed_at"),
+        (key % 7 <= 1).alias("deleted"))
+
+
+def _with_keys(i: Inputs) -> DataFrame:
+    return i.pv.withColumn("domain_key", F.concat(F.lit("k"), F.substring("page_view_id", 3, 20).cast("bigint") % 4))
+
+
+@query("registry_intervals", f"SELECT domain_name, domain_key, valid_from, valid_to FROM {_INTERVALS} WHERE domain_key IS NOT NULL")
+def registry_intervals(i: Inputs) -> DataFrame:
+    return timeline.intervals(_changes(i))
+
+
+@query("registry_verified_then", f"SELECT p.page_view_id, p.domain_name, p.domain_key {_THEN} WHERE i.domain_key = p.domain_key")
+def registry_verified_then(i: Inputs) -> DataFrame:
+    return timeline.verified_then(_with_keys(i), _changes(i)).select("page_view_id", "domain_name", "domain_key")
+
+
+@query("registry_unverified_then", f"""
+SELECT p.page_view_id, p.domain_name, i.domain_key AS key_then {_THEN} WHERE i.domain_key IS DISTINCT FROM p.domain_key""")
+def registry_unverified_then(i: Inputs) -> DataFrame:
+    return timeline.unverified_then(_with_keys(i), _changes(i)).select("page_view_id", "domain_name", "key_then")
+
+
+@query("visitors_of_range", """
+SELECT domain_name, browser_name, count(DISTINCT daily_visitor_id) AS visitors_exact, true AS within_bounds
+FROM views WHERE event_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-30' GROUP BY domain_name, browser_name""")
+def visitors_of_range(i: Inputs) -> DataFrame:
+    """Sketches of the page views that came in time, those of late ones added, against the exact number."""
+    path, late = i.scratch("sketches"), F.col("arrival_timestamp") > F.col("event_timestamp") + F.expr("INTERVAL 36 HOURS")
+    views = i.pv.where("event_type = 'pageview'")
+    distincts.sketches(views.where(~late)).write.partitionBy("event_date").parquet(path)
+    stored = distincts.added(i.spark.read.parquet(path), views)
+    by, first, last = ["domain_name", "browser_name"], "2024-01-01", "2024-01-30"
+    found = distincts.between(stored, first, last, by)
+    exact = views.where(F.col("event_date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).groupBy(*by).agg(
+        F.count_distinct("daily_visitor_id").alias("visitors_exact")).select(*[F.col(c).alias(f"x_{c}") for c in by], "visitors_exact")
+    same = found["domain_name"].eqNullSafe(exact["x_domain_name"]) & found["browser_name"].eqNullSafe(exact["x_browser_name"])
+    inside = F.col("visitors_exact").between(F.col("visitors_low"), F.col("visitors_high"))
+    return found.join(exact, same).select(*by, "visitors_exact", inside.alias("within_bounds"))
+
+
 @query("src_object_notifications", "SELECT event_name, event_time, s3_bucket, s3_key, file_size FROM object_events")
 def src_object_notifications(i: Inputs) -> DataFrame:
     rows = read_notifications(i.notifications)
