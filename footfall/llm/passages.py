@@ -358,8 +358,13 @@ def repeated_words(keyed: DataFrame, words: int = WORDS) -> DataFrame:
     def codes(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             data, offsets = spans.text_bytes(part.column(2))
-            starts, ends, counts = spans.words(data, offsets)
-            raw = spans.xxh64(data, starts, ends).astype("<u4").tobytes()
+            made, numbers = [b""], [np.zeros(0, np.int64)]
+            for low, high in spans.chunks(offsets, PIECE):
+                some = data[offsets[low]:offsets[high]]
+                starts, ends, counts = spans.words(some, offsets[low:high + 1] - offsets[low])
+                made.append(spans.xxh64(some, starts, ends).astype("<u4").tobytes())
+                numbers.append(counts)
+            raw, counts = b"".join(made), np.concatenate(numbers)
             at = pa.array(np.concatenate([[0], np.cumsum(CODE * counts)]), pa.int64())
             made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, at.buffers()[1], pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made.cast(pa.binary())], names=["id1", "id2", "body"])
