@@ -58,6 +58,7 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     Documents of which no word is left go, others keep their columns.
     """
+    small_batches(spark, size="4m")  # words and their hashes take many times the bytes of a text
     columns = docs.columns
     rest = F.struct(*[c for c in columns if c != "text"]).alias("rest")
     keyed = passages.keyed(docs.select("doc_id", "text", rest), "doc_id", "text").withColumn(
