@@ -75,14 +75,14 @@ def inner_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.array([[min(max(int(x), LOWEST), HIGHEST) for x in row] for row in sums], np.int64).reshape(sums.shape)
 
 
-def _parts(column: pa.ChunkedArray) -> pa.Array:
+def combined(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 def _sides(left: pa.Table, right: pa.Table):
     """Ids, labels and vectors of the anchors and, in order of ids, of the rows of a group."""
     right = right.sort_by("vec_id")
-    return [(_parts(t.column("vec_id")).to_numpy(), _parts(t.column("label")).to_numpy(), matrix(_parts(t.column("v"))))
+    return [(combined(t.column("vec_id")).to_numpy(), combined(t.column("label")).to_numpy(), matrix(combined(t.column("v"))))
             for t in (left, right)]
 
 
@@ -135,7 +135,7 @@ def best_in_windows(ids: np.ndarray, labels: np.ndarray, windows: list[list[int]
     return a, r
 
 
-def _meet(rows: DataFrame, anchors: DataFrame, groups: int, blocks: int, task, schema: str) -> DataFrame:
+def meet(rows: DataFrame, anchors: DataFrame, groups: int, blocks: int, task, schema: str) -> DataFrame:
     """Apply a task to each pair of a group of rows and a block of anchors; both are bounded."""
     left = anchors.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -153,7 +153,7 @@ def _table(columns: list[tuple[str, list[np.ndarray]]]) -> pa.Table:
     return pa.table({name: pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64()) for name, parts in columns})
 
 
-def _dealt(df: DataFrame, name: str, size: int, label: str) -> tuple[DataFrame, int]:
+def dealt(df: DataFrame, name: str, size: int, label: str) -> tuple[DataFrame, int]:
     """Rows dealt to numbered groups of about a size, whatever their values."""
     df = stored(df, label)
     groups = max(1, -(-df.count() // size))
@@ -169,8 +169,8 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     if not 0 <= low < high <= 100:
         raise ValueError("0 <= low < high <= 100 is needed")
     chosen = vectors.where(is_anchor).groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("one")).select("vec_id", "one.*")
-    rows, groups = _dealt(vectors, "g", rows_at_once, "rows")
-    anchors, blocks = _dealt(chosen, "b", anchors_at_once, "anchors")
+    rows, groups = dealt(vectors, "g", rows_at_once, "rows")
+    anchors, blocks = dealt(chosen, "b", anchors_at_once, "anchors")
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -190,7 +190,7 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
             yield part.filter(pa.array(keep, pa.bool_()))
 
     triple = "anchor long, score long, id long"
-    pairs = _meet(rows, anchors, groups, blocks, near, triple)
+    pairs = meet(rows, anchors, groups, blocks, near, triple)
     ranked = pairs.repartition("anchor").sortWithinPartitions("anchor", F.desc("score"), "id").mapInArrow(first, triple)
     partners = stored(ranked, "positives")
     # At most ``positives`` rows for each anchor.
@@ -199,13 +199,13 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
 
     def hard(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        sought = _parts(left.column("windows")).to_pylist()
+        sought = combined(left.column("windows")).to_pylist()
         for some, ids, labels, row_ids, row_labels, scores in _strips(left, right):
             a, r = best_in_windows(ids, labels, sought[some], row_ids, row_labels, scores, negatives, low, high)
             out.append((ids[a], scores[a, r], row_ids[r]))
         return _table([(name, [x[n] for x in out]) for n, name in enumerate(("anchor", "score", "id"))])
 
-    found = _meet(rows, opened, groups, blocks, hard, triple)
+    found = meet(rows, opened, groups, blocks, hard, triple)
     stream = partners.withColumn("negative", F.lit(False)).unionByName(found.withColumn("negative", F.lit(True)))
 
     def emit(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
