@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from footfall.catalog.book import query
 from footfall.catalog.inputs import Inputs
 from footfall.functions import agents, urls
-from footfall.operators import dimensions, parsing, stats
+from footfall.operators import dictionary, dimensions, parsing, stats
+from footfall.session import scratch
 
 _FIELD = ",\n  ".join(f"string_split(value, chr(9))[{i + 1}] AS {name}" for i, name in enumerate(parsing.FIELDS))
 
@@ -144,6 +145,37 @@ def enrich_own_rules(i: Inputs) -> DataFrame:
         "event_timestamp", "browser_name", "browser_version", "browser_os_name", "request_is_bot")
 
 
+def _first(rules, chosen) -> str:
+    """A CASE over the rules in order."""
+    cases = " ".join(f"WHEN contains(agent, '{r.token}') THEN {chosen(r)}" for r in rules)
+    return f"CASE {cases} END"
+
+
+def _found(r: agents.Rule) -> str:
+    return f"nullif(regexp_extract(agent, '{r.pattern}', 1), '')" if r.pattern else "NULL"
+
+
+_KERNELS = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in agents.WINDOWS_VERSIONS.items())
+_KINDS = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in agents.DEVICE_TYPES.items())
+
+
+@query("enrich_agent_dictionary", f"""
+SELECT agent, browser_name, browser_version, browser_os_name,
+  CASE WHEN browser_os_name = 'Windows' THEN CASE os_version {_KERNELS} ELSE os_version END ELSE os_version END AS browser_os_version,
+  coalesce(CASE kind {_KINDS} END, 'Desktop') AS device_type, device_vendor, request_is_bot
+FROM (SELECT agent, {_first(agents.BROWSERS, lambda r: f"'{r.name}'")} AS browser_name,
+    {_first(agents.BROWSERS, _found)} AS browser_version,
+    {_first(agents.SYSTEMS, lambda r: f"'{r.name}'")} AS browser_os_name,
+    replace({_first(agents.SYSTEMS, _found)}, '_', '.') AS os_version,
+    {_first(agents.DEVICE_KINDS, lambda r: f"'{r.name}'")} AS kind,
+    {_first(agents.VENDORS, lambda r: f"'{r.name}'")} AS device_vendor,
+    CAST(coalesce({" OR ".join(f"contains(lower(agent), '{w}')" for w in agents.BOT_WORDS)}, false) AS INT) AS request_is_bot
+  FROM (SELECT url_decode(string_split(value, chr(9))[{parsing.FIELDS.index("user_agent") + 1}]) AS agent FROM raw_log))""")
+def enrich_agent_dictionary(i: Inputs) -> DataFrame:
+    lines = parsing.split_fields(i.raw_log).select(urls.percent_decode(F.col("user_agent")).alias("agent"))
+    return dictionary.classify(lines, "agent", scratch(lines.sparkSession, "agents"))
+
+
 @query("map_device_type", f"""
 SELECT event_timestamp, CASE WHEN {_HUMAN} AND v % 4 >= 2 THEN 'Mobile' ELSE 'Desktop' END AS device_type
 FROM hits""")

@@ -111,11 +111,16 @@ def version(agent: Column, matched: Column, rules: Sequence[Rule]) -> Column:
     return F.nullif(chain, F.lit(""))
 
 
+def dotted(found: Column, system: Column) -> Column:
+    """A system's version with dots, and with Windows kernel versions translated."""
+    found = F.translate(found, "_", ".")
+    windows = F.create_map(*(F.lit(x) for pair in WINDOWS_VERSIONS.items() for x in pair))
+    return F.when(system == "Windows", F.coalesce(windows[found], found)).otherwise(found)
+
+
 def system_version(agent: Column, matched: Column, rules: Sequence[Rule] = SYSTEMS) -> Column:
     """Operating system version, dotted, with Windows kernel versions translated."""
-    found = F.translate(version(agent, matched, rules), "_", ".")
-    windows = F.create_map(*(F.lit(x) for pair in WINDOWS_VERSIONS.items() for x in pair))
-    return F.when(name(matched, rules) == "Windows", F.coalesce(windows[found], found)).otherwise(found)
+    return dotted(version(agent, matched, rules), name(matched, rules))
 
 
 def device_type(kind: Column) -> Column:
