@@ -44,6 +44,7 @@ CODE = 4  # bytes that stand for a word
 LEAD = 24
 GROUP = 2000
 PIECE = 1 << 20
+TOGETHER = 1 << 16  # bytes of short texts that are hashed at once: their hashes stay in a core's cache
 SMALL = 2048
 
 # Odd multipliers, fixed so that all tasks agree.
@@ -58,9 +59,12 @@ def span(length: int) -> int:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _A
-    x = (x ^ (x >> np.uint64(29))) * _B
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    x *= _A
+    x ^= x >> np.uint64(29)
+    x *= _B
+    x ^= x >> np.uint64(32)
+    return x
 
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -82,7 +86,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """Hashes of spans of at least ``GRAM`` bytes of one piece of text."""
+    """Hashes of spans of at least ``GRAM`` bytes of one piece of text; where a span lies does not matter."""
 
     def __init__(self, piece: np.ndarray):
         n = len(piece) - GRAM + 1
@@ -108,19 +112,31 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:have - width], values[width - have:]) if have < width else values
 
 
-def anchors(piece: np.ndarray, hashes: Hashes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first start and number of starts of each run of strings in a piece."""
+def anchors(text: np.ndarray, bounds: np.ndarray, hashes: Hashes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first start and number of starts of each run of strings in a part of a text that holds one piece or several."""
     place = np.arange(len(hashes.grams), dtype=np.uint64)
     ranked = (hashes.grams & ~np.uint64((1 << 24) - 1)) | place  # the place breaks ties: leftmost first
-    chosen = _least(ranked, span(length))[:len(piece) - length + 1] & np.uint64((1 << 24) - 1)
-    first = np.flatnonzero(np.diff(chosen, prepend=chosen[:1] + np.uint64(1)))
-    return chosen[first].astype(np.int64), first, np.diff(np.append(first, len(chosen)))
+    chosen = (_least(ranked, span(length))[:len(text) - length + 1] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    for end in bounds[1:-1]:  # no string crosses from one piece to the next
+        chosen[max(0, end - length + 1):end] = -1
+    first = np.flatnonzero(np.diff(chosen, prepend=-2))
+    starts = np.diff(np.append(first, len(chosen)))
+    inside = chosen[first] >= 0
+    return chosen[first[inside]], first[inside], starts[inside]
 
 
-def pieces(text: np.ndarray, size: int, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray]]:
-    """Begin and bytes of pieces with ``size`` start positions each."""
-    for begin in range(0, len(text) - length + 1, size):
-        yield begin, text[begin:begin + size + length - 1]
+def pieces(offsets: np.ndarray, size: int, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of a batch of texts that are hashed at once: the bounds of their pieces, and each piece's row and begin in its text.
+
+    Short texts share a part, up to ``TOGETHER`` bytes; a longer one is cut into pieces with ``size`` start positions each, alone in their parts.
+    """
+    for low, high in spans.chunks(offsets, min(size, TOGETHER)):
+        if high - low > 1:
+            yield offsets[low:high + 1], np.arange(low, high), np.zeros(high - low, np.int64)
+            continue
+        for begin in range(0, int(offsets[high] - offsets[low]) - length + 1, size):
+            at = offsets[low] + begin
+            yield np.array([at, min(at + size + length - 1, offsets[high])]), np.array([low]), np.array([begin])
 
 
 def multikey_quicksort(columns: list[np.ndarray]) -> np.ndarray:
@@ -159,22 +175,26 @@ def _suffixes(keyed: DataFrame, size: int, length: int = LENGTH) -> DataFrame:
     def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             data, offsets = spans.text_bytes(part.column(2))
-            found, owner = [], []
-            for r in range(part.num_rows):
-                for begin, piece in pieces(data[offsets[r]:offsets[r + 1]], size, length):
-                    hashes = Hashes(piece)
-                    at, first, starts = anchors(piece, hashes, length)
-                    shared = hashes.of(at, at + length - span(length))
-                    whole = hashes.of(first, first + starts - 1 + length)
-                    with np.errstate(over="ignore"):
-                        whole = _mix(whole ^ _mix(((at - first) << 20 | starts).astype(np.uint64) * _A))
-                    lead = piece[at[:, None] + np.arange(LEAD)]
-                    found.append((lead, shared, whole, first + begin, starts))
-                    owner.append((r, len(at)))
+            found = []
+            for bounds, rows, begins in pieces(offsets, size, length):
+                text, bounds = data[bounds[0]:bounds[-1]], bounds - bounds[0]
+                if len(text) < length:
+                    continue
+                hashes = Hashes(text)
+                at, first, starts = anchors(text, bounds, hashes, length)
+                if not len(at):
+                    continue
+                shared = hashes.of(at, at + length - span(length))
+                whole = hashes.of(first, first + starts - 1 + length)
+                with np.errstate(over="ignore"):
+                    whole = _mix(whole ^ _mix(((at - first) << 20 | starts).astype(np.uint64) * _A))
+                lead = text[at[:, None] + np.arange(LEAD)]
+                k = np.searchsorted(bounds, first, "right") - 1
+                found.append((lead, shared, whole, first - bounds[k] + begins[k], starts, rows[k]))
             if not found:
                 continue
-            lead, shared, whole, first, starts = (np.concatenate(c) for c in zip(*found))
-            rows = pa.array(np.repeat([r for r, _ in owner], [n for _, n in owner]))
+            lead, shared, whole, first, starts, rows = (np.concatenate(c) for c in zip(*found))
+            rows = pa.array(rows)
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LEAD), len(lead), [None, pa.py_buffer(lead.tobytes())])
             yield pa.RecordBatch.from_arrays(
                 [packed.cast(pa.binary()), pa.array(shared.view(np.int64)), pa.array(whole.view(np.int64)),
@@ -238,9 +258,14 @@ def _settled(compared: DataFrame) -> DataFrame:
 
 def _string_hashes(text: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
     """Hashes of all ``length``-byte strings of consecutive runs of bytes."""
-    out = [Hashes(text[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-    return np.concatenate([np.zeros(0, np.uint64)] + [
-        x.of(np.arange(n), np.arange(n) + length) for x, n in zip(out, np.diff(bounds) - length + 1)])
+    out = [np.zeros(0, np.uint64)]
+    for low, high in spans.chunks(bounds, TOGETHER):
+        hashes = Hashes(text[bounds[low]:bounds[high]])
+        number = np.diff(bounds[low:high + 1]) - length + 1
+        row = spans.owners(number)
+        starts = np.arange(number.sum()) + (bounds[low:high] - bounds[low] - (np.cumsum(number) - number))[row]
+        out.append(hashes.of(starts, starts + length))
+    return np.concatenate(out)
 
 
 def _stretches(hit: np.ndarray, row: np.ndarray, start: np.ndarray, length: int):

@@ -133,3 +133,44 @@ def test_repeated_rows_cost_in_proportion(spark):
     df = spark.createDataFrame([(1, text)] * 5000 + [(2, "other")], "doc_id long, text string").repartition(4)
     got = passages.remove_repeated(df).groupBy("doc_id", "n_removed").count().collect()
     assert sorted(map(tuple, got)) == [(1, 1500, 5000), (2, 0, 1)]
+
+
+def test_short_texts_are_hashed_together(monkeypatch):
+    """Texts that share a part give the runs that each gives alone, with far fewer parts than texts."""
+    rnd = random.Random(3)
+    texts = ["a" * N, "", "a" * (N + 9), "short", "ab" * N, "a" * (N - 1), "b" * N] + [
+        "".join(rnd.choice("ab é") for _ in range(rnd.randint(0, 1500))) for _ in range(300)] + ["xyz" * 30000, "z" * N]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(b) for b in raw])
+    made = []
+    monkeypatch.setattr(passages, "Hashes", lambda text, hashes=passages.Hashes: made.append(len(text)) or hashes(text))
+
+    def runs(data, offsets, size):
+        found = []
+        for bounds, rows, begins in passages.pieces(offsets, size):
+            text, bounds = data[bounds[0]:bounds[-1]], bounds - bounds[0]
+            if len(text) < N:
+                continue
+            hashes = passages.Hashes(text)
+            at, first, starts = passages.anchors(text, bounds, hashes)
+            k = np.searchsorted(bounds, first, "right") - 1
+            shift = begins[k] - bounds[k]
+            shared = hashes.of(at, at + N - passages.span(N))
+            found += zip(rows[k].tolist(), (at + shift).tolist(), (first + shift).tolist(), starts.tolist(), shared.tolist())
+        return found
+
+    for size in (passages.PIECE, 700):
+        alone = [(r, *run[1:]) for r, b in enumerate(raw)
+                 for run in runs(np.frombuffer(b, np.uint8), np.array([0, len(b)]), size)]
+        made.clear()
+        assert runs(data, offsets, size) == alone
+        assert sum(starts for _, _, _, starts, _ in alone) == sum(max(0, len(b) - N + 1) for b in raw)
+        if size == passages.PIECE:
+            assert len(made) < 20
+
+    whole = [b for b in raw if len(b) >= N]
+    bounds = np.cumsum([0] + [len(b) for b in whole])
+    each = [passages._string_hashes(np.frombuffer(b, np.uint8), np.array([0, len(b)]), N) for b in whole]
+    made.clear()
+    assert (passages._string_hashes(np.frombuffer(b"".join(whole), np.uint8), bounds, N) == np.concatenate(each)).all()
+    assert len(made) < 20
