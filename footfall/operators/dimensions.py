@@ -1,7 +1,7 @@
 """Joins against small user-supplied tables.
 
 A table is broadcast only if the planner's size of it is within a bound; no job runs for that. Beyond the
-bound the same join runs shuffled, and adaptive execution splits hot keys.
+bound the same join runs shuffled, and adaptive execution splits hot keys. Salts are broadcast in any case.
 Repeated keys are folded by rules that do not depend on the order of rows.
 """
 
@@ -82,10 +82,12 @@ def with_salt(events: DataFrame, salts: DataFrame) -> DataFrame:
     """Add the salt of the event's date; NULL when no salt is kept for it, or several.
 
     Two salts of one date would give a visitor two ids, so such a date has none and its lines are rejected.
+    There is one row per calendar date however large the table they come from, so they are broadcast: dealt by date, all lines
+    without one would meet in one task, and so would the lines of a day.
     """
     daily = salts.groupBy("event_date").agg(F.min("salt").alias("salt"), F.max("salt").alias("_other"))
     daily = daily.select("event_date", F.when(F.col("salt") == F.col("_other"), F.col("salt")).alias("salt"))
-    return events.join(broadcast_if_small(daily), "event_date", "left")
+    return events.join(F.broadcast(daily), "event_date", "left")
 
 
 def countries(spark: SparkSession) -> DataFrame:

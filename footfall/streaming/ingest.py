@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,6 +17,9 @@ from footfall.sinks import commits, raw
 from footfall.sinks import tables as out
 
 EVERY = "15 minutes"
+# Shuffled lines that one task parses. Lines shrink to about a sixth in a shuffle, their cached columns hardly do.
+PARSED_AT_ONCE = "8m"
+DEALT = "1000"  # parts that lines are dealt to before adaptive execution joins them up to that size
 
 
 class Dimensions(NamedTuple):
@@ -42,6 +46,23 @@ class Targets(NamedTuple):
         return f"{self.root}/rejects"
 
 
+@contextmanager
+def _set(spark: SparkSession, **adaptive: str) -> Iterator[None]:
+    """Settings of adaptive execution that hold for a block; ``__`` stands for a dot."""
+    keys = {f"spark.sql.adaptive.{k.replace('__', '.')}": v for k, v in adaptive.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def batch_writer(load: Callable[[], Dimensions], targets: Targets, **options):
     """The function applied to every micro-batch.
 
@@ -49,11 +70,21 @@ def batch_writer(load: Callable[[], Dimensions], targets: Targets, **options):
     next one. Every output of a batch is a folder of its own that is replaced as a whole: a
     batch repeated after a failure leaves neither duplicates nor, when the registry has
     changed meanwhile, rows of its first run. ``compact`` merges the folders of old batches.
+
+    Lines are dealt out by size before they are parsed and cached, since a few files or state partitions may give many lines.
     """
 
     def write(lines: DataFrame, batch: int) -> None:
+        # A stream with state plans without adaptive execution; what its batch has become by now may be split by size again.
+        with _set(lines.sparkSession, enabled="true"):
+            write_all(lines, batch)
+
+    def write_all(lines: DataFrame, batch: int) -> None:
         dims = load()
-        outcomes = parsing.parse_outcomes(lines, *dims, **{k: v for k, v in options.items() if k != "distinct"}).persist()
+        # The cached plan keeps these settings.
+        with _set(lines.sparkSession, advisoryPartitionSizeInBytes=PARSED_AT_ONCE, coalescePartitions__initialPartitionNum=DEALT):
+            outcomes = parsing.parse_outcomes(lines.hint("rebalance"), *dims,
+                                              **{k: v for k, v in options.items() if k != "distinct"}).persist()
         try:
             events = parsing.accepted(outcomes)
             if options.get("distinct"):

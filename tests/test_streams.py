@@ -314,3 +314,46 @@ def test_late_rows_change_their_visitors_only(spark, views):
     assert [(r.row_sum, r.visit_sum, r.bounce_sum, r.second_sum) for r in change.collect()] == [(1, 0, -1, 10)]
     ledger.merge(spark, root, before=2)
     assert lines_of(ledger.table(spark, root)) == lines_of(schemas.conform(stats.hourly_stats(whole), schemas.STATS))
+
+
+def test_large_batches_are_parsed_in_parts(spark, monkeypatch):
+    """Lines from one task are dealt out before they are cached, also by a stream with state, whose settings stay as they were."""
+    source, seen = scratch(spark, "lines"), []
+    lines = spark.range(8000).select(F.concat(F.lit(line() + "\t"), *[F.sha2(F.concat("id", F.lit(f"-{k}")), 512) for k in range(10)])
+                                     .alias("value")).coalesce(1)
+    edges = schemas.empty(spark, schemas.EDGES)
+    salts = spark.createDataFrame([SALT], "event_date string, salt string").withColumn(
+        "event_date", F.col("event_date").cast("date"))
+    dims = ingest.Dimensions(spark.createDataFrame([("localhost", "k1", None)], schemas.DOMAINS), edges, salts)
+    monkeypatch.setattr(ingest, "PARSED_AT_ONCE", "1m")
+    kept = ingest.raw.write_rejects
+
+    def rejects(outcomes, path, **options):
+        seen.append((outcomes.rdd.getNumPartitions(), outcomes.sparkSession.conf.get("spark.sql.adaptive.enabled")))
+        kept(outcomes, path, **options)
+
+    monkeypatch.setattr(ingest.raw, "write_rejects", rejects)
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    targets = ingest.Targets(scratch(spark, "ingest"))
+    ingest.batch_writer(lambda: dims, targets)(lines, 0)
+    lines.write.text(source)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        ingest.start_ingest(stream_lines(spark, source), lambda: dims, targets, scratch(spark, "checkpoint"), every=None,
+                            once="1 day").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(parts > 1 for parts, _ in seen[:2]) and all(on == "true" for _, on in seen)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == size
+    assert ingest.stored(spark, targets).count() + spark.read.parquet(targets.rejects).count() == 8000
+
+
+def test_salts_of_a_large_table_are_broadcast(spark):
+    """Lines without a date never meet in one task."""
+    from footfall.operators import dimensions
+
+    hits = spark.range(10).select(F.expr("if(id < 5, null, date_add(date'2024-01-01', int(id)))").alias("event_date"))
+    salts = spark.range(10**9).where("id < 7").select(
+        F.expr("date_add(date'2024-01-01', int(id))").alias("event_date"), F.col("id").cast("string").alias("salt"))
+    plan = dimensions.with_salt(hits, salts)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
