@@ -319,7 +319,7 @@ def test_late_rows_change_their_visitors_only(spark, views):
 def test_large_batches_are_parsed_in_parts(spark, monkeypatch):
     """Lines from one task are dealt out before they are cached, also by a stream with state, whose settings stay as they were."""
     source, seen = scratch(spark, "lines"), []
-    lines = spark.range(8000).select(F.concat(F.lit(line() + "\t"), *[F.sha2(F.concat("id", F.lit(f"-{k}")), 512) for k in range(10)])
+    lines = spark.range(4000).select(F.concat(F.lit(line() + "\t"), *[F.sha2(F.concat("id", F.lit(f"-{k}")), 512) for k in range(10)])
                                      .alias("value")).coalesce(1)
     edges = schemas.empty(spark, schemas.EDGES)
     salts = spark.createDataFrame([SALT], "event_date string, salt string").withColumn(
@@ -345,7 +345,7 @@ def test_large_batches_are_parsed_in_parts(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert all(parts > 1 for parts, _ in seen[:2]) and all(on == "true" for _, on in seen)
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == size
-    assert ingest.stored(spark, targets).count() + spark.read.parquet(targets.rejects).count() == 8000
+    assert ingest.stored(spark, targets).count() + spark.read.parquet(targets.rejects).count() == 4000
 
 
 def test_salts_of_a_large_table_are_broadcast(spark):
