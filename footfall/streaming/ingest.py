@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -15,11 +16,13 @@ from footfall import schemas
 from footfall.operators import dimensions, parsing, stats
 from footfall.sinks import commits, raw
 from footfall.sinks import tables as out
+from footfall.sources import tables as src
 
 EVERY = "15 minutes"
 # Shuffled lines that one task parses. Lines shrink to about a sixth in a shuffle, their cached columns hardly do.
 PARSED_AT_ONCE = "8m"
 DEALT = "1000"  # parts that lines are dealt to before adaptive execution joins them up to that size
+_SEEN = "_seen"  # time of a line's batch
 
 
 class Dimensions(NamedTuple):
@@ -71,20 +74,24 @@ def batch_writer(load: Callable[[], Dimensions], targets: Targets, **options):
     batch repeated after a failure leaves neither duplicates nor, when the registry has
     changed meanwhile, rows of its first run. ``compact`` merges the folders of old batches.
 
-    Lines are dealt out by size before they are parsed and cached, since a few files or state partitions may give many lines.
+    Lines are dealt out by size before they are parsed and cached, since a few files may give many lines; parsing and backup read
+    the same shuffle. ``store`` and ``once``, the time within which a line counts once, are those of ``first_deliveries``.
     """
+    once = options.pop("once", None)
+    store = options.pop("store", None)
 
     def write(lines: DataFrame, batch: int) -> None:
-        # A stream with state plans without adaptive execution; what its batch has become by now may be split by size again.
+        # A stream may plan without adaptive execution; what its batch has become by now may be split by size again.
         with _set(lines.sparkSession, enabled="true"):
             write_all(lines, batch)
 
     def write_all(lines: DataFrame, batch: int) -> None:
         dims = load()
-        # The cached plan keeps these settings.
+        value = options.get("value", "value")
+        # What is dealt out, and the cached plan, keep these settings.
         with _set(lines.sparkSession, advisoryPartitionSizeInBytes=PARSED_AT_ONCE, coalescePartitions__initialPartitionNum=DEALT):
-            outcomes = parsing.parse_outcomes(lines.hint("rebalance"), *dims,
-                                              **{k: v for k, v in options.items() if k != "distinct"}).persist()
+            dealt = _shuffled(lines.hint("rebalance") if once is None else first_deliveries(lines, store, batch, once, value))
+            outcomes = parsing.parse_outcomes(dealt, *dims, **{k: v for k, v in options.items() if k != "distinct"}).persist()
         try:
             events = parsing.accepted(outcomes)
             if options.get("distinct"):
@@ -94,19 +101,70 @@ def batch_writer(load: Callable[[], Dimensions], targets: Targets, **options):
             raw.write_rejects(outcomes, targets.rejects, batch=batch)
         finally:
             outcomes.unpersist()
-        raw.write_backup(lines, targets.backup, options.get("value", "value"), batch=batch)
+        raw.write_backup(dealt, targets.backup, value, batch=batch)
+        if once is not None:
+            at = lines.select(F.unix_micros(_SEEN)).first()
+            if at is not None:
+                remember(dealt, store, batch, at[0], once)
 
     return write
 
 
-def first_deliveries(lines: DataFrame, within: str, value: str = "value") -> DataFrame:
-    """A stream without the lines that have been processed before, within a time of at most that long ago at least.
+def _shuffled(df: DataFrame) -> DataFrame:
+    """The same rows, for several actions: the shuffle runs here, once, and each action begins with what it wrote."""
+    spark, made = df.sparkSession, df._jdf
+    rows = made.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, made.schema(), False), spark)
 
-    The state holds a digest of each line, by the time of its batch and not by its own: so a line that arrives late is never dropped,
-    and a batch repeated after a failure sees the state that it saw before. Keep the state in RocksDB where it outgrows memory.
+
+def _micros(spark: SparkSession, within: str) -> int:
+    """A length of time such as ``1 day`` in microseconds; a month has 31 days."""
+    found = spark.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.lit(within).cast("interval"))).first()[0]
+    if found is None or found < 0:
+        raise ValueError(f"no length of time: {within}")
+    return found
+
+
+def _batches(spark: SparkSession, store: str) -> list[tuple[int, int, str]]:
+    """Number, time in microseconds and folder of the batches whose digests are kept."""
+    found = (re.fullmatch(r"batch=(\d+)-at=(\d+)", name) for name in src.folders(spark, store))
+    return sorted((int(m[1]), int(m[2]), f"{store}/{m[0]}") for m in found if m)
+
+
+def _kept(batches: list[tuple[int, int, str]], batch: int, within: int) -> list[str]:
+    """Folders that a batch looks at: of the batches before it, but for those that another of them came after by twice that time."""
+    before = [b for b in batches if b[0] < batch]
+    last = max((at for _, at, _ in before), default=0)
+    return [path for _, at, path in before if at + 2 * within > last]
+
+
+def first_deliveries(lines: DataFrame, store: str, batch: int, within: str, value: str = "value") -> DataFrame:
+    """Lines of a batch that no batch before it has taken, within a time of at most that long ago at least; each once, with its digest.
+
+    ``store`` has a folder of digests for each batch, by the time of the batch and not by that of its lines: so a line that arrives late
+    is never dropped, and a batch repeated after a failure, which looks at the batches before it only, finds what it found before.
+    Lines and digests meet in one shuffle, which deals the lines out by size as well; no task holds digests from batch to batch.
     """
-    seen = lines.withColumns({"_digest": F.unhex(F.md5(F.col(value))), "_seen": F.current_timestamp()})
-    return seen.withWatermark("_seen", within).dropDuplicatesWithinWatermark(["_digest"]).drop("_digest", "_seen")
+    spark = lines.sparkSession
+    # No digest is empty, so that stands for missing lines, which count as one.
+    digest = F.coalesce(F.unhex(F.md5(F.col(value))), F.lit(b""))
+    keyed = lines.select(value, digest.alias("_digest"))
+    paths = _kept(_batches(spark, store), batch, _micros(spark, within))
+    if paths:
+        known = spark.read.schema("_digest binary").parquet(*paths)
+        keyed = keyed.join(known.hint("shuffle_hash"), "_digest", "left_anti")
+    return keyed.distinct()
+
+
+def remember(fresh: DataFrame, store: str, batch: int, at: int, within: str) -> None:
+    """Keep the digests of a batch of a time; written again, they replace those of its first run. What is too old goes."""
+    spark = fresh.sparkSession
+    batches, path = _batches(spark, store), f"{store}/batch={batch}-at={at}"
+    fresh.select("_digest").write.mode("overwrite").parquet(path)
+    kept = _kept(batches, batch, _micros(spark, within))
+    for number, _, old in batches:
+        if (number < batch and old not in kept) or (number == batch and old != path):
+            src.remove(spark, old)
 
 
 def patient(write: Callable[[DataFrame, int], None], attempts: int, wait: float) -> Callable[[DataFrame, int], None]:
@@ -133,7 +191,9 @@ def start_ingest(lines: DataFrame, load: Callable[[], Dimensions], targets: Targ
     """
     trigger = {"processingTime": every} if every else {"availableNow": True}
     if once is not None:
-        lines = first_deliveries(lines, once, options.get("value", "value"))
+        _micros(lines.sparkSession, once)  # a text that is no time fails here
+        lines = lines.withColumn(_SEEN, F.current_timestamp())
+        options |= {"once": once, "store": f"{checkpoint}/digests"}
     return (lines.writeStream.foreachBatch(patient(batch_writer(load, targets, **options), attempts, wait))
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
