@@ -357,3 +357,46 @@ def test_salts_of_a_large_table_are_broadcast(spark):
         F.expr("date_add(date'2024-01-01', int(id))").alias("event_date"), F.col("id").cast("string").alias("salt"))
     plan = dimensions.with_salt(hits, salts)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_digests_of_earlier_batches(spark):
+    """Missing and repeated lines, a repeated batch, a pause, and digests that are too old."""
+    store = scratch(spark, "digests")
+
+    def taken(texts, batch, at):
+        fresh = ingest.first_deliveries(spark.createDataFrame([(t,) for t in texts], "value string"), store, batch, "10 seconds")
+        found = sorted(str(r.value) for r in fresh.collect())
+        ingest.remember(fresh, store, batch, at * 10**6, "10 seconds")
+        return found
+
+    assert taken(["a", None, "a", "b", None], 0, 0) == ["None", "a", "b"]
+    for _ in range(2):
+        assert taken(["a", "c", None], 1, 5) == ["c"]
+    assert taken(["a", "d"], 2, 30) == ["d"]  # no batch has come since
+    assert taken(["a", "c", "d"], 3, 31) == ["a", "c"]
+    assert src.folders(spark, store) == ["batch=2-at=30000000", "batch=3-at=31000000"]
+    with pytest.raises(ValueError):
+        ingest._micros(spark, "soon")
+
+
+def test_lines_once_without_state_and_in_few_tasks(spark, monkeypatch):
+    source, targets, checkpoint = scratch(spark, "lines"), ingest.Targets(scratch(spark, "once")), scratch(spark, "checkpoint")
+    salts = spark.sql(f"SELECT date'{SALT[0]}' AS event_date, '{SALT[1]}' AS salt")
+    edges = spark.sql("SELECT 'HAM' AS edge_id, 'c' AS city, 's' AS state, 'n' AS country, 'de' AS country_code, 1f AS latitude, 2f AS longitude")
+    dims = ingest.Dimensions(spark.sql("SELECT 'localhost' AS domain_name, 'k1' AS domain_key, timestamp'2024-01-01' AS created_timestamp"),
+                             edges, salts)
+    parts, kept = [], ingest.raw.write_rejects
+
+    def rejects(outcomes, path, **options):
+        parts.append(outcomes.rdd.getNumPartitions())
+        kept(outcomes, path, **options)
+
+    monkeypatch.setattr(ingest.raw, "write_rejects", rejects)
+    texts = [line(VIEW_QUERY + f"&x={k}") for k in range(100)]
+    for _ in range(2):
+        spark.createDataFrame([(t,) for t in texts], "value string").write.mode("append").text(source)
+        running = ingest.start_ingest(stream_lines(spark, source), lambda: dims, targets, checkpoint, every=None, once="1 day")
+        running.awaitTermination()
+        assert list(running.lastProgress["stateOperators"]) == [] and ingest.stored(spark, targets).count() == 100
+    assert len(parts) == 2 and max(parts) < 10
+    assert "state" not in src.folders(spark, checkpoint) and spark.read.parquet(f"{checkpoint}/digests/*").count() == 100
